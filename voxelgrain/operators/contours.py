@@ -125,8 +125,8 @@ def component_at_seed(
     """
     keys, seed_keys = list(keys), list(seed_keys)
     probe = [*seed_keys, "z"]
-    placed = seeds.withColumn("sx", F.expr("greatest(0, least(nx - 1, sx))")).withColumn(
-        "sy", F.expr("greatest(0, least(ny - 1, sy))")
+    placed = seeds.select(
+        *probe, F.expr("greatest(0, least(nx - 1, sx))").alias("sx"), F.expr("greatest(0, least(ny - 1, sy))").alias("sy")
     )
     large = components.where(f"area >= {min_area}").select(*keys, "z", "label", "cx", "cy")
     touched = (
