@@ -1,5 +1,5 @@
 """Named queries over the given tables, each with the SQL that checks it where SQL can."""
 
-from catalog import objects
+from catalog import frames, objects, tracks
 
-MODULES = [objects]
+MODULES = [objects, frames, tracks]

@@ -18,9 +18,15 @@ PIXELS = {
         "CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS v "
         "FROM embeddings, range(1, 65) AS r(i)"
     ),
+    "profiles": (
+        "SELECT 'users-' || CAST(user_id // 32 AS VARCHAR) AS stack_id, "
+        "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END AS z, "
+        "CAST(hour(ts) AS INTEGER) AS y, CAST(user_id % 32 AS INTEGER) AS x, round(sum(value), 2) AS v FROM events "
+        "WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY 1, 2, 3, 4"
+    ),
 }
-SHAPES = {"lineitem": (7, 11, 50), "events": (30, 24, 32), "embeddings": (20, 8, 8)}
-VOXELS = {"lineitem": (0.5, 0.25, 1.0), "events": (1.0, 1.0, 2.0), "embeddings": (1.0, 1.0, 1.0)}
+SHAPES = {"profiles": (5, 24, 32), "lineitem": (7, 11, 50), "events": (30, 24, 32), "embeddings": (20, 8, 8)}
+VOXELS = {"profiles": (0.5, 0.5, 1.5), "lineitem": (0.5, 0.25, 1.0), "events": (1.0, 1.0, 2.0), "embeddings": (1.0, 1.0, 1.0)}
 BASE = 4294967296
 
 

@@ -29,11 +29,13 @@ class Objects:
 
 
 def describe_objects(
-    labelled: DataFrame, keys: Sequence[str], *, max_ny: int | None = None, band_rows: int = BAND_ROWS
+    labelled: DataFrame, keys: Sequence[str], *, holes: DataFrame | None = None, max_ny: int | None = None,
+    band_rows: int = BAND_ROWS,
 ) -> Objects:
     """Components with pixel statistics and outline measures of their filled shape."""
     keys = list(keys)
-    holes = hole_runs(labelled, keys, max_ny=max_ny, band_rows=band_rows)
+    if holes is None:
+        holes = hole_runs(labelled, keys, max_ny=max_ny, band_rows=band_rows)
     filled = filled_runs(labelled, holes, keys)
     measured = outline_measures(block_counts(filled, keys, band_rows=band_rows))
     components = run_components(labelled, keys).join(measured, [*keys, "z", "label"])

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.operators import masks, summary, surface, tracking
+from voxelgrain.operators import masks, split, summary, surface, tracking
 from voxelgrain.operators.contours import Objects, component_at_seed, describe_objects
-from voxelgrain.operators.frames import frame_rows, seeded_contours, unseeded_contours
-from voxelgrain.operators.runs import BAND_ROWS, label_runs
+from voxelgrain.operators.frames import MESH_COLUMNS, frame_rows, seeded_contours, unseeded_contours
+from voxelgrain.operators.runs import BAND_ROWS, hole_runs, label_runs, pixel_runs
 from voxelgrain.session import materialize
 
 # fixed values: profiles; rbc measures exactly like vesicle
@@ -36,17 +37,65 @@ class Settings:
 
 @dataclass
 class Analysis:
-    """Result tables of one job; ``mask`` holds (keys, z, y, x0, x1) of the measured objects."""
+    """Result tables of one job, built when they are asked for.
 
+    ``mask`` holds (keys, z, y, x0, x1) of the measured objects, ``tracking`` one row per seed and frame.
+    """
+
+    stacks: DataFrame
     frames: DataFrame
-    rows: DataFrame
-    summary: DataFrame
-    contours: DataFrame
+    find_contours: Callable[[], DataFrame]
     objects: Objects
+    mask_keys: list[str]
     keys: list[str]
-    mask: DataFrame | None = None
-    mesh: DataFrame | None = None
+    settings: Settings
     tracking: DataFrame | None = None
+    missing_method: str = "'fallback'"
+    found_method: str | None = None
+
+    @cached_property
+    def contours(self) -> DataFrame:
+        """One measured object per run and frame; written once where several results need it."""
+        found = self.find_contours()
+        return materialize(found) if self.settings.include_mesh else found
+
+    @cached_property
+    def mask(self) -> DataFrame:
+        return stack_mask(self.contours, self.objects, self.frames, self.mask_keys, self.keys)
+
+    @cached_property
+    def shapes(self) -> DataFrame:
+        return mesh_shapes(self.frames, self.keys)
+
+    @cached_property
+    def mesh(self) -> DataFrame | None:
+        """Surface measures per run; a run without any mask has no row."""
+        if not self.settings.include_mesh:
+            return None
+        cells = surface.cell_stretches(self.mask, self.shapes, self.keys, pad=self.settings.pad_mesh)
+        # a mask without any surface cell still has a mesh, of zero size
+        present = self.mask.select(*self.keys).distinct()
+        measured = present.join(surface.measure_surface(cells, self.shapes, self.keys), self.keys, "left")
+        return materialize(measured.fillna(0.0, list(MESH_COLUMNS)))
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        contours = self.contours
+        if self.found_method is not None:
+            contours = contours.withColumn("method", F.lit(self.found_method))
+        return frame_rows(
+            self.frames, contours, self.keys, profile=check_profile(self.settings.profile), mesh=self.mesh,
+            missing_method=self.missing_method,
+        )
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        totals = summary.run_summary(self.rows, self.keys)
+        if self.mesh is not None:
+            totals = totals.join(self.mesh.select(*self.keys, F.lit(True).alias("mesh_present")), self.keys, "left")
+            totals = totals.withColumn("mesh_present", F.coalesce("mesh_present", F.lit(False)))
+        diagnostics = tracking.tracking_summary(self.tracking) if self.tracking is not None else None
+        return summary.with_warnings(totals, self.keys, stacks=self.stacks, tracking=diagnostics)
 
 
 def check_profile(profile: str | None) -> str:
@@ -72,13 +121,51 @@ def find_objects(
     pixels: DataFrame, frames: DataFrame, keys: Sequence[str], settings: Settings, *,
     max_ny: int | None = None, band_rows: int = BAND_ROWS,
 ) -> Objects:
-    """Threshold, label and describe all components. The labelled runs are written once and reused."""
+    """Threshold, label and describe all components.
+
+    Runs, holes and components are read by many later steps, so each is written once.
+    """
     mask = masks.mask_runs(
         selected_pixels(pixels, settings), frames, keys,
         only_positive=settings.only_positive, band_rows=band_rows,
     )
     labelled = label_runs(mask[0], keys, max_ny=max_ny, band_rows=band_rows, arranged=mask[1])
-    return describe_objects(materialize(labelled), keys, max_ny=max_ny, band_rows=band_rows)
+    labelled = materialize(labelled)
+    holes = materialize(hole_runs(labelled, keys, max_ny=max_ny, band_rows=band_rows))
+    objects = describe_objects(labelled, keys, holes=holes, band_rows=band_rows)
+    objects.components = materialize(objects.components)
+    return objects
+
+
+def split_analysis(
+    stacks: DataFrame, pixels: DataFrame, seeds: DataFrame, settings: Settings, *,
+    excluded: DataFrame | None = None, max_ny: int | None = None, band_rows: int = BAND_ROWS,
+) -> Analysis:
+    """Touching objects split per slice by flooding, and the seeded part measured.
+
+    Every slice is split on its own with the seed's region as a hard limit. Needs a seed.
+    """
+    keys, owner = ["stack_id"], ["stack_id", "seed_id"]
+    frames = analysed_frames(stacks, settings, excluded)
+    placed = materialize(tracking.place_seeds(seeds, frames))
+    kept = selected_pixels(pixels, settings)
+    mask, arranged = masks.mask_runs(kept, frames, keys, only_positive=settings.only_positive, band_rows=band_rows)
+    labelled = materialize(label_runs(mask, keys, max_ny=max_ny, band_rows=band_rows, arranged=arranged))
+    parts = split.split_mask(labelled, frames, placed)
+    per_seed = frames.join(placed.select(*owner), "stack_id")
+    found = materialize(
+        label_runs(pixel_runs(parts, owner, band_rows=band_rows), owner, max_ny=max_ny, band_rows=band_rows, arranged=True)
+    )
+    objects = describe_objects(found, owner, max_ny=max_ny, band_rows=band_rows)
+    objects.components = materialize(objects.components)
+
+    def find() -> DataFrame:
+        return unseeded_contours(objects, per_seed, owner, max_ny=max_ny, band_rows=band_rows)
+
+    return Analysis(
+        stacks, per_seed, find, objects, owner, owner, replace(settings, profile="active_surfaces"),
+        missing_method="'active_surfaces_empty'", found_method="active_surfaces",
+    )
 
 
 def contour_mask(contours: DataFrame, objects: Objects, keys: Sequence[str], owner: Sequence[str]) -> DataFrame:
@@ -118,30 +205,6 @@ def mesh_shapes(frames: DataFrame, owner: Sequence[str]) -> DataFrame:
     )
 
 
-def _finish(
-    stacks, frames, contours, objects, keys, owner, settings, *, records=None, missing="'fallback'",
-) -> Analysis:
-    mask = mesh = None
-    if settings.include_mesh:
-        mask = stack_mask(contours, objects, frames, keys, owner)
-        shapes = mesh_shapes(frames, owner)
-        cells = surface.cell_stretches(mask, shapes, owner, pad=settings.pad_mesh)
-        # a mask without any surface cell still has a mesh, of zero size
-        present = mask.select(*owner).distinct()
-        mesh = present.join(surface.measure_surface(cells, shapes, owner), owner, "left").fillna(
-            0.0, ["mesh_surface_area_um2", "mesh_volume_um3", "mesh_equivalent_sphere_diameter_um", "mesh_sphericity"]
-        )
-    rows = frame_rows(frames, contours, owner, profile=check_profile(settings.profile), mesh=mesh, missing_method=missing)
-    totals = summary.run_summary(rows, owner)
-    if mesh is not None:
-        totals = totals.join(mesh.select(*owner, F.lit(True).alias("mesh_present")), list(owner), "left").withColumn(
-            "mesh_present", F.coalesce("mesh_present", F.lit(False))
-        )
-    diagnostics = tracking.tracking_summary(records) if records is not None else None
-    totals = summary.with_warnings(totals, owner, stacks=stacks, tracking=diagnostics)
-    return Analysis(frames, rows, totals, contours, objects, list(owner), mask, mesh, records)
-
-
 def analyze(
     stacks: DataFrame, pixels: DataFrame, settings: Settings, *, excluded: DataFrame | None = None,
     max_ny: int | None = None, band_rows: int = BAND_ROWS,
@@ -152,8 +215,11 @@ def analyze(
     keys = ["stack_id"]
     frames = analysed_frames(stacks, settings, excluded)
     objects = find_objects(pixels, frames, keys, settings, max_ny=max_ny, band_rows=band_rows)
-    contours = unseeded_contours(objects, frames, keys, contour=settings.contour, max_ny=max_ny, band_rows=band_rows)
-    return _finish(stacks, frames, contours, objects, keys, keys, settings)
+
+    def find() -> DataFrame:
+        return unseeded_contours(objects, frames, keys, contour=settings.contour, max_ny=max_ny, band_rows=band_rows)
+
+    return Analysis(stacks, frames, find, objects, keys, keys, settings)
 
 
 def analyze_seeded(
@@ -174,24 +240,27 @@ def analyze_seeded(
     ).select(*seeds.columns)
     placed = materialize(tracking.place_seeds(checked, frames))
     objects = find_objects(pixels, frames, keys, settings, max_ny=max_ny, band_rows=band_rows)
-    objects.components = materialize(objects.components)
     start = tracking.seed_component(placed, objects.components, objects.runs)
     pointers = tracking.successor_pointers(placed, objects.components, objects.runs)
     chain = tracking.follow_chain(start, pointers, max_nz)
-    records = tracking.tracking_records(chain, objects.components, frames, placed, merge_reference=settings.merge_reference)
-    if settings.reselect:
-        picked = component_at_seed(
-            objects.components, objects.runs, tracking.frame_seeds(records, frames), keys, owner
-        )
-    else:
+    records = materialize(
+        tracking.tracking_records(chain, objects.components, frames, placed, merge_reference=settings.merge_reference)
+    )
+    per_seed = frames.join(placed.select(*owner), "stack_id")
+
+    def find() -> DataFrame:
         picked = chain
-    contours = seeded_contours(picked, objects, frames.join(placed.select(*owner), "stack_id"), keys, owner)
-    seeded_frames = frames.join(placed.select(*owner), "stack_id").join(
+        if settings.reselect:
+            seeds_now = tracking.frame_seeds(records, frames)
+            picked = component_at_seed(objects.components, objects.runs, seeds_now, keys, owner)
+        return seeded_contours(picked, objects, per_seed, keys, owner)
+
+    seeded_frames = per_seed.join(
         records.select(*owner, F.col("frame_index").alias("z"), "tracked"), [*owner, "z"]
     )
-    return _finish(
-        stacks, seeded_frames, contours, objects, keys, owner, settings, records=records,
-        missing="if(tracked, 'fallback', 'seed_lost')",
+    return Analysis(
+        stacks, seeded_frames, find, objects, keys, owner, settings, tracking=records,
+        missing_method="if(tracked, 'fallback', 'seed_lost')",
     )
 
 
@@ -206,8 +275,11 @@ def sweep(
         "excluded", F.lit(False)
     )
     objects = find_objects(pixels, frames, keys, settings, max_ny=max_ny, band_rows=band_rows)
-    contours = unseeded_contours(objects, frames, keys, contour=settings.contour, max_ny=max_ny, band_rows=band_rows)
-    return _finish(stacks, frames, contours, objects, keys, keys, settings)
+
+    def find() -> DataFrame:
+        return unseeded_contours(objects, frames, keys, contour=settings.contour, max_ny=max_ny, band_rows=band_rows)
+
+    return Analysis(stacks, frames, find, objects, keys, keys, settings)
 
 
 def best_threshold(sweep_summary: DataFrame) -> DataFrame:

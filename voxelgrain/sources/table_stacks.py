@@ -78,7 +78,23 @@ def event_activity(spark: SparkSession, folder: str) -> StackSet:
     return StackSet(stacks, pixels, 24, 30)
 
 
-ADAPTERS = {"lineitem": lineitem_density, "embeddings": embedding_tiles, "events": event_activity}
+def user_profiles(spark: SparkSession, folder: str) -> StackSet:
+    """Summed event value over (event type, hour, user), one stack per 32 users; large ragged objects."""
+    rows = spark.read.parquet(f"{folder}/events.parquet").select(
+        F.expr("concat('users-', cast(user_id div 32 as string))").alias("stack_id"),
+        F.expr("cast(array_position(array('click', 'error', 'purchase', 'signup', 'view'), event_type) - 1 as int)").alias("z"),
+        F.expr("hour(ts)").alias("y"),
+        F.expr("cast(user_id % 32 as int)").alias("x"),
+        "value",
+    ).where("z >= 0")
+    pixels = rows.groupBy("stack_id", "z", "y", "x").agg(F.round(F.sum("value"), 2).alias("v"))
+    stacks = _stacks(rows.select("stack_id").distinct(), (5, 24, 32), (0.5, 0.5, 1.5), "override")
+    return StackSet(stacks, pixels, 24, 5)
+
+
+ADAPTERS = {
+    "lineitem": lineitem_density, "embeddings": embedding_tiles, "events": event_activity, "profiles": user_profiles,
+}
 
 
 def unpack_frames(frames: DataFrame) -> DataFrame:
