@@ -8,15 +8,14 @@ def short_number(value: str) -> str:
 
     Exponents below -4 or above 5 use scientific notation with at least two exponent digits.
     """
-    science = f"format_string('%.5e', {value})"
-    exponent = f"cast(substring_index({science}, 'e', -1) as int)"
-    fixed = " ".join(f"when {e} then format_string('%.{5 - e}f', {value})" for e in range(-4, 6))
+    # number patterns round the exact binary value, half to even
+    exponent = f"cast(substring_index(format_number({value}, '0.00000E0'), 'E', -1) as int)"
+    fixed = " ".join(f"when {e} then format_number({value}, '0.{'#' * (5 - e)}')" for e in range(-4, 6))
     plain = f"(case {exponent} {fixed} end)"
-    strip = "regexp_replace(regexp_replace({0}, '(\\\\.[0-9]*?)0+$', '$1'), '\\\\.$', '')"
-    scientific = f"concat({strip.format(f'''substring_index({science}, 'e', 1)''')}, 'e', substring_index({science}, 'e', -1))"
+    scientific = f"regexp_replace(replace(format_number({value}, '0.#####E00'), 'E', 'e'), 'e([0-9])', 'e+$1')"
     return (
         f"(case when {value} is null then null when {value} = 0 then '0' when isnan({value}) then 'nan' "
-        f"when {exponent} < -4 or {exponent} > 5 then {scientific} else {strip.format(plain)} end)"
+        f"when {exponent} < -4 or {exponent} > 5 then {scientific} else {plain} end)"
     )
 
 
