@@ -125,9 +125,9 @@ def manifest_fields(spark, folder):
 
 
 def report_tables(spark, folder):
-    s, a = run(spark, folder, "profiles", excluded=EXCLUDED)
+    a = run(spark, folder, "profiles", excluded=EXCLUDED)[1].save()
     lines = report.report_lines(a.summary, a.rows, ["stack_id"], row_limit=3)
-    return lines.where("section in (0, 3, 4, 5, 7, 8) and line <> ''").select("stack_id", "section", "line")
+    return lines.where("section <> 7 and line <> ''").select("stack_id", "section", "line")
 
 
 def first_frames(spark, folder):
@@ -381,9 +381,9 @@ ORACLES = {
         "SELECT stack_id, 4, unnest(['## Warnings', '- `excluded_frames` (info): ' || len(excluded_frames) || ' frame(s) excluded from metrics summary and 3D mesh.', "
         "'- `partial_contours` (warning): ' || (frame_count - valid_frame_count) || ' of ' || frame_count || ' frames did not produce a valid contour.']) FROM sm WHERE len(excluded_frames) > 0 UNION ALL "
         "SELECT stack_id, 5, unnest(['## Metric Summary', '| Metric | Mean | Min | Max | Std |', '| --- | ---: | ---: | ---: | ---: |']) FROM sm UNION ALL "
-        f"SELECT stack_id, 5, '| ' || metric || ' | ' || {_NUM('mean')} || ' | ' || {_NUM('min')} || ' | ' || {_NUM('max')} || ' | ' || {_NUM('std')} || ' |' FROM lg UNION ALL "
-        "SELECT stack_id, 7, unnest(['## First 3 Frame Rows', '| Frame | Contour | Area (um^2) | Perimeter (um) | Circularity | Deformation index |', '| ---: | :---: | ---: | ---: | ---: | ---: |']) FROM sm UNION ALL "
-        f"SELECT stack_id, 8, '| ' || frame_index || ' | ' || CASE WHEN has_contour THEN 'yes' ELSE 'no' END || ' | ' || {_NUM('area_um2')} || ' | ' || {_NUM('perimeter_um')} || ' | ' || "
+        f"SELECT stack_id, 6, '| ' || metric || ' | ' || {_NUM('mean')} || ' | ' || {_NUM('min')} || ' | ' || {_NUM('max')} || ' | ' || {_NUM('std')} || ' |' FROM lg UNION ALL "
+        "SELECT stack_id, 8, unnest(['## First 3 Frame Rows', '| Frame | Contour | Area (um^2) | Perimeter (um) | Circularity | Deformation index |', '| ---: | :---: | ---: | ---: | ---: | ---: |']) FROM sm UNION ALL "
+        f"SELECT stack_id, 9, '| ' || frame_index || ' | ' || CASE WHEN has_contour THEN 'yes' ELSE 'no' END || ' | ' || {_NUM('area_um2')} || ' | ' || {_NUM('perimeter_um')} || ' | ' || "
         f"{_NUM('circularity')} || ' | ' || {_NUM('deformation_index')} || ' |' FROM rw WHERE frame_index < 3) SELECT stack_id, CAST(section AS INTEGER) AS section, line FROM tx"
     ),
     "threshold_sweep": (

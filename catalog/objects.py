@@ -127,7 +127,7 @@ def outlines(spark, folder):
 def nested(spark, folder):
     s, found = labelled(spark, folder, "lineitem", 3.0)
     o = contours.describe_objects(found, ["stack_id"], max_ny=s.max_ny)
-    return contours.nested_components(o.components, o.holes, ["stack_id"])
+    return o.components.where("nested").select("stack_id", "z", "label")
 
 
 def candidates(spark, folder):

@@ -15,6 +15,9 @@ from voxelgrain.sources import files, manifests, settings
 from voxelgrain.sources.table_stacks import ADAPTERS
 
 
+SCALES = tuple(f"1e{k}" for k in range(-7, 7))
+
+
 def _read(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -121,8 +124,10 @@ def output_folders(spark, folder):
 def short_numbers(spark, folder):
     return _read(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber",
-        F.expr(text.short_number("(l_extendedprice * l_discount / 3 * pow(10, cast(l_quantity as int) % 14 - 7))")).alias("shown"),
-    )
+        "l_extendedprice", "l_discount", F.element_at(F.array(*[F.lit(float(p)) for p in SCALES]), F.expr("cast(l_quantity as int) % 14 + 1")).alias("scale"),
+    ).select("l_orderkey", "l_linenumber", F.expr("l_extendedprice * l_discount / 3 * scale").alias("value")).transform(
+        lambda df: text.short_numbers(df, ["value"], prefix="shown_")
+    ).select("l_orderkey", "l_linenumber", F.col("shown_value").alias("shown"))
 
 
 def _settings_texts(spark, folder):
@@ -392,7 +397,8 @@ ORACLES = {
         "'set_' || (page_id % 5) || '/Run_' || page_id AS folder FROM pages"
     ),
     "short_numbers": (
-        "SELECT l_orderkey, l_linenumber, printf('%.6g', l_extendedprice * l_discount / 3 * power(10.0, CAST(l_quantity AS INTEGER) % 14 - 7)) AS shown FROM lineitem"
+        "SELECT l_orderkey, l_linenumber, printf('%.6g', l_extendedprice * l_discount / 3 * "
+        f"([{', '.join(f'CAST({p} AS DOUBLE)' for p in SCALES)}])[CAST(l_quantity AS INTEGER) % 14 + 1]) AS shown FROM lineitem"
     ),
     "settings_checks": f"WITH {_SET} SELECT owner, result FROM c",
     "settings_precedence": (

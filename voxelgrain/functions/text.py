@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
-def short_number(value: str) -> str:
-    """SQL for a double with six significant digits and no trailing zeros.
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-    Exponents below -4 or above 5 use scientific notation with at least two exponent digits.
+
+def short_numbers(df: DataFrame, columns: Sequence[str], prefix: str = "t_") -> DataFrame:
+    """Add each double column as text (named with ``prefix``): six significant digits, no trailing zeros.
+
+    Exponents below -4 or above 5 use scientific notation with at least two exponent digits. The
+    steps are separate columns so that none is computed twice.
     """
-    # number patterns round the exact binary value, half to even
-    exponent = f"cast(substring_index(format_number({value}, '0.00000E0'), 'E', -1) as int)"
-    fixed = " ".join(f"when {e} then format_number({value}, '0.{'#' * (5 - e)}')" for e in range(-4, 6))
-    plain = f"(case {exponent} {fixed} end)"
-    scientific = f"regexp_replace(replace(format_number({value}, '0.#####E00'), 'E', 'e'), 'e([0-9])', 'e+$1')"
-    return (
-        f"(case when {value} is null then null when {value} = 0 then '0' when isnan({value}) then 'nan' "
-        f"when {exponent} < -4 or {exponent} > 5 then {scientific} else {plain} end)"
+    # number patterns round the exact binary value half to even, save whole numbers that lie exactly
+    # between two results; those are moved by one towards the even digit
+    unit = "pow(10D, floor(log10(abs({0}))) - 5)"
+    middle = f"abs({{0}}) >= 1e6D and abs({{0}}) < 1e15D and {{0}} = floor({{0}}) and abs({{0}}) % {unit} = {unit} / 2"
+    nudged = f"if({middle}, {{0}} + signum({{0}}) * if(floor(abs({{0}}) / {unit}) % 2 = 0, -1, 1), cast({{0}} as double))"
+    exponent = "cast(substring_index(format_number(_n_{0}, '0.00000E0'), 'E', -1) as int)"
+    fixed = " ".join(f"when {e} then format_number(_n_{{0}}, '{'0.' + '#' * (5 - e) if e < 5 else '0'}')" for e in range(-4, 6))
+    scientific = "regexp_replace(replace(format_number(_n_{0}, '0.#####E00'), 'E', 'e'), 'e([0-9])', 'e+$1')"
+    shown = (
+        "case when {0} is null then null when {0} = 0 then '0' when isnan({0}) then 'nan' "
+        f"else case _e_{{0}} {fixed} else {scientific} end end"
     )
+    for template, name in ((nudged, "_n_"), (exponent, "_e_"), (shown, prefix)):
+        df = df.withColumns({f"{name}{c}": F.expr(template.format(c)) for c in columns})
+    return df.drop(*[f"{p}{c}" for p in ("_n_", "_e_") for c in columns])
 
 
 def safe_stem(path: str) -> str:

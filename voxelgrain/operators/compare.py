@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxelgrain.functions.text import short_numbers
+
 MISSING = "<missing>"
 SHOWN = 20
 NUMBER = "^\\\\s*[+-]?((\\\\d[\\\\d_]*(\\\\.[\\\\d_]*)?|\\\\.\\\\d[\\\\d_]*)([eE][+-]?\\\\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\\\\s*$"
@@ -133,8 +135,6 @@ def first_differences(differences: DataFrame, limit: int = SHOWN) -> DataFrame:
 
 def report_text(report: DataFrame, differences: DataFrame, *, expected: str, actual: str, tolerance: float) -> DataFrame:
     """The report as numbered lines: totals, verdict, first differences and how many more there are."""
-    from voxelgrain.functions.text import short_number
-
     head = report.select(
         F.posexplode(
             F.array(
@@ -145,12 +145,12 @@ def report_text(report: DataFrame, differences: DataFrame, *, expected: str, act
             )
         ).alias("line_no", "line")
     )
-    shown = first_differences(differences).select(
+    shown = short_numbers(first_differences(differences), ["delta"]).select(
         F.expr(f"row_number() over (order by if(column = '__row__' and actual = 'missing', 0, if(column = '__row__', 1, 2)), "
                f"if(column <> '__row__' and {number('row_id')} is null, 1, 0), if(column = '__row__', null, {number('row_id')}), row_id, column) + 99").alias("line_no"),
         F.expr(
             "concat('- row ', row_id, ', ', column, ': expected=', coalesce(expected, ''), ', actual=', coalesce(actual, ''), "
-            f"if(delta is null, '', concat(', delta=', {short_number('delta')})))"
+            "if(delta is null, '', concat(', delta=', t_delta)))"
         ).alias("line"),
     )
     more = report.where(f"difference_count > {SHOWN}").select(

@@ -32,13 +32,16 @@ def describe_objects(
     labelled: DataFrame, keys: Sequence[str], *, holes: DataFrame | None = None, max_ny: int | None = None,
     band_rows: int = BAND_ROWS,
 ) -> Objects:
-    """Components with pixel statistics and outline measures of their filled shape."""
+    """Components with pixel statistics, outline measures of their filled shape, and ``nested``."""
     keys = list(keys)
+    shape = [*keys, "z", "label"]
     if holes is None:
         holes = hole_runs(labelled, keys, max_ny=max_ny, band_rows=band_rows)
     filled = filled_runs(labelled, holes, keys)
     measured = outline_measures(block_counts(filled, keys, band_rows=band_rows))
-    components = run_components(labelled, keys).join(measured, [*keys, "z", "label"])
+    components = run_components(labelled, keys).join(measured, shape)
+    inner = nested_components(components, holes, keys).distinct().withColumn("nested", F.lit(True))
+    components = components.join(inner, shape, "left").withColumn("nested", F.coalesce("nested", F.lit(False)))
     return Objects(labelled, holes, filled, components)
 
 
@@ -78,8 +81,7 @@ def largest_outline(objects: Objects, frames: DataFrame, keys: Sequence[str]) ->
     """Best outer outline per frame: candidates before others, then polygon area, then first pixel."""
     keys = list(keys)
     frame = [*keys, "z"]
-    outer = objects.components.join(nested_components(objects.components, objects.holes, keys), [*frame, "label"], "left_anti")
-    ranked = outer.join(frames.select(*frame, "nx", "ny"), frame).withColumn("candidate", F.expr(is_candidate()))
+    ranked = objects.components.where("not nested").join(frames.select(*frame, "nx", "ny"), frame).withColumn("candidate", F.expr(is_candidate()))
     cols = [c for c in objects.components.columns if c not in frame]
     return (
         ranked.groupBy(*frame)

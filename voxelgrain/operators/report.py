@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelgrain.functions.geometry import SUMMARY_METRICS
-from voxelgrain.functions.text import short_number
+from voxelgrain.functions.text import short_numbers
 from voxelgrain.operators.frames import FRAME_COLUMNS
-from voxelgrain.operators.summary import first_rows
+from voxelgrain.operators.summary import STATS, first_rows, metric_summary
 
 VERSION = "1"
 MESH_FIELDS = ("surface_area_um2", "volume_um3", "equivalent_sphere_diameter_um", "sphericity")
@@ -84,9 +84,11 @@ def report_lines(
     summary: DataFrame, rows: DataFrame, keys: Sequence[str], *, rect=None, slices=None, include_mesh: bool = False,
     seeds: DataFrame | None = None, row_limit: int = 10,
 ) -> DataFrame:
-    """(keys, section, line_no, line): a Markdown report per run, ordered by section and line."""
+    """(keys, section, line_no, line): a Markdown report per run, ordered by section and line.
+
+    Blank lines between blocks close the section before them, so a table may follow its heading.
+    """
     keys = list(keys)
-    num = short_number
     region = f"xmin={rect.xmin}, xmax={rect.xmax}, ymin={rect.ymin}, ymax={rect.ymax}" if rect else "full stack"
     z_range = f"zmin={slices.zmin}, zmax={slices.zmax}" if slices else "full stack"
     settings = _lines(
@@ -94,33 +96,29 @@ def report_lines(
         "concat('- Profile: `', profile, '`')", "concat('- Threshold: `', threshold, '`')",
         f"'- ROI: `{region}`'", f"'- Z range: `{z_range}`'", f"'- Include mesh: `{str(include_mesh).lower()}`'",
         "concat('- Voxel source: `', voxel_source, '`')",
-        f"concat('- Voxel size: x=', {num('vx_um')}, ' um, y=', {num('vy_um')}, ' um, z=', {num('vz_um')}, ' um')", "''",
+        "concat('- Voxel size: x=', t_vx_um, ' um, y=', t_vy_um, ' um, z=', t_vz_um, ' um')", "''",
     )
     frames = _lines(
         "'## Frame Summary'", "''", "concat('- Frames: ', frame_count)", "concat('- Valid frames: ', valid_frame_count)",
-        f"concat('- Valid fraction: ', {num('valid_fraction')})",
+        "concat('- Valid fraction: ', t_valid_fraction)",
         "concat('- Excluded frames: ', if(size(excluded_frames) > 0, concat('[', array_join(excluded_frames, ', '), ']'), 'none'))", "''",
     )
     warned = (
         "if(size(warnings) = 0, array(), concat(array('## Warnings', ''), "
         "transform(warnings, w -> concat('- `', w.code, '` (', w.severity, '): ', w.message)), array('')))"
     )
-    table = ", ".join(
-        f"if({m}_mean is null, null, concat('| {m} | ', concat_ws(' | ', {', '.join(num(f'{m}_{s}') for s in ('mean', 'min', 'max', 'std'))}), ' |'))"
-        for m in SUMMARY_METRICS
-    )
     metrics = (
-        "if(valid_frame_count = 0, array(), concat(array('## Metric Summary', '', '| Metric | Mean | Min | Max | Std |', "
-        f"'| --- | ---: | ---: | ---: | ---: |'), {_lines(table)}, array('')))"
+        "if(valid_frame_count = 0, array(), array('## Metric Summary', '', '| Metric | Mean | Min | Max | Std |', "
+        "'| --- | ---: | ---: | ---: | ---: |'))"
     )
     mesh = (
         "if(not mesh_present, array(), array('## Mesh Summary', '', "
-        f"concat('- Surface area: ', {num('mesh_surface_area_um2')}, ' um^2'), concat('- Volume: ', {num('mesh_volume_um3')}, ' um^3'), "
-        f"concat('- Equivalent sphere diameter: ', {num('mesh_equivalent_sphere_diameter_um')}, ' um'), "
-        f"concat('- Sphericity: ', {num('mesh_sphericity')}), ''))"
+        "concat('- Surface area: ', t_mesh_surface_area_um2, ' um^2'), concat('- Volume: ', t_mesh_volume_um3, ' um^3'), "
+        "concat('- Equivalent sphere diameter: ', t_mesh_equivalent_sphere_diameter_um, ' um'), "
+        "concat('- Sphericity: ', t_mesh_sphericity), ''))"
     )
-    sections = {0: settings, 3: frames, 4: warned, 5: metrics, 6: mesh}
-    base = summary
+    sections = {0: settings, 3: frames, 4: warned, 5: metrics, 7: mesh}
+    base = short_numbers(summary, ["vx_um", "vy_um", "vz_um", "valid_fraction", *[f"mesh_{f}" for f in MESH_FIELDS]])
     if seeds is not None:
         base = base.join(
             seeds.select(
@@ -129,10 +127,11 @@ def report_lines(
             ),
             keys,
         )
+        base = short_numbers(base, ["_x", "_y", "_r"])
         sections[1] = _lines(
             "'## Object Selection'", "''", "concat('- Seed frame: `', _f, '`')",
-            f"concat('- Seed center: `(', {num('_x')}, ', ', {num('_y')}, ')`')",
-            f"concat('- Seed radius: `', {num('_r')}, '` px')", "concat('- Seed type: `', _t, '`')", "''",
+            "concat('- Seed center: `(', t__x, ', ', t__y, ')`')",
+            "concat('- Seed radius: `', t__r, '` px')", "concat('- Seed type: `', _t, '`')", "''",
         )
         if "track_frame_count" in summary.columns:
             sections[2] = _lines(
@@ -143,15 +142,22 @@ def report_lines(
     head = base.select(*keys, F.posexplode(F.expr(f"concat({', '.join(texts)})")).alias("line_no", "l")).select(
         *keys, "l.section", F.col("line_no").cast("int").alias("line_no"), "l.line"
     )
+    table = short_numbers(metric_summary(summary, keys), STATS).select(
+        *keys, F.lit(6).alias("section"),
+        F.array_position(F.array(*[F.lit(m) for m in SUMMARY_METRICS]), F.col("metric")).cast("int").alias("line_no"),
+        F.expr("concat('| ', metric, ' | ', concat_ws(' | ', t_mean, t_min, t_max, t_std), ' |')").alias("line"),
+    )
     shown = first_rows(rows, keys, row_limit)
-    cells = ", ".join(num(c) for c in ("area_um2", "perimeter_um", "circularity", "deformation_index"))
-    body = shown.select(
-        *keys, F.lit(8).alias("section"), F.col("frame_index").cast("int").alias("line_no"),
-        F.expr(f"concat('| ', frame_index, ' | ', if(has_contour, 'yes', 'no'), ' | ', concat_ws(' | ', {cells}), ' |')").alias("line"),
+    cells = ("area_um2", "perimeter_um", "circularity", "deformation_index")
+    body = short_numbers(shown, cells).select(
+        *keys, F.lit(9).alias("section"), F.col("frame_index").cast("int").alias("line_no"),
+        F.expr(
+            f"concat('| ', frame_index, ' | ', if(has_contour, 'yes', 'no'), ' | ', concat_ws(' | ', {', '.join('t_' + c for c in cells)}), ' |')"
+        ).alias("line"),
     )
     count = shown.groupBy(*keys).agg(F.count("*").alias("n"))
     title = count.select(
-        *keys, F.lit(7).alias("section"),
+        *keys, F.lit(8).alias("section"),
         F.posexplode(
             F.expr(
                 "array(concat('## First ', n, ' Frame Rows'), '', '| Frame | Contour | Area (um^2) | Perimeter (um) | Circularity | Deformation index |', "
@@ -159,7 +165,7 @@ def report_lines(
             )
         ).alias("line_no", "line"),
     )
-    return head.unionByName(title).unionByName(body)
+    return head.unionByName(table).unionByName(title).unionByName(body)
 
 
 def write_reports(lines: DataFrame, keys: Sequence[str], folder: str) -> None:

@@ -213,7 +213,10 @@ def hole_runs(
     owner = [*keys, "z", "label"]
     gaps = gap_runs(labelled, keys).withColumnRenamed("label", "owner")
     named = label_runs(gaps, [*keys, "owner"], connectivity=4, max_ny=max_ny, band_rows=band_rows, arranged=True)
-    named = named.withColumnRenamed("label", "gap").withColumnRenamed("owner", "label")
+    # one exchange here serves both branches below, so gaps are labelled once
+    named = named.select(*keys, "z", F.col("owner").alias("label"), F.col("label").alias("gap"), "y", "x0", "x1").repartition(
+        *owner, "gap"
+    )
     reach = labelled.groupBy(*owner, "y").agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
     beside = named.select(*owner, "gap", "x0", "x1", F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"))
     open_gaps = (
@@ -222,7 +225,7 @@ def hole_runs(
         .select(*owner, "gap")
         .distinct()
     )
-    return named.join(open_gaps, [*owner, "gap"], "left_anti").select(*owner, "band", "y", "x0", "x1")
+    return named.join(open_gaps, [*owner, "gap"], "left_anti").select(*owner, "y", "x0", "x1")
 
 
 def filled_runs(labelled: DataFrame, holes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelgrain.operators import masks, split, summary, surface, tracking
 from voxelgrain.operators.contours import Objects, component_at_seed, describe_objects
 from voxelgrain.operators.frames import MESH_COLUMNS, frame_rows, seeded_contours, unseeded_contours
-from voxelgrain.operators.runs import BAND_ROWS, hole_runs, label_runs, pixel_runs
+from voxelgrain.operators.runs import BAND_ROWS, label_runs, pixel_runs
 from voxelgrain.session import materialize
 
 # fixed values: profiles; rbc measures exactly like vesicle
@@ -88,6 +88,12 @@ class Analysis:
             missing_method=self.missing_method,
         )
 
+    def save(self) -> "Analysis":
+        """Write the frame rows and the run summary once, for uses that read them several times."""
+        self.__dict__["rows"] = materialize(self.rows)
+        self.__dict__["summary"] = materialize(self.summary)
+        return self
+
     @cached_property
     def summary(self) -> DataFrame:
         totals = summary.run_summary(self.rows, self.keys)
@@ -123,7 +129,8 @@ def find_objects(
 ) -> Objects:
     """Threshold, label and describe all components.
 
-    Runs, holes and components are read by many later steps, so each is written once.
+    Labelled runs and components are read by many later steps, so both are written once; holes are
+    found again only where a surface is asked for.
     """
     mask = masks.mask_runs(
         selected_pixels(pixels, settings), frames, keys,
@@ -131,8 +138,7 @@ def find_objects(
     )
     labelled = label_runs(mask[0], keys, max_ny=max_ny, band_rows=band_rows, arranged=mask[1])
     labelled = materialize(labelled)
-    holes = materialize(hole_runs(labelled, keys, max_ny=max_ny, band_rows=band_rows))
-    objects = describe_objects(labelled, keys, holes=holes, band_rows=band_rows)
+    objects = describe_objects(labelled, keys, max_ny=max_ny, band_rows=band_rows)
     objects.components = materialize(objects.components)
     return objects
 
