@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import sql
-from catalog.frames import T
+from catalog.frames import T, _polygons
 from catalog.tracks import bright_seeds
 from voxelgrain.functions import calibration, text
 from voxelgrain.functions.intensity import gray_to_color, luminance
-from voxelgrain.operators import compare, edges, masks, runs, split, tracking
-from voxelgrain.plans.analyze import Settings, split_analysis
+from voxelgrain.functions.geometry import polygon_area
+from voxelgrain.operators import compare, crowding, display_mesh, edges, masks, runs, split, tracking
+from voxelgrain.operators.simplify import smooth_contours
+from voxelgrain.plans.analyze import Settings, analyze, analyze_seeded, split_analysis, stack_mask
 from voxelgrain.sources import files, manifests, settings
-from voxelgrain.sources.table_stacks import ADAPTERS
+from voxelgrain.sources.table_stacks import ADAPTERS, unpack_frames
 
 
 SCALES = tuple(f"1e{k}" for k in range(-7, 7))
@@ -293,7 +295,49 @@ def probe_edges(spark, folder):
     return edges.nearest_edges(_probes(spark, folder), step=0.5, relaxed_within=1.0).drop("stack_id")
 
 
+def packed_frames(spark, folder):
+    """Vectors as packed 8 by 8 frames, unpacked to pixels."""
+    frames = _read(spark, folder, "embeddings").select(
+        F.expr("concat('emb-', cast(vec_id div 20 as string))").alias("stack_id"), F.expr("cast(vec_id % 20 as int)").alias("z"),
+        F.lit(8).alias("ny"), F.lit(8).alias("nx"), F.expr("transform(embedding, e -> cast(e as double))").alias("data"),
+    )
+    return unpack_frames(frames)
+
+
+def simplified_contours(spark, folder):
+    out = smooth_contours(_polygons(spark, folder).repartition("vec_id"))
+    return out.select("vec_id", F.size("points").alias("corners"), F.round(F.expr(polygon_area("points")), 6).alias("area_px2"))
+
+
+def displayed_mesh(spark, folder):
+    """Measures of the displayed mesh: outliers dropped, slices aligned, halved, meshed, thinned."""
+    s = ADAPTERS["profiles"](spark, folder)
+    a = analyze(s.stacks, s.pixels, Settings(T["profiles"], only_positive=True, include_mesh=True), max_ny=s.max_ny)
+
+    def mask_of(contours):
+        return stack_mask(contours, a.objects, a.frames, ["stack_id"], ["stack_id"])
+
+    triangles, measured = display_mesh.display_mesh(a.contours, mask_of, a.shapes, ["stack_id"], max_faces=100)
+    kept = triangles.groupBy("stack_id").agg(F.count("*").alias("faces"))
+    return _rounded(measured.join(kept, "stack_id"))
+
+
+def merge_checks(spark, folder):
+    """Did the brightest pixel's seed separate its object from what the plain analysis measures?"""
+    s = ADAPTERS["profiles"](spark, folder)
+    seeds = bright_seeds(s)
+    options = Settings(T["profiles"], only_positive=True, include_mesh=True)
+    plain = analyze(s.stacks, s.pixels, options, max_ny=s.max_ny)
+    seeded = analyze_seeded(s.stacks, s.pixels, seeds, options, max_nz=s.max_nz, max_ny=s.max_ny)
+    on_seed = seeded.contours.join(seeds.select("stack_id", F.col("frame_index").alias("z")), ["stack_id", "z"])
+    return crowding.merge_failures(plain.mesh, seeded.mesh, seeded.tracking, on_seed, 24.0)
+
+
 QUERIES = {
+    "packed_frames": packed_frames,
+    "simplified_contours": simplified_contours,
+    "displayed_mesh": displayed_mesh,
+    "merge_failure_checks": merge_checks,
     "tiff_calibration": tiff_calibration,
     "xml_calibration": xml_calibration,
     "voxel_sources": voxel_sources,
@@ -365,6 +409,7 @@ _PROBE = (
 _DFG = f"{sql.dense('profiles')}, fg AS (SELECT * FROM dn WHERE v >= {T['profiles']}), gb AS (SELECT * FROM dn WHERE v < {T['profiles']})"
 
 ORACLES = {
+    "packed_frames": f"WITH {sql.px('embeddings')} SELECT stack_id, z, y, x, v FROM px WHERE v <> 0",
     "tiff_calibration": (
         f"WITH {_TIFF} SELECT stack_id, CASE WHEN known THEN round(CAST(vx AS DOUBLE), 6) END AS vx_um, CASE WHEN known THEN round(CAST(vy AS DOUBLE), 6) END AS vy_um, "
         "CASE WHEN known THEN round(CAST(vz AS DOUBLE), 6) END AS vz_um FROM t"
