@@ -21,6 +21,8 @@ from voxelgrain.session import ensure_checkpoint_dir, materialize
 
 BAND_ROWS = 64
 LABEL_BASE = 4294967296  # 2^32
+LABEL_NONE = -9223372036854775807
+FAR_RIGHT = 1073741824  # beyond any image
 
 
 def pack_label(y: str, x: str) -> Column:
@@ -124,6 +126,32 @@ def connect(edges: DataFrame, keys: Sequence[str], *, max_rounds: int = 60) -> D
     return current.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def touching_labels(lower: DataFrame, upper: DataFrame, line: Sequence[str], reach: int) -> DataFrame:
+    """(line, a, b): labels of runs of two neighbouring rows that touch.
+
+    Both rows are swept from left to right, once per sideways shift, so the work is linear in the
+    number of runs. Runs of one row never overlap.
+    """
+    line = list(line)
+    shifts = F.array(*[F.lit(s) for s in range(-reach, reach + 1)])
+    none = LABEL_NONE
+
+    def ends(rows: DataFrame, mine: str, other: str, moved: str) -> DataFrame:
+        pair = f"array(struct(x0 + {moved} as x, label as l), struct(x1 + 1 + {moved} as x, {none}L as l))"
+        return rows.withColumn("shift", F.explode(shifts)).select(*line, "shift", F.explode(F.expr(pair)).alias("e")).select(
+            *line, "shift", "e.x", F.col("e.l").alias(mine), F.lit(None).cast("bigint").alias(other)
+        )
+
+    events = ends(lower, "a", "b", "0").unionByName(ends(upper, "b", "a", "shift"))
+    # where one run stops and the next begins at the same place, the beginning counts
+    steps = events.groupBy(*line, "shift", "x").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    order = Window.partitionBy(*line, "shift").orderBy("x")
+    states = steps.select(
+        *line, F.last("a", ignorenulls=True).over(order).alias("a"), F.last("b", ignorenulls=True).over(order).alias("b")
+    )
+    return states.where(f"a <> {none}L and b <> {none}L")
+
+
 def label_runs(
     runs: DataFrame,
     keys: Sequence[str],
@@ -133,7 +161,10 @@ def label_runs(
     band_rows: int = BAND_ROWS,
     arranged: bool = False,
 ) -> DataFrame:
-    """Add ``label`` to runs. ``max_ny`` (image height) lets single-band images skip the seam step."""
+    """Add ``label`` and ``bottom`` (last row of the component) to runs.
+
+    ``max_ny`` (image height) lets single-band images skip the seam step.
+    """
     keys = list(keys)
     reach = 1 if connectivity == 8 else 0
     base = LABEL_BASE
@@ -143,26 +174,30 @@ def label_runs(
         x0 = table.column("x0").to_numpy().astype(np.int64)
         x1 = table.column("x1").to_numpy().astype(np.int64)
         root = _roots(group, y, x0, x1, reach)
-        return {"label": y[root] * base + x0[root]}
+        bottom = y.copy()
+        np.maximum.at(bottom, root, y)
+        return {"label": y[root] * base + x0[root], "bottom": bottom[root].astype(np.int32)}
 
-    local = map_sorted_groups(
-        runs, [*keys, "z", "band"], ["y", "x0"], work, [("label", T.LongType())], arranged=arranged
-    )
+    fields = [("label", T.LongType()), ("bottom", T.IntegerType())]
+    local = map_sorted_groups(runs, [*keys, "z", "band"], ["y", "x0"], work, fields, arranged=arranged)
     if max_ny is not None and max_ny <= band_rows:
         return local
     local = materialize(local)
     frame = [*keys, "z"]
-    lower = local.where(f"y % {band_rows} = {band_rows - 1}").select(
-        *frame, (F.col("y") + 1).alias("y"), F.explode(F.sequence("x0", "x1")).alias("x"), F.col("label").alias("a")
+    lower = local.where(f"pmod(y, {band_rows}) = {band_rows - 1}").select(*frame, (F.col("y") + 1).alias("y"), "x0", "x1", "label")
+    upper = local.where(f"pmod(y, {band_rows}) = 0").select(*frame, "y", "x0", "x1", "label")
+    seams = touching_labels(lower, upper, [*frame, "y"], reach).select(*frame, "a", "b")
+    linked = connect(seams, frame)
+    named = linked.select(*frame, F.col("node").alias("label"), "root").unionByName(
+        linked.select(*frame, F.col("root").alias("label"), "root").distinct()
     )
-    upper = local.where(f"y % {band_rows} = 0").select(
-        *frame, "y", F.explode(F.sequence(F.col("x0") - reach, F.col("x1") + reach)).alias("x"), F.col("label").alias("b")
+    lowest = local.select(*frame, "label", "bottom").distinct().join(named, [*frame, "label"]).groupBy(*frame, "root").agg(
+        F.max("bottom").alias("lowest")
     )
-    seams = lower.join(upper, [*frame, "y", "x"]).select(*frame, "a", "b")
-    merged = connect(seams, frame)
+    merged = named.join(lowest, [*frame, "root"])
     return (
-        local.join(merged.withColumnRenamed("node", "label"), [*frame, "label"], "left")
-        .withColumn("label", F.coalesce("root", "label"))
+        local.join(merged, [*frame, "label"], "left")
+        .withColumn("label", F.coalesce("root", "label")).withColumn("bottom", F.coalesce("lowest", "bottom"))
         .select(*local.columns)
     )
 
@@ -190,14 +225,27 @@ def run_components(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def gap_runs(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Gaps between neighbouring runs of one component in one row, the only places holes can be."""
+def surrounding_runs(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Background of each component on its own: (keys, z, label, band, y, x0, x1).
+
+    Every row of a component gives the gaps between its runs and one stretch to either side; rows
+    above and below the component join both sides. The outside therefore is one region, and its
+    first pixel is known from the component's label.
+    """
     keys = list(keys)
     order = Window.partitionBy(*keys, "z", "label", "band", "y").orderBy("x0")
+    top = f"y = label div {LABEL_BASE}L"
+    parts = (
+        f"array(struct(y as y, x1 + 1 as x0, coalesce(ahead - 1, {FAR_RIGHT}) as x1), "
+        "if(behind is null, struct(y as y, -1 as x0, x0 - 1 as x1), null), "
+        f"if(behind is null and {top}, struct(y - 1 as y, -1 as x0, {FAR_RIGHT} as x1), null), "
+        f"if(behind is null and y = bottom, struct(y + 1 as y, -1 as x0, {FAR_RIGHT} as x1), null))"
+    )
     return (
-        labelled.repartition(*keys, "z", "label", "band")
-        .select(*keys, "z", "label", "band", "y", (F.col("x1") + 1).alias("x0"), (F.lead("x0").over(order) - 1).alias("x1"))
-        .where("x1 is not null")
+        labelled.select(*keys, "z", "label", "bottom", "band", "y", "x0", "x1").repartition(*keys, "z", "label", "band")
+        .withColumn("ahead", F.lead("x0").over(order)).withColumn("behind", F.lag("x1").over(order))
+        .select(*keys, "z", "label", "band", F.explode(F.expr(f"filter({parts}, p -> p is not null)")).alias("p"))
+        .select(*keys, "z", "label", "band", "p.y", "p.x0", "p.x1")
     )
 
 
@@ -207,25 +255,18 @@ def hole_runs(
     """Runs of background (and anything nested in it) that a component encloses.
 
     Background is 4-connected within the component's own complement, so the result does not depend
-    on other components. A gap stretch is open when it meets the outside in a neighbouring row.
+    on other components.
     """
     keys = list(keys)
     owner = [*keys, "z", "label"]
-    gaps = gap_runs(labelled, keys).withColumnRenamed("label", "owner")
-    named = label_runs(gaps, [*keys, "owner"], connectivity=4, max_ny=max_ny, band_rows=band_rows, arranged=True)
-    # one exchange here serves both branches below, so gaps are labelled once
-    named = named.select(*keys, "z", F.col("owner").alias("label"), F.col("label").alias("gap"), "y", "x0", "x1").repartition(
-        *owner, "gap"
-    )
-    reach = labelled.groupBy(*owner, "y").agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
-    beside = named.select(*owner, "gap", "x0", "x1", F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"))
-    open_gaps = (
-        beside.join(reach, [*owner, "y"], "left")
-        .where("left is null or x0 < left or x1 > right")
-        .select(*owner, "gap")
-        .distinct()
+    around = surrounding_runs(labelled, keys).withColumnRenamed("label", "owner")
+    named = label_runs(around, [*keys, "owner"], connectivity=4, max_ny=max_ny, band_rows=band_rows, arranged=True)
+    outside = f"(owner div {LABEL_BASE}L - 1) * {LABEL_BASE}L - 1"
+    # the exchange here serves all later uses, so the surroundings are labelled once
+    return (
+        named.where(f"label <> {outside}")
+        .select(*keys, "z", F.col("owner").alias("label"), "y", "x0", "x1").repartition(*owner, "y")
     )
-    return named.join(open_gaps, [*owner, "gap"], "left_anti").select(*owner, "y", "x0", "x1")
 
 
 def filled_runs(labelled: DataFrame, holes: DataFrame, keys: Sequence[str]) -> DataFrame:
