@@ -161,7 +161,7 @@ def label_runs(
     band_rows: int = BAND_ROWS,
     arranged: bool = False,
 ) -> DataFrame:
-    """Add ``label`` and ``bottom`` (last row of the component) to runs.
+    """Add ``label``, ``bottom`` (the component's last row) and ``gapped`` (does any row hold two runs?).
 
     ``max_ny`` (image height) lets single-band images skip the seam step.
     """
@@ -176,9 +176,13 @@ def label_runs(
         root = _roots(group, y, x0, x1, reach)
         bottom = y.copy()
         np.maximum.at(bottom, root, y)
-        return {"label": y[root] * base + x0[root], "bottom": bottom[root].astype(np.int32)}
+        by_root = np.argsort(root, kind="stable")
+        again = (np.diff(root[by_root]) == 0) & (np.diff(y[by_root]) == 0)
+        gapped = np.zeros(len(y), dtype=bool)
+        gapped[root[by_root[1:][again]]] = True
+        return {"label": y[root] * base + x0[root], "bottom": bottom[root].astype(np.int32), "gapped": gapped[root]}
 
-    fields = [("label", T.LongType()), ("bottom", T.IntegerType())]
+    fields = [("label", T.LongType()), ("bottom", T.IntegerType()), ("gapped", T.BooleanType())]
     local = map_sorted_groups(runs, [*keys, "z", "band"], ["y", "x0"], work, fields, arranged=arranged)
     if max_ny is not None and max_ny <= band_rows:
         return local
@@ -191,13 +195,13 @@ def label_runs(
     named = linked.select(*frame, F.col("node").alias("label"), "root").unionByName(
         linked.select(*frame, F.col("root").alias("label"), "root").distinct()
     )
-    lowest = local.select(*frame, "label", "bottom").distinct().join(named, [*frame, "label"]).groupBy(*frame, "root").agg(
-        F.max("bottom").alias("lowest")
-    )
+    whole = local.select(*frame, "label", "bottom", "gapped").distinct().join(named, [*frame, "label"])
+    lowest = whole.groupBy(*frame, "root").agg(F.max("bottom").alias("lowest"), F.bool_or("gapped").alias("any_gap"))
     merged = named.join(lowest, [*frame, "root"])
     return (
         local.join(merged, [*frame, "label"], "left")
         .withColumn("label", F.coalesce("root", "label")).withColumn("bottom", F.coalesce("lowest", "bottom"))
+        .withColumn("gapped", F.coalesce("any_gap", "gapped"))
         .select(*local.columns)
     )
 
@@ -228,6 +232,7 @@ def run_components(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
 def surrounding_runs(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Background of each component on its own: (keys, z, label, band, y, x0, x1).
 
+    Components whose rows are all single runs enclose nothing and are left out.
     Every row of a component gives the gaps between its runs and one stretch to either side; rows
     above and below the component join both sides. The outside therefore is one region, and its
     first pixel is known from the component's label.
@@ -242,7 +247,7 @@ def surrounding_runs(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
         f"if(behind is null and y = bottom, struct(y + 1 as y, -1 as x0, {FAR_RIGHT} as x1), null))"
     )
     return (
-        labelled.select(*keys, "z", "label", "bottom", "band", "y", "x0", "x1").repartition(*keys, "z", "label", "band")
+        labelled.where("gapped").select(*keys, "z", "label", "bottom", "band", "y", "x0", "x1").repartition(*keys, "z", "label", "band")
         .withColumn("ahead", F.lead("x0").over(order)).withColumn("behind", F.lag("x1").over(order))
         .select(*keys, "z", "label", "band", F.explode(F.expr(f"filter({parts}, p -> p is not null)")).alias("p"))
         .select(*keys, "z", "label", "band", "p.y", "p.x0", "p.x1")
