@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.functions.checks import raise_when
+from voxelgrain.functions.checks import raise_when, require
 from voxelgrain.operators.runs import BAND_ROWS, complement_runs, pixel_runs
 
 
@@ -75,7 +75,7 @@ def check_rect(stacks: DataFrame, rect: Rect | None) -> DataFrame:
         f"{clamp.format(size='nx', value=rect.xmax)} <= {clamp.format(size='nx', value=rect.xmin)} or "
         f"{clamp.format(size='ny', value=rect.ymax)} <= {clamp.format(size='ny', value=rect.ymin)}"
     )
-    return stacks.withColumn("nx", raise_when(bad, "ROI bounds must define a non-empty rectangle", "nx"))
+    return require(stacks, bad, "ROI bounds must define a non-empty rectangle")
 
 
 def zero_outside(pixels: DataFrame, rect: Rect) -> DataFrame:
@@ -95,9 +95,7 @@ def frame_thresholds(frames: DataFrame, thresholds: float | DataFrame) -> DataFr
         return frames.join(thresholds.select("stack_id", "threshold"), "stack_id")
     joined = frames.join(thresholds.select("stack_id", "z", "threshold", F.lit(1).alias("_given")), ["stack_id", "z"], "full")
     bad = "_given is null or z_first is null"
-    return joined.withColumn(
-        "threshold", raise_when(bad, "threshold sequence length must match number of frames", "threshold")
-    ).drop("_given")
+    return require(joined, bad, "threshold sequence length must match number of frames").drop("_given")
 
 
 def threshold_mask(pixels: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -145,14 +143,8 @@ def mark_excluded(frames: DataFrame, excluded: DataFrame | None) -> DataFrame:
         return frames.withColumn("excluded", F.lit(False))
     named = excluded.select("stack_id", "z", F.lit(True).alias("_out")).distinct()
     known = frames.select("stack_id", "z", F.lit(True).alias("_known")).distinct()
-    checked = named.join(known, ["stack_id", "z"], "left").withColumn(
-        "_out",
-        raise_when(
-            "_known is null",
-            F.concat(F.lit("excluded frame index(es) not in analyzed stack: "), F.col("z").cast("string")),
-            "_out",
-        ),
-    ).drop("_known")
+    message = F.concat(F.lit("excluded frame index(es) not in analyzed stack: "), F.col("z").cast("string"))
+    checked = require(named.join(known, ["stack_id", "z"], "left"), "_known is null", message).drop("_known")
     return frames.join(checked, ["stack_id", "z"], "left").withColumn("excluded", F.expr("coalesce(_out, false)")).drop("_out")
 
 
