@@ -8,7 +8,8 @@ from catalog import sql
 from catalog.objects import CANDIDATE_SQL
 from voxelgrain.functions.geometry import FRAME_METRICS, SUMMARY_METRICS, contour_metrics, hull_area_of_points
 from voxelgrain.operators import masks, report, summary
-from voxelgrain.operators.summary import BATCH_COLUMNS, STATS, SWEEP_COLUMNS
+from voxelgrain.operators.summary import STATS, SWEEP_COLUMNS
+from voxelgrain.operators.threshold import sweep_values
 from voxelgrain.plans.analyze import Settings, analyze, best_threshold, sweep
 from voxelgrain.sources.table_stacks import ADAPTERS
 
@@ -136,10 +137,8 @@ def first_frames(spark, folder):
 
 
 def sweep_table(spark, folder):
-    from voxelgrain.operators.threshold import sweep_values
-
     s = ADAPTERS["profiles"](spark, folder)
-    a = sweep(s.stacks, s.pixels, sweep_values(spark, *SWEEP), Settings(0.0, only_positive=True), max_ny=s.max_ny)
+    a = sweep(s.stacks, s.pixels, sweep_values(*SWEEP), Settings(0.0, only_positive=True), max_ny=s.max_ny)
     return a.summary
 
 

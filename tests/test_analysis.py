@@ -108,7 +108,7 @@ def test_block_sweep_and_best(spark, make):
     a = np.zeros((2, 8, 8))
     a[:, 2:5, 1:4] = 200
     s, p = make({"a": a})
-    t = spark.createDataFrame([(50.0,), (250.0,)], "threshold double")
+    t = [50.0, 250.0]
     r = sweep(s, p, t, Settings(0.0, contour="rectangle"), max_ny=8)
     low, high = rows(r.summary, "threshold")
     assert low["area_um2_mean"] == 9.0 and low["valid_fraction"] == 1.0

@@ -43,12 +43,12 @@ def test_threshold_suggestions(spark, make):
         threshold.suggest_threshold(p, s, "magic")
 
 
-def test_sweep_values(spark):
-    assert [r.threshold for r in threshold.sweep_values(spark, 50, 100, 25).collect()] == [50, 75, 100]
-    assert [r.threshold for r in threshold.sweep_values(spark, 0, 1, 0.1).collect()][-1] == 1.0
+def test_sweep_values():
+    assert threshold.sweep_values(50, 100, 25) == [50, 75, 100]
+    assert threshold.sweep_values(0, 1, 0.1)[-1] == 1.0 and len(threshold.sweep_values(0, 1, 0.1)) == 11
     for bad in ((0, 1, 0), (2, 1, 1)):
         with pytest.raises(ValueError):
-            threshold.sweep_values(spark, *bad)
+            threshold.sweep_values(*bad)
 
 
 def _csv(spark, tmp_path, name, text):

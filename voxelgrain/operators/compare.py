@@ -113,12 +113,10 @@ def compare_tables(
             )
         )
     differences = lone.unionByName(found)
-    report = (
-        pairs.agg(F.count("*").alias("compared_rows"))
-        .crossJoin(judged.agg(F.count("*").alias("compared_cells")))
-        .crossJoin(differences.agg(F.count("*").alias("difference_count")))
-        .select("compared_rows", "compared_cells", "difference_count", F.expr("difference_count = 0").alias("passed"))
-    )
+    totals = ("compared_rows", "compared_cells", "difference_count")
+    counted = [table.agg(F.count("*").alias(name)) for table, name in zip((pairs, judged, differences), totals)]
+    together = counted[0].unionByName(counted[1], allowMissingColumns=True).unionByName(counted[2], allowMissingColumns=True)
+    report = together.agg(*[F.max(name).alias(name) for name in totals]).withColumn("passed", F.expr("difference_count = 0"))
     return differences, report
 
 

@@ -271,15 +271,17 @@ def analyze_seeded(
 
 
 def sweep(
-    stacks: DataFrame, pixels: DataFrame, thresholds: DataFrame, settings: Settings, *,
+    stacks: DataFrame, pixels: DataFrame, thresholds: Sequence[float], settings: Settings, *,
     max_ny: int | None = None, band_rows: int = BAND_ROWS,
 ) -> Analysis:
     """The unseeded analysis for every stack and threshold in one job, one scan of the pixels."""
     keys = ["stack_id", "threshold"]
     checked = masks.check_rect(stacks, settings.rect)
-    frames = masks.stack_frames(checked, settings.slices).crossJoin(thresholds.select("threshold")).withColumn(
-        "excluded", F.lit(False)
-    )
+    if not thresholds:
+        raise ValueError("threshold sweep requires at least one threshold")
+    frames = masks.stack_frames(checked, settings.slices).withColumn(
+        "threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    ).withColumn("excluded", F.lit(False))
     objects = find_objects(pixels, frames, keys, settings, max_ny=max_ny, band_rows=band_rows)
 
     def find() -> DataFrame:

@@ -36,4 +36,5 @@ def roll_up(checks: DataFrame, index: DataFrame) -> DataFrame:
         F.expr("count_if(status = 'ok' and valid_frame_count = frame_count)").alias("runs_complete"),
         F.expr("count_if(status = 'ok' and warning_codes <> '')").alias("runs_with_warnings"),
     )
-    return a.crossJoin(b).withColumn("passed", F.expr("checks = checks_passed and runs_unreadable = 0"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn("passed", F.expr("checks = checks_passed and runs_unreadable = 0"))
