@@ -169,6 +169,7 @@ def settings_written(spark, folder):
 
 
 def _sides(spark, folder):
+    """All orders as two metric tables; each side lacks some rows and some cells differ."""
     orders = _read(spark, folder, "orders")
     price = "cast(cast(o_totalprice as decimal(14, 2)) as string)"
     expected = orders.where("o_orderkey % 97 <> 1").select(

@@ -31,7 +31,10 @@ def pack_label(y: str, x: str) -> Column:
 
 
 def pixel_runs(mask: DataFrame, keys: Sequence[str], *, band_rows: int = BAND_ROWS) -> DataFrame:
-    """Foreground pixels (keys, z, y, x) to runs (keys, z, band, y, x0, x1), laid out by band."""
+    """Foreground pixels (keys, z, y, x) to runs (keys, z, band, y, x0, x1), laid out by band.
+
+    A pixel given twice counts once.
+    """
     keys = list(keys)
     row = [*keys, "z", "band", "y"]
     laid_out = mask.select(*keys, "z", F.expr(f"y div {band_rows}").cast("int").alias("band"), "y", "x").repartition(
@@ -39,7 +42,7 @@ def pixel_runs(mask: DataFrame, keys: Sequence[str], *, band_rows: int = BAND_RO
     )
     order = Window.partitionBy(*row).orderBy("x")
     return (
-        laid_out.withColumn("island", F.col("x") - F.row_number().over(order))
+        laid_out.withColumn("island", F.col("x") - F.dense_rank().over(order))
         .groupBy(*row, "island")
         .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
         .drop("island")
