@@ -252,22 +252,31 @@ def follow_chain(start: DataFrame, pointers: DataFrame, max_nz: int) -> DataFram
     """
     ensure_checkpoint_dir(pointers.sparkSession)
     run = ["stack_id", "seed_id", "dir"]
-    reached = start.select("stack_id", "seed_id", F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir"), "z", "label")
-    reached, jump = reached.checkpoint(), pointers.select(*run, "z", "label", "to_z", "to_label").checkpoint()
+    first = start.select("stack_id", "seed_id", F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir"), "z", "label")
+    # one table holds the reached components (no target) and the pointers, so a round is one job
+    state = first.withColumns({"to_z": F.lit(None).cast("int"), "to_label": F.lit(None).cast("bigint")}).unionByName(
+        pointers.select(*run, "z", "label", "to_z", "to_label")
+    ).checkpoint()
     rounds = max(1, math.ceil(math.log2(max(max_nz, 2))))
     for number in range(rounds):
+        reached = state.where("to_z is null").select(*run, "z", "label")
+        jump = state.where("to_z is not null")
         ahead = reached.join(jump, [*run, "z", "label"]).select(
             *run, F.col("to_z").alias("z"), F.col("to_label").alias("label")
         )
-        reached = reached.unionByName(ahead).checkpoint()
-        if number + 1 < rounds:
-            onward = jump.select(
-                *run, F.col("z").alias("to_z"), F.col("label").alias("to_label"),
-                F.col("to_z").alias("far_z"), F.col("to_label").alias("far_label"),
-            )
-            jump = jump.join(onward, [*run, "to_z", "to_label"]).select(
-                *run, "z", "label", F.col("far_z").alias("to_z"), F.col("far_label").alias("to_label")
-            ).checkpoint()
+        reached = reached.unionByName(ahead)
+        if number + 1 == rounds:
+            break
+        onward = jump.select(
+            *run, F.col("z").alias("to_z"), F.col("label").alias("to_label"),
+            F.col("to_z").alias("far_z"), F.col("to_label").alias("far_label"),
+        )
+        jump = jump.join(onward, [*run, "to_z", "to_label"]).select(
+            *run, "z", "label", F.col("far_z").alias("to_z"), F.col("far_label").alias("to_label")
+        )
+        state = reached.withColumns({"to_z": F.lit(None).cast("int"), "to_label": F.lit(None).cast("bigint")}).unionByName(
+            jump
+        ).checkpoint()
     return reached.select("stack_id", "seed_id", "z", "label").distinct()
 
 
