@@ -30,6 +30,15 @@ def _frequent(rows: DataFrame, heavy: int, tracked: int) -> DataFrame:
     return counted.where("group_size > 1")
 
 
+def _surveyed(reports: DataFrame, key: str, text: str, heavy: int, tracked: int) -> tuple[DataFrame, DataFrame]:
+    """The written (id, digest, row) of every report and the written table of frequent digests."""
+    rows = materialize(
+        reports.select(F.col(key).alias("id"), text_digest(F.col(text)).alias("digest"))
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    return rows, materialize(_frequent(rows, heavy, tracked))
+
+
 def copy_groups(
     reports: DataFrame, *, key: str = STACK, text: str = REPORT, heavy: int = HEAVY, tracked: int = TRACKED
 ) -> DataFrame:
@@ -41,11 +50,7 @@ def copy_groups(
 
     Only keys and digests are shuffled. ``heavy`` bounds the table that is broadcast.
     """
-    rows = materialize(
-        reports.select(F.col(key).alias("id"), text_digest(F.col(text)).alias("digest"))
-        .withColumn("row", F.monotonically_increasing_id())
-    )
-    frequent = materialize(_frequent(rows, heavy, tracked))
+    rows, frequent = _surveyed(reports, key, text, heavy, tracked)
     known = F.broadcast(frequent)
     marked = rows.join(known, "digest")
     rest = rows.join(known.select("digest"), "digest", "left_anti")
@@ -62,22 +67,17 @@ def drop_copies(
 ) -> DataFrame:
     """The reports that stay, with all their columns: one row for each group of ``copy_groups``.
 
-    Of rows that share text and key any one may carry the other columns.
+    Of rows that share text and key any one may carry the other columns. Copies of frequent texts go in the task that
+    reads them; a group of the rest is reduced in every task before it is shuffled.
     """
-    groups = copy_groups(reports, key=key, text=text, heavy=heavy, tracked=tracked)
-    stays = materialize(groups.where("kept").select(F.col(key).alias("_id"), F.col("text_sha256").alias("_digest"), "group_size"))
-    # groups large enough for the summary are few; their copies go in the task that reads them
-    large = F.broadcast(stays.orderBy(F.desc("group_size"), "_digest").limit(heavy).where("group_size > 1").select("_digest", "_id"))
-    names = [*reports.columns]
-    all_rows = reports.withColumn("_digest", text_digest(F.col(text)))
-
-    def once(found: DataFrame) -> DataFrame:
-        # as one struct, so that clashing names of other columns do not matter
-        return found.groupBy("_digest").agg(F.first("_row").alias("_row")).select("_row.*")
-
-    packed = all_rows.select("_digest", F.col(key).alias("_key"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row")).alias("r")
-    of_large = packed.join(large.alias("d"), F.col("r._digest") == F.col("d._digest")).where(F.col("_key").eqNullSafe(F.col("_id"))).select("r.*")
-    others = packed.join(large.select("_digest"), "_digest", "left_anti").alias("r").join(
-        stays.alias("d"), (F.col("r._digest") == F.col("d._digest")) & F.col("r._key").eqNullSafe(F.col("d._id")), "left_semi"
+    _, frequent = _surveyed(reports, key, text, heavy, tracked)
+    known = F.broadcast(frequent.select(F.col("digest").alias("_digest"), F.col("stays.id").alias("_stays")))
+    # the row travels as one struct, so that names of other columns cannot clash
+    packed = reports.select(
+        text_digest(F.col(text)).alias("_digest"), F.col(key).alias("_id"), F.struct(*[F.col(f"`{n}`") for n in reports.columns]).alias("_row")
     )
-    return once(of_large).unionByName(once(others))
+    of_frequent = packed.join(known, "_digest").where(F.col("_id").eqNullSafe(F.col("_stays"))).select("_digest", "_id", "_row")
+    others = packed.join(known, "_digest", "left_anti")
+    # a null key is never largest unless all are null
+    largest = F.max_by("_row", F.struct("_id"))
+    return of_frequent.unionByName(others).groupBy("_digest").agg(largest.alias("_row")).select("_row.*")

@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelgrain.llm.benchmark_overlap import benchmark_overlaps
 from voxelgrain.llm.exact_copies import copy_groups
+from voxelgrain.llm.near_copies import near_groups
+from voxelgrain.llm.report_language import LanguageModel, fit_languages, identify_languages
 from voxelgrain.llm.secret_search import RULES, find_secrets
 from voxelgrain.llm.token_transducer import decode_reports, encode_reports
 
@@ -51,8 +54,36 @@ def op2_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_groups(reports(spark, folder))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select(F.col("stack_id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
+def op7_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_overlaps(reports(spark, folder), table(spark, folder, "benchmark")).withColumnRenamed("stack_id", "doc_id")
+
+
+def held_out(remainder: int, parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == remainder
+
+
+def language_model(documents: DataFrame) -> LanguageModel:
+    """Learns from documents outside the held-out part."""
+    return fit_languages(documents.where(~held_out(2, 4)), key="doc_id", text="text", language="lang")
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = identify_languages(documents.select("doc_id", "text"), language_model(documents), text="text")
+    return found.select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return copy_groups(reports(spark, folder)).withColumnRenamed("stack_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_byte_pairs, op8_exact_copies)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op2_byte_pairs, op4_near_copies, op7_benchmark_overlap, op8_exact_copies, op10_language)
+}
