@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelgrain.llm.byte_pairs import LETTER, NUMBER, character_classes
-from voxelgrain.llm.records import REPORT, STACK, text_slices
+from voxelgrain.llm.records import REPORT, STACK, Shared, text_slices
 
 WINDOW = 15
 SHARE = 0.8
@@ -160,7 +160,7 @@ def benchmark_overlaps(
     )
     out = None
     for block in _blocks(benchmark, item, item_text):
-        seeds = spark.sparkContext.broadcast(SeedTable(block, classes))
+        seeds = Shared(spark, SeedTable(block, classes))
 
         def run(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             table = seeds.value
@@ -183,13 +183,14 @@ def drop_overlapping(
     """The reports that overlap no item, with all their columns, where they were read."""
     spark, classes, left = reports.sparkSession, character_classes(), reports
     for block in _blocks(benchmark, item, item_text):
-        seeds = spark.sparkContext.broadcast(SeedTable(block, classes))
+        seeds = Shared(spark, SeedTable(block, classes))
 
         def run(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
+            table = seeds.value
             for batch in batches:
                 for part in text_slices(batch, text):
                     clean = np.ones(part.num_rows, bool)
-                    for found in seeds.value.overlaps(part.column(text).to_pylist()) if part.num_rows else ():
+                    for found in table.overlaps(part.column(text).to_pylist()) if part.num_rows else ():
                         clean[found[0]] = False
                     yield part.filter(pa.array(clean))
 

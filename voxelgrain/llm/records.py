@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STACK, REPORT = "stack_id", "report"
@@ -13,6 +13,20 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_CHARS = 1 << 20
 
 
+class Shared:
+    """An object whose plain attributes are broadcast; its class travels with the task, so workers need no copy of it."""
+
+    def __init__(self, spark: SparkSession, thing: object):
+        self.kind = type(thing)
+        self.held = spark.sparkContext.broadcast(dict(vars(thing)))
+
+    @property
+    def value(self):
+        thing = object.__new__(self.kind)
+        vars(thing).update(self.held.value)
+        return thing
+
+
 def run_reports(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, report): the lines of ``operators.report.report_lines`` as one text per run.
 

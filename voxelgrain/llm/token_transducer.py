@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from voxelgrain.llm.byte_pairs import MergeTables, TextMachine, encode_texts
-from voxelgrain.llm.records import REPORT, text_slices
+from voxelgrain.llm.records import REPORT, Shared, text_slices
 
 FEED_IDS = 1 << 14
 
@@ -33,13 +33,14 @@ def encode_reports(reports: DataFrame, tokenizer: str, *, text: str = REPORT) ->
     gives no ids. Rows are encoded one by one, so repeated rows repeat. The text is cut into pre-tokens; a pre-token longer
     than the merge list's lookahead goes through the transducer, which emits a token once enough bytes follow it.
     """
-    tables = reports.sparkSession.sparkContext.broadcast(MergeTables(tokenizer))
+    tables = Shared(reports.sparkSession, MergeTables(tokenizer))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tables.value
         for batch in batches:
             for part in text_slices(batch, text):
-                ids = list(encode_texts(part.column(text).to_pylist(), tables.value))[: part.num_rows]
+                ids = list(encode_texts(part.column(text).to_pylist(), own))
                 added = {
                     "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
                     "token_ids": pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()),
@@ -54,17 +55,18 @@ def decode_reports(tokens: DataFrame, tokenizer: str, *, token_ids: str = "token
 
     Ids are fed piece by piece; an unfinished character waits for its next bytes, and what never becomes one is replaced.
     """
-    tables = tokens.sparkSession.sparkContext.broadcast(MergeTables(tokenizer))
+    tables = Shared(tokens.sparkSession, MergeTables(tokenizer))
     fields = [T.StructField(decoded, T.StringType())]
 
-    def one(raw: bytes | None) -> str:
-        machine = TextMachine(tables.value)
+    def one(raw: bytes | None, own: MergeTables) -> str:
+        machine = TextMachine(own)
         ids = np.frombuffer(raw or b"", "<u4")
         return "".join([machine.feed(ids[i : i + FEED_IDS]) for i in range(0, len(ids), FEED_IDS)]) + machine.close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tables.value
         for batch in batches:
             for part in text_slices(batch, token_ids):
-                yield _replaced(part, {decoded: pa.array([one(x) for x in part.column(token_ids).to_pylist()], pa.string())})
+                yield _replaced(part, {decoded: pa.array([one(x, own) for x in part.column(token_ids).to_pylist()], pa.string())})
 
     return tokens.mapInArrow(run, _with_fields(tokens, fields))
