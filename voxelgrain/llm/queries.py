@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelgrain.llm.benchmark_overlap import benchmark_overlaps
+from voxelgrain.llm.conversation_tree import conversation_digests, pack_conversations, read_conversations
 from voxelgrain.llm.exact_copies import copy_groups
 from voxelgrain.llm.near_copies import near_groups
+from voxelgrain.llm.page_text import extract_pages
 from voxelgrain.llm.report_language import LanguageModel, fit_languages, identify_languages
 from voxelgrain.llm.secret_search import RULES, find_secrets
+from voxelgrain.llm.token_store import read_token_store, write_token_store
 from voxelgrain.llm.token_transducer import decode_reports, encode_reports
+from voxelgrain.llm.toxic_windows import fit_toxic, score_toxic
+from voxelgrain.session import checkpoint_folder
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -73,6 +80,30 @@ def language_model(documents: DataFrame) -> LanguageModel:
     return fit_languages(documents.where(~held_out(2, 4)), key="doc_id", text="text", language="lang")
 
 
+def op3_toxic(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").where(~held_out(0, 5)).select(F.col("doc_id").alias("stack_id"), "toxic")
+    texts = reports(spark, folder)
+    found = score_toxic(texts, fit_toxic(texts, labels)).withColumnRenamed("stack_id", "doc_id")
+    return found.select("doc_id", held_out(0, 5).alias("held_out"), "score", "predicted")
+
+
+def op5_conversation_tree(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    return conversation_digests(read_conversations(pack_conversations(given.unionByName(more))))
+
+
+def op6_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages")).withColumn("n_lines", F.size(F.split("text", "\n")).cast("bigint"))
+
+
+def op9_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    place = f"{checkpoint_folder(spark).rstrip('/')}/token-store-{uuid.uuid4().hex}"
+    write_token_store(reports(spark, folder), tokenizer_path(), place)
+    return read_token_store(spark, place).withColumnRenamed("stack_id", "doc_id")
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     found = identify_languages(documents.select("doc_id", "text"), language_model(documents), text="text")
@@ -85,5 +116,9 @@ def op8_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_byte_pairs, op4_near_copies, op7_benchmark_overlap, op8_exact_copies, op10_language)
+    for f in (
+        op1_secret_scan, op2_byte_pairs, op3_toxic, op4_near_copies, op5_conversation_tree, op6_page_text, op7_benchmark_overlap,
+        op8_exact_copies, op9_token_store,
+        op10_language,
+    )
 }
