@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelgrain.llm.byte_pairs import MergeTables, encode_texts
+from voxelgrain.llm.byte_pairs import MergeTables, encode_texts, printable_bytes
 from voxelgrain.llm.records import REPORT, STACK, Shared, text_slices
 
 MAGIC = b"DAC1"
@@ -88,13 +88,14 @@ def _library_encoder(tables: MergeTables):
 
     cache = tables.cache
     if "tokenizer" not in cache:
-        cache["tokenizer"] = Tokenizer.from_str(tables.described)
+        cache["tokenizer"] = Tokenizer.from_str(tables.described).model
         cache["memo"] = {}
-    library, memo = cache["tokenizer"], cache["memo"]
+        cache["shown"] = {b: c for c, b in printable_bytes().items()}
+    library, memo, shown = cache["tokenizer"], cache["memo"], cache["shown"]
 
     def encode(words: list[bytes]) -> list[list[int]]:
-        new = [w for w in words if w not in memo]
-        coded = dict(zip(new, (e.ids for e in library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+        # pre-tokens are cut already, so the library's model takes them without its per-text overhead
+        coded = {w: [t.id for t in library.tokenize(w.decode("latin-1").translate(shown))] for w in words if w not in memo}
         out = [memo.get(w) or coded[w] for w in words]
         if len(memo) < MEMO_WORDS:
             memo.update(coded)
