@@ -29,7 +29,7 @@ def run(spark, folder, table, *, excluded=None, **settings):
     if excluded:
         out = s.stacks.where(excluded).select("stack_id", F.explode(F.array(F.lit(1), F.lit(3))).alias("z"))
     options = Settings(T[table], only_positive=True, **settings)
-    return s, analyze(s.stacks, s.pixels, options, excluded=out, max_ny=s.max_ny)
+    return s, analyze(s.stacks, s.pixels, options, excluded=out)
 
 
 MESH = ("mesh_surface_area_um2", "mesh_volume_um3", "mesh_equivalent_sphere_diameter_um", "mesh_sphericity")
@@ -98,7 +98,7 @@ def batch(spark, folder):
         "stack_id", "source_path", F.concat(F.lit("no voxel spacing in "), F.col("source_path")).alias("error_message")
     )
     good = s.stacks.join(failing.select("stack_id"), "stack_id", "left_anti")
-    a = analyze(good, s.pixels, Settings(T["profiles"], only_positive=True), max_ny=s.max_ny)
+    a = analyze(good, s.pixels, Settings(T["profiles"], only_positive=True))
     rows = summary.batch_rows(a.summary)
     return rows.unionByName(summary.failed_rows(failing, rows))
 
@@ -138,7 +138,7 @@ def first_frames(spark, folder):
 
 def sweep_table(spark, folder):
     s = ADAPTERS["profiles"](spark, folder)
-    a = sweep(s.stacks, s.pixels, sweep_values(*SWEEP), Settings(0.0, only_positive=True), max_ny=s.max_ny)
+    a = sweep(s.stacks, s.pixels, sweep_values(*SWEEP), Settings(0.0, only_positive=True))
     return a.summary
 
 

@@ -20,7 +20,7 @@ def labelled(spark, folder, table, t, *, connectivity=8, band_rows=runs.BAND_ROW
     s = ADAPTERS[table](spark, folder)
     mask = runs.pixel_runs(s.pixels.where(F.col("v") >= t), ["stack_id"], band_rows=band_rows)
     return s, runs.label_runs(
-        mask, ["stack_id"], connectivity=connectivity, max_ny=s.max_ny, band_rows=band_rows, arranged=True
+        mask, ["stack_id"], connectivity=connectivity, band_rows=band_rows, arranged=True
     )
 
 
@@ -108,7 +108,7 @@ def component_edges(spark, folder):
 def enclosed(band_rows):
     def run(spark, folder):
         s, found = labelled(spark, folder, "lineitem", 3.0, band_rows=band_rows)
-        holes = runs.hole_runs(found, ["stack_id"], max_ny=s.max_ny, band_rows=band_rows)
+        holes = runs.hole_runs(found, ["stack_id"], band_rows=band_rows)
         return holes.groupBy("stack_id", "z", "label").agg(
             F.expr("sum(x1 - x0 + 1)").alias("pixels"), F.min("y").alias("ymin"), F.max("y").alias("ymax")
         )
@@ -118,7 +118,7 @@ def enclosed(band_rows):
 
 def outlines(spark, folder):
     s, found = labelled(spark, folder, "lineitem", 3.0)
-    o = contours.describe_objects(found, ["stack_id"], max_ny=s.max_ny)
+    o = contours.describe_objects(found, ["stack_id"])
     return o.components.select(
         "stack_id", "z", "label", "area", "area_px2", "steps_h", "steps_v", "steps_d", *_r("perimeter_px", "circularity_px")
     )
@@ -126,13 +126,13 @@ def outlines(spark, folder):
 
 def nested(spark, folder):
     s, found = labelled(spark, folder, "lineitem", 3.0)
-    o = contours.describe_objects(found, ["stack_id"], max_ny=s.max_ny)
+    o = contours.describe_objects(found, ["stack_id"])
     return o.components.where("nested").select("stack_id", "z", "label")
 
 
 def candidates(spark, folder):
     s, found = labelled(spark, folder, "lineitem", 3.0)
-    o = contours.describe_objects(found, ["stack_id"], max_ny=s.max_ny)
+    o = contours.describe_objects(found, ["stack_id"])
     return o.components.withColumn("nx", F.lit(50)).withColumn("ny", F.lit(11)).select(
         "stack_id", "z", "label", F.expr(contours.is_candidate()).alias("candidate")
     )
@@ -141,7 +141,7 @@ def candidates(spark, folder):
 def largest_box(spark, folder):
     s = ADAPTERS["lineitem"](spark, folder)
     mask = runs.pixel_runs(s.pixels.where(f"v >= {LI_T}"), ["stack_id"])
-    return contours.largest_rectangle(mask, ["stack_id"], max_ny=s.max_ny).select(
+    return contours.largest_rectangle(mask, ["stack_id"]).select(
         "stack_id", "z", "label", "area", "xmin", "ymin", (F.col("xmax") + 1).alias("xmax"), (F.col("ymax") + 1).alias("ymax")
     )
 

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import sql
-from catalog.frames import T, _polygons
+from catalog.frames import T
 from catalog.tracks import bright_seeds
 from voxelgrain.functions import calibration, text
 from voxelgrain.functions.intensity import gray_to_color, luminance
-from voxelgrain.functions.geometry import polygon_area
 from voxelgrain.operators import compare, crowding, display_mesh, edges, masks, runs, split, tracking
-from voxelgrain.operators.simplify import smooth_contours
 from voxelgrain.plans.analyze import Settings, analyze, analyze_seeded, split_analysis, stack_mask
 from voxelgrain.sources import files, manifests, settings
 from voxelgrain.sources.table_stacks import ADAPTERS, unpack_frames
@@ -234,7 +232,7 @@ def manifest_roll_up(spark, folder):
 def _profile_runs(spark, folder):
     s = ADAPTERS["profiles"](spark, folder)
     mask = runs.pixel_runs(s.pixels.where(F.col("v") >= T["profiles"]), ["stack_id"])
-    return s, runs.label_runs(mask, ["stack_id"], max_ny=s.max_ny, arranged=True)
+    return s, runs.label_runs(mask, ["stack_id"], arranged=True)
 
 
 def distances(spark, folder):
@@ -261,7 +259,7 @@ def split_pixels(spark, folder):
 
 def split_rows(spark, folder):
     s = ADAPTERS["profiles"](spark, folder)
-    a = split_analysis(s.stacks, s.pixels, bright_seeds(s), Settings(T["profiles"], only_positive=True), max_ny=s.max_ny)
+    a = split_analysis(s.stacks, s.pixels, bright_seeds(s), Settings(T["profiles"], only_positive=True))
     return _rounded(a.rows.drop(*(c for c in a.rows.columns if c.startswith("mesh_"))))
 
 
@@ -305,15 +303,10 @@ def packed_frames(spark, folder):
     return unpack_frames(frames)
 
 
-def simplified_contours(spark, folder):
-    out = smooth_contours(_polygons(spark, folder).repartition("vec_id"))
-    return out.select("vec_id", F.size("points").alias("corners"), F.round(F.expr(polygon_area("points")), 6).alias("area_px2"))
-
-
 def displayed_mesh(spark, folder):
     """Measures of the displayed mesh: outliers dropped, slices aligned, halved, meshed, thinned."""
     s = ADAPTERS["profiles"](spark, folder)
-    a = analyze(s.stacks, s.pixels, Settings(T["profiles"], only_positive=True, include_mesh=True), max_ny=s.max_ny)
+    a = analyze(s.stacks, s.pixels, Settings(T["profiles"], only_positive=True, include_mesh=True))
 
     def mask_of(contours):
         return stack_mask(contours, a.objects, a.frames, ["stack_id"], ["stack_id"])
@@ -328,15 +321,14 @@ def merge_checks(spark, folder):
     s = ADAPTERS["profiles"](spark, folder)
     seeds = bright_seeds(s)
     options = Settings(T["profiles"], only_positive=True, include_mesh=True)
-    plain = analyze(s.stacks, s.pixels, options, max_ny=s.max_ny)
-    seeded = analyze_seeded(s.stacks, s.pixels, seeds, options, max_nz=s.max_nz, max_ny=s.max_ny)
+    plain = analyze(s.stacks, s.pixels, options)
+    seeded = analyze_seeded(s.stacks, s.pixels, seeds, options)
     on_seed = seeded.contours.join(seeds.select("stack_id", F.col("frame_index").alias("z")), ["stack_id", "z"])
     return crowding.merge_failures(plain.mesh, seeded.mesh, seeded.tracking, on_seed, 24.0)
 
 
 QUERIES = {
     "packed_frames": packed_frames,
-    "simplified_contours": simplified_contours,
     "displayed_mesh": displayed_mesh,
     "merge_failure_checks": merge_checks,
     "tiff_calibration": tiff_calibration,

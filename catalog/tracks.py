@@ -38,7 +38,7 @@ def seeded(spark, folder, reach=None, seeds=None, **settings):
     s = ADAPTERS["lineitem"](spark, folder)
     points = seeds(s) if seeds else bright_seeds(s, reach=reach)
     return s, analyze_seeded(
-        s.stacks, s.pixels, points, Settings(LI_T, only_positive=True, **settings), max_nz=s.max_nz, max_ny=s.max_ny
+        s.stacks, s.pixels, points, Settings(LI_T, only_positive=True, **settings)
     )
 
 
@@ -112,7 +112,7 @@ def seed_checks(spark, folder):
 
 def _labelled(spark, folder, t=LI_T):
     s = ADAPTERS["lineitem"](spark, folder)
-    found = runs.label_runs(runs.pixel_runs(s.pixels.where(F.col("v") >= t), ["stack_id"]), ["stack_id"], max_ny=s.max_ny, arranged=True)
+    found = runs.label_runs(runs.pixel_runs(s.pixels.where(F.col("v") >= t), ["stack_id"]), ["stack_id"], arranged=True)
     return s, found
 
 
@@ -156,7 +156,7 @@ def mask_triangles(spark, folder):
 def mesh_summary(contour):
     def query(spark, folder):
         s = ADAPTERS["profiles"](spark, folder)
-        a = analyze(s.stacks, s.pixels, Settings(T["profiles"], only_positive=True, include_mesh=True, contour=contour), max_ny=s.max_ny)
+        a = analyze(s.stacks, s.pixels, Settings(T["profiles"], only_positive=True, include_mesh=True, contour=contour))
         return _rounded(a.mesh)
 
     return query
@@ -200,7 +200,7 @@ def halved_stack(spark, folder):
 
 def outlier_frames(spark, folder):
     s = ADAPTERS["lineitem"](spark, folder)
-    a = analyze(s.stacks, s.pixels, Settings(5.0, only_positive=True), max_ny=s.max_ny)
+    a = analyze(s.stacks, s.pixels, Settings(5.0, only_positive=True))
     return display_mesh.drop_small_contours(a.contours, ["stack_id"]).select("stack_id", "z", "area_px2")
 
 
@@ -208,7 +208,7 @@ def crowd(spark, folder):
     """Two seeds per stack: the brightest pixel and a corner region."""
     s = ADAPTERS["lineitem"](spark, folder)
     points = bright_seeds(s).unionByName(corner_seeds(s))
-    a = analyze_seeded(s.stacks, s.pixels, points, Settings(LI_T, only_positive=True, include_mesh=False), max_nz=s.max_nz, max_ny=s.max_ny)
+    a = analyze_seeded(s.stacks, s.pixels, points, Settings(LI_T, only_positive=True, include_mesh=False))
     return _rounded(crowding.distinct_objects(a.summary))
 
 
@@ -216,7 +216,7 @@ def method_delta(spark, folder):
     s = ADAPTERS["profiles"](spark, folder)
     snap = {}
     for contour in ("boundary", "rectangle"):
-        a = analyze(s.stacks, s.pixels, Settings(T["profiles"], only_positive=True, contour=contour), max_ny=s.max_ny)
+        a = analyze(s.stacks, s.pixels, Settings(T["profiles"], only_positive=True, contour=contour))
         snap[contour] = crowding.snapshot(a.summary, ["stack_id"])
     return _rounded(crowding.compare_methods(snap["boundary"], snap["rectangle"], ["stack_id"]))
 

@@ -17,7 +17,7 @@ def rows(df, *order):
 def test_sphere_seeded_with_mesh(spark, make):
     s, p = make({"a": sphere()})
     seeds = spark.createDataFrame([seed("a", 20, 20, 5, 6)], SEED_SCHEMA)
-    a = analyze_seeded(s, p, seeds, Settings(100.0, include_mesh=True, only_positive=True), max_nz=10, max_ny=40)
+    a = analyze_seeded(s, p, seeds, Settings(100.0, include_mesh=True, only_positive=True))
     got = rows(a.summary, "stack_id")[0]
     assert got["area_um2_mean"] == pytest.approx(71.2)
     assert got["mesh_volume_um3"] == pytest.approx(622.1667, abs=1e-3)
@@ -28,13 +28,13 @@ def test_sphere_seeded_with_mesh(spark, make):
 
 def test_touching_pair_rectangle_and_outline(spark, make):
     s, p = make({"t": touching()})
-    box = analyze(s, p, Settings(100.0, include_mesh=True, contour="rectangle"), max_ny=80)
+    box = analyze(s, p, Settings(100.0, include_mesh=True, contour="rectangle"))
     first = rows(box.rows, "frame_index")[0]
     assert (first["area_px2"], first["perimeter_px"], first["method"]) == (851.0, 120.0, "fallback")
     assert first["mesh_volume_um3"] == pytest.approx(2430.6667, abs=1e-3)
     assert first["mesh_surface_area_um2"] == pytest.approx(491.3137, abs=1e-3)
     seeds = spark.createDataFrame([seed("t", 30, 40, 2, 9)], SEED_SCHEMA)
-    a = analyze_seeded(s, p, seeds, Settings(100.0, include_mesh=True), max_nz=5, max_ny=80)
+    a = analyze_seeded(s, p, seeds, Settings(100.0, include_mesh=True))
     first = rows(a.rows, "frame_index")[0]
     assert first["area_px2"] == 576.0
     assert first["perimeter_px"] == pytest.approx(106.91168824543)
@@ -53,7 +53,7 @@ def test_tall_images_are_joined_across_bands(spark, make):
     s, p = make({"a": a})
     got = []
     for band in (128, 64, 7):
-        r = analyze(s, p, Settings(0.5), max_ny=90, band_rows=band)
+        r = analyze(s, p, Settings(0.5), band_rows=band)
         got.append(rows(r.objects.components, "label"))
     assert got[0] == got[1] == got[2]
     outer, inner = got[0]
@@ -66,10 +66,10 @@ def test_two_circles_by_seed(spark, make):
     a = np.where((np.hypot(x - 20, y - 20) <= 10) | (np.hypot(x - 60, y - 20) <= 5), 200, 0)
     s, p = make({"a": a})
     seeds = spark.createDataFrame([seed("a", 20, 20, 0, seed_id="left"), seed("a", 60, 20, 0, seed_id="right")], SEED_SCHEMA)
-    r = analyze_seeded(s, p, seeds, Settings(100.0), max_nz=2, max_ny=40)
+    r = analyze_seeded(s, p, seeds, Settings(100.0))
     areas = {d["seed_id"]: d["area_px2"] for d in rows(r.rows, "frame_index")}
     assert areas["left"] > 3 * areas["right"] > 0
-    free = rows(analyze(s, p, Settings(100.0), max_ny=40).rows, "frame_index")
+    free = rows(analyze(s, p, Settings(100.0)).rows, "frame_index")
     assert free[0]["area_px2"] == areas["left"]
 
 
@@ -79,7 +79,7 @@ def test_moving_square_reach(spark, make):
         a[z, c - 2 : c + 3, c - 2 : c + 3] = 200
     s, p = make({"a": a})
     seeds = spark.createDataFrame([seed("a", 10, 10, 0, 5, 3.0, "short"), seed("a", 10, 10, 0, 5, None, "free")], SEED_SCHEMA)
-    r = analyze_seeded(s, p, seeds, Settings(100.0), max_nz=3, max_ny=20)
+    r = analyze_seeded(s, p, seeds, Settings(100.0))
     lost = {(d["seed_id"], d["frame_index"]): d["method"] for d in rows(r.rows, "seed_id", "frame_index")}
     assert lost[("short", 2)] == "seed_lost" and lost[("free", 2)] == "seed"
     codes = {d["seed_id"]: d["warning_codes"] for d in rows(r.summary, "seed_id")}
@@ -91,8 +91,8 @@ def test_excluded_frame_drops_from_mesh_and_summary(spark, make):
     a[:, 6:14, 6:14] = 220
     s, p = make({"a": a})
     out = spark.createDataFrame([("a", 1)], "stack_id string, z int")
-    full = analyze(s, p, Settings(100.0, include_mesh=True), max_ny=20)
-    less = analyze(s, p, Settings(100.0, include_mesh=True), excluded=out, max_ny=20)
+    full = analyze(s, p, Settings(100.0, include_mesh=True))
+    less = analyze(s, p, Settings(100.0, include_mesh=True), excluded=out)
     f, g = rows(full.summary, "stack_id")[0], rows(less.summary, "stack_id")[0]
     assert (f["valid_frame_count"], g["valid_frame_count"]) == (3, 2)
     assert g["mesh_volume_um3"] < f["mesh_volume_um3"]
@@ -101,7 +101,7 @@ def test_excluded_frame_drops_from_mesh_and_summary(spark, make):
     assert g["warning_codes"] == "excluded_frames;partial_contours"
     with pytest.raises(Exception, match="not in analyzed stack"):
         bad = spark.createDataFrame([("a", 7)], "stack_id string, z int")
-        analyze(s, p, Settings(100.0), excluded=bad, max_ny=20).rows.collect()
+        analyze(s, p, Settings(100.0), excluded=bad).rows.collect()
 
 
 def test_block_sweep_and_best(spark, make):
@@ -109,12 +109,12 @@ def test_block_sweep_and_best(spark, make):
     a[:, 2:5, 1:4] = 200
     s, p = make({"a": a})
     t = [50.0, 250.0]
-    r = sweep(s, p, t, Settings(0.0, contour="rectangle"), max_ny=8)
+    r = sweep(s, p, t, Settings(0.0, contour="rectangle"))
     low, high = rows(r.summary, "threshold")
     assert low["area_um2_mean"] == 9.0 and low["valid_fraction"] == 1.0
     assert high["warning_codes"] == "no_valid_contours"
     assert rows(best_threshold(r.summary), "stack_id")[0]["threshold"] == 50.0
-    b = rows(sweep(s, p, t, Settings(0.0), max_ny=8).rows, "threshold", "frame_index")
+    b = rows(sweep(s, p, t, Settings(0.0)).rows, "threshold", "frame_index")
     assert b[0]["area_px2"] == 4.0 and b[0]["method"] == "opencv"
 
 
@@ -123,21 +123,21 @@ def test_per_frame_thresholds_and_trim(spark, make):
     a[1, 2:5, 2:5], a[2, 2:5, 2:5] = 50, 200
     s, p = make({"a": a})
     t = spark.createDataFrame([("a", z, 100.0) for z in (1, 2)], "stack_id string, z int, threshold double")
-    got = rows(analyze(s, p, Settings(t, slices=Slices(1, 3)), max_ny=8).rows, "frame_index")
+    got = rows(analyze(s, p, Settings(t, slices=Slices(1, 3))).rows, "frame_index")
     assert [d["frame_index"] for d in got] == [1, 2]
     assert [d["has_contour"] for d in got] == [False, True]
     with pytest.raises(Exception, match="match number of frames"):
-        analyze(s, p, Settings(t), max_ny=8).rows.collect()
+        analyze(s, p, Settings(t)).rows.collect()
 
 
 def test_region_keeps_only_its_object(spark, make):
     a = np.zeros((1, 8, 8))
     a[0, 1:3, 1:3], a[0, 5:7, 5:7] = 200, 200
     s, p = make({"a": a})
-    got = rows(analyze(s, p, Settings(100.0, rect=Rect(0, 4, 0, 4)), max_ny=8).rows, "frame_index")[0]
+    got = rows(analyze(s, p, Settings(100.0, rect=Rect(0, 4, 0, 4))).rows, "frame_index")[0]
     assert got["area_px2"] == 1.0
     with pytest.raises(Exception, match="non-empty rectangle"):
-        analyze(s, p, Settings(100.0, rect=Rect(9, 12, 0, 4)), max_ny=8).rows.collect()
+        analyze(s, p, Settings(100.0, rect=Rect(9, 12, 0, 4))).rows.collect()
 
 
 def test_line_objects_fall_back_to_rectangle(spark, make):
@@ -146,7 +146,7 @@ def test_line_objects_fall_back_to_rectangle(spark, make):
     for i in range(4):
         a[1, 2 + i, 3 + i] = 9
     s, p = make({"a": a})
-    got = rows(analyze(s, p, Settings(5.0), max_ny=12).rows, "frame_index")
+    got = rows(analyze(s, p, Settings(5.0)).rows, "frame_index")
     assert [d["method"] for d in got] == ["fallback", "fallback"]
     assert [d["area_px2"] for d in got] == [7.0, 1.0]
 
@@ -156,7 +156,7 @@ def test_edge_contact_is_reported(spark, make):
     a[0, 0:6, 0:6] = 255
     s, p = make({"a": a})
     seeds = spark.createDataFrame([seed("a", 2, 2, 0, 3)], SEED_SCHEMA)
-    r = analyze_seeded(s, p, seeds, Settings(100.0), max_nz=1, max_ny=20)
+    r = analyze_seeded(s, p, seeds, Settings(100.0))
     assert "roi_boundary_touch" in rows(r.summary, "stack_id")[0]["warning_codes"]
 
 
@@ -164,7 +164,7 @@ def test_seed_outside_fails(spark, make):
     s, p = make({"a": sphere()})
     seeds = spark.createDataFrame([seed("a", 45, 20, 5)], SEED_SCHEMA)
     with pytest.raises(Exception, match="outside full image bounds"):
-        analyze_seeded(s, p, seeds, Settings(100.0), max_nz=10, max_ny=40).rows.collect()
+        analyze_seeded(s, p, seeds, Settings(100.0)).rows.collect()
 
 
 def test_profile_needing_a_seed(spark, make):
@@ -178,9 +178,32 @@ def test_profile_needing_a_seed(spark, make):
 def test_touching_objects_are_split(spark, make):
     s, p = make({"t": touching()})
     seeds = spark.createDataFrame([seed("t", 30, 40, 2, 14)], SEED_SCHEMA)
-    r = split_analysis(s, p, seeds, Settings(100.0, include_mesh=True), max_ny=80)
+    r = split_analysis(s, p, seeds, Settings(100.0, include_mesh=True))
     got = rows(r.rows, "frame_index")
     assert all(d["method"] == "active_surfaces" for d in got)
     reach = r.contours.agg(F.max("xmax")).first()[0]
     assert reach <= 42
     assert 350 < got[2]["area_px2"] < 450
+
+
+def test_tall_and_deep_stacks_stay_whole(spark, make):
+    tall = np.zeros((1, 130, 8))
+    tall[0, 5:125, 3:5] = 200
+    deep = np.zeros((12, 20, 20))
+    for z in range(12):
+        deep[z, 5:12, 2 + z // 2 : 9 + z // 2] = 200
+    s, p = make({"tall": tall, "deep": deep})
+    found = analyze(s, p, Settings(100.0)).objects.components.where("stack_id = 'tall'").collect()
+    assert [c["area"] for c in found] == [240]
+    seeds = spark.createDataFrame([seed("deep", 5, 8, 0)], SEED_SCHEMA)
+    only = s.where("stack_id = 'deep'"), p.where("stack_id = 'deep'")
+    tracked = analyze_seeded(*only, seeds, Settings(100.0)).rows.where("has_contour").count()
+    assert tracked == 12
+
+
+def test_threshold_table_names_every_stack_once(spark, make):
+    s, p = make({"a": np.full((1, 20, 20), 200), "b": np.full((1, 20, 20), 200)})
+    for given in ([("a", 100.0)], [("a", 100.0), ("b", 100.0), ("b", 50.0)]):
+        t = spark.createDataFrame(given, "stack_id string, threshold double")
+        with pytest.raises(Exception, match="every stack once"):
+            analyze(s, p, Settings(t)).rows.collect()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tests.conftest import seed
 from voxelgrain.operators import display_mesh, masks, runs, split, surface, tracking
-from voxelgrain.operators.simplify import smooth
 from voxelgrain.operators.tracking import SEED_SCHEMA
 
 
@@ -60,7 +59,7 @@ def test_split_matches_direct_computation(spark, make):
     sx, sy, radius = 24, 20, 15.0
     s, p = make({"a": stack})
     frames = masks.stack_frames(s)
-    found = runs.label_runs(runs.pixel_runs(p, ["stack_id"]), ["stack_id"], max_ny=40, arranged=True)
+    found = runs.label_runs(runs.pixel_runs(p, ["stack_id"]), ["stack_id"], arranged=True)
     placed = tracking.place_seeds(spark.createDataFrame([seed("a", sx, sy, 2, radius)], SEED_SCHEMA), frames)
     got = {(r.z, r.y, r.x) for r in split.split_mask(found, frames, placed).collect()}
     want = {(z, b, a) for z in range(6) for b, a in np.argwhere(direct_split(stack[z] > 0, sx, sy, radius))}
@@ -94,7 +93,7 @@ def test_labels_with_small_bands_match_flood_fill(spark, make):
                 want[(z, int(y), int(x))] = len(members)
         for band in (64, 9):
             found = runs.label_runs(
-                runs.pixel_runs(p, ["stack_id"], band_rows=band), ["stack_id"], connectivity=connectivity, max_ny=70,
+                runs.pixel_runs(p, ["stack_id"], band_rows=band), ["stack_id"], connectivity=connectivity,
                 band_rows=band, arranged=True,
             )
             got = {(r.z, r.first_y, r.first_x): r.area for r in runs.run_components(found, ["stack_id"]).collect()}
@@ -136,12 +135,3 @@ def test_numbering_is_dense(spark):
     table = spark.range(500).select(F.lit("a").alias("k"), (F.col("id") % 7).alias("cz"), (F.col("id") % 3).alias("cy"), F.col("id").alias("cx"))
     got = sorted(r.n for r in display_mesh.numbered(table, ["k"], ["cz", "cy"], ["cx"], "n").collect())
     assert got == list(range(500))
-
-
-def test_smoothing_keeps_round_contours_and_thins_ragged_ones():
-    t = np.linspace(0, 2 * np.pi, 40, endpoint=False)
-    circle = np.column_stack([np.cos(t), np.sin(t)]) * 10
-    assert np.array_equal(smooth(circle), circle)
-    ragged = circle * (1 + 0.15 * (np.arange(40) % 2))[:, None]
-    out = smooth(ragged)
-    assert 4 <= len(out) < 40

@@ -129,7 +129,7 @@ def test_discovery_and_hashes(spark, tmp_path):
 
 def test_sinks(spark, make, tmp_path):
     s, p = make({"a": sphere(), "b": sphere(radius=4)}, source="default")
-    a = analyze(s, p, Settings(100.0, include_mesh=True), max_ny=40).save()
+    a = analyze(s, p, Settings(100.0, include_mesh=True)).save()
     report.write_rows(a.rows, ["stack_id"], str(tmp_path / "rows"))
     back = spark.read.option("header", True).csv(str(tmp_path / "rows"))
     assert back.count() == 20 and back.columns[:2] == ["frame_index", "threshold"]

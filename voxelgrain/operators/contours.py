@@ -29,14 +29,14 @@ class Objects:
 
 
 def describe_objects(
-    labelled: DataFrame, keys: Sequence[str], *, holes: DataFrame | None = None, max_ny: int | None = None,
+    labelled: DataFrame, keys: Sequence[str], *, holes: DataFrame | None = None,
     band_rows: int = BAND_ROWS,
 ) -> Objects:
     """Components with pixel statistics, outline measures of their filled shape, and ``nested``."""
     keys = list(keys)
     shape = [*keys, "z", "label"]
     if holes is None:
-        holes = hole_runs(labelled, keys, max_ny=max_ny, band_rows=band_rows)
+        holes = hole_runs(labelled, keys, band_rows=band_rows)
     filled = filled_runs(labelled, holes, keys)
     measured = outline_measures(block_counts(filled, keys, band_rows=band_rows))
     components = run_components(labelled, keys).join(measured, shape)
@@ -92,13 +92,13 @@ def largest_outline(objects: Objects, frames: DataFrame, keys: Sequence[str]) ->
 
 
 def largest_rectangle(
-    runs: DataFrame, keys: Sequence[str], *, max_ny: int | None = None, band_rows: int = BAND_ROWS
+    runs: DataFrame, keys: Sequence[str], *, band_rows: int = BAND_ROWS
 ) -> DataFrame:
     """Largest 4-connected component per frame, first found on a tie, as its bounds."""
     keys = list(keys)
     frame = [*keys, "z"]
     cols = [*frame, "band", "y", "x0", "x1"]
-    found = run_components(label_runs(runs.select(*cols), keys, connectivity=4, max_ny=max_ny, band_rows=band_rows), keys)
+    found = run_components(label_runs(runs.select(*cols), keys, connectivity=4, band_rows=band_rows), keys)
     picked = [c for c in found.columns if c not in frame]
     return (
         found.groupBy(*frame)

@@ -30,7 +30,7 @@ def outline_rows(picked: DataFrame, objects: Objects, voxels: DataFrame, keys: S
 
 def unseeded_contours(
     objects: Objects, frames: DataFrame, keys: Sequence[str], *, contour: str = "boundary",
-    max_ny: int | None = None, band_rows: int = BAND_ROWS,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """(keys, z, method, label, bounds, metrics) for every frame that has a contour.
 
@@ -50,7 +50,7 @@ def unseeded_contours(
     else:
         raise ValueError("contour must be boundary or rectangle")
     boxes = rectangle_metrics(
-        largest_rectangle(rest, keys, max_ny=max_ny, band_rows=band_rows).join(voxels, frame)
+        largest_rectangle(rest, keys, band_rows=band_rows).join(voxels, frame)
     ).withColumn("method", F.lit("fallback")).select(*keep)
     return boxes if outlines is None else outlines.unionByName(boxes)
 

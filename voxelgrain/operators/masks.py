@@ -87,12 +87,14 @@ def zero_outside(pixels: DataFrame, rect: Rect) -> DataFrame:
 def frame_thresholds(frames: DataFrame, thresholds: float | DataFrame) -> DataFrame:
     """Add ``threshold`` to frames from a number, a (stack_id) table or a (stack_id, z) table.
 
-    A per-frame table must name exactly the frames analysed, anything else is an error.
+    A per-frame table must name exactly the frames analysed, a per-stack table every stack once; anything else is an error.
     """
     if not isinstance(thresholds, DataFrame):
         return frames.withColumn("threshold", F.lit(float(thresholds)))
     if "z" not in thresholds.columns:
-        return frames.join(thresholds.select("stack_id", "threshold"), "stack_id")
+        given = thresholds.groupBy("stack_id").agg(F.first("threshold").alias("threshold"), F.count("*").alias("_given"))
+        joined = frames.join(given, "stack_id", "left")
+        return require(joined, "_given is null or _given > 1", "threshold table must name every stack once").drop("_given")
     joined = frames.join(thresholds.select("stack_id", "z", "threshold", F.lit(1).alias("_given")), ["stack_id", "z"], "full")
     bad = "_given is null or z_first is null"
     return require(joined, bad, "threshold sequence length must match number of frames").drop("_given")

@@ -160,13 +160,12 @@ def label_runs(
     keys: Sequence[str],
     *,
     connectivity: int = 8,
-    max_ny: int | None = None,
     band_rows: int = BAND_ROWS,
     arranged: bool = False,
 ) -> DataFrame:
     """Add ``label``, ``bottom`` (the component's last row) and ``gapped`` (does any row hold two runs?).
 
-    ``max_ny`` (image height) lets single-band images skip the seam step.
+    The result is a written table. Images no taller than a band have no seams; whether there are taller ones is read from the labelled runs.
     """
     keys = list(keys)
     reach = 1 if connectivity == 8 else 0
@@ -187,9 +186,9 @@ def label_runs(
 
     fields = [("label", T.LongType()), ("bottom", T.IntegerType()), ("gapped", T.BooleanType())]
     local = map_sorted_groups(runs, [*keys, "z", "band"], ["y", "x0"], work, fields, arranged=arranged)
-    if max_ny is not None and max_ny <= band_rows:
-        return local
     local = materialize(local)
+    if local.where(F.col("y") >= band_rows).isEmpty():
+        return local
     frame = [*keys, "z"]
     lower = local.where(f"pmod(y, {band_rows}) = {band_rows - 1}").select(*frame, (F.col("y") + 1).alias("y"), "x0", "x1", "label")
     upper = local.where(f"pmod(y, {band_rows}) = 0").select(*frame, "y", "x0", "x1", "label")
@@ -201,7 +200,7 @@ def label_runs(
     whole = local.select(*frame, "label", "bottom", "gapped").distinct().join(named, [*frame, "label"])
     lowest = whole.groupBy(*frame, "root").agg(F.max("bottom").alias("lowest"), F.bool_or("gapped").alias("any_gap"))
     merged = named.join(lowest, [*frame, "root"])
-    return (
+    return materialize(
         local.join(merged, [*frame, "label"], "left")
         .withColumn("label", F.coalesce("root", "label")).withColumn("bottom", F.coalesce("lowest", "bottom"))
         .withColumn("gapped", F.coalesce("any_gap", "gapped"))
@@ -258,7 +257,7 @@ def surrounding_runs(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hole_runs(
-    labelled: DataFrame, keys: Sequence[str], *, max_ny: int | None = None, band_rows: int = BAND_ROWS
+    labelled: DataFrame, keys: Sequence[str], *, band_rows: int = BAND_ROWS
 ) -> DataFrame:
     """Runs of background (and anything nested in it) that a component encloses.
 
@@ -268,7 +267,7 @@ def hole_runs(
     keys = list(keys)
     owner = [*keys, "z", "label"]
     around = surrounding_runs(labelled, keys).withColumnRenamed("label", "owner")
-    named = label_runs(around, [*keys, "owner"], connectivity=4, max_ny=max_ny, band_rows=band_rows, arranged=True)
+    named = label_runs(around, [*keys, "owner"], connectivity=4, band_rows=band_rows, arranged=True)
     outside = f"(owner div {LABEL_BASE}L - 1) * {LABEL_BASE}L - 1"
     # the exchange here serves all later uses, so the surroundings are labelled once
     return (

@@ -7,7 +7,6 @@ of slices rather than one job per slice.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -245,10 +244,10 @@ def successor_pointers(placed: DataFrame, components: DataFrame, runs: DataFrame
     return named.unionByName(near).withColumn("to_z", F.expr("z + dir"))
 
 
-def follow_chain(start: DataFrame, pointers: DataFrame, max_nz: int) -> DataFrame:
+def follow_chain(start: DataFrame, pointers: DataFrame) -> DataFrame:
     """(stack_id, seed_id, z, label) of every component on a seed's chain, both directions.
 
-    A chain ends at the first slice without a successor and is never picked up again.
+    A chain ends at the first slice without a successor and is never picked up again. Pointers double until none is left.
     """
     ensure_checkpoint_dir(pointers.sparkSession)
     run = ["stack_id", "seed_id", "dir"]
@@ -257,16 +256,12 @@ def follow_chain(start: DataFrame, pointers: DataFrame, max_nz: int) -> DataFram
     state = first.withColumns({"to_z": F.lit(None).cast("int"), "to_label": F.lit(None).cast("bigint")}).unionByName(
         pointers.select(*run, "z", "label", "to_z", "to_label")
     ).checkpoint()
-    rounds = max(1, math.ceil(math.log2(max(max_nz, 2))))
-    for number in range(rounds):
+    while not state.where("to_z is not null").isEmpty():
         reached = state.where("to_z is null").select(*run, "z", "label")
         jump = state.where("to_z is not null")
         ahead = reached.join(jump, [*run, "z", "label"]).select(
             *run, F.col("to_z").alias("z"), F.col("to_label").alias("label")
         )
-        reached = reached.unionByName(ahead)
-        if number + 1 == rounds:
-            break
         onward = jump.select(
             *run, F.col("z").alias("to_z"), F.col("label").alias("to_label"),
             F.col("to_z").alias("far_z"), F.col("to_label").alias("far_label"),
@@ -274,10 +269,10 @@ def follow_chain(start: DataFrame, pointers: DataFrame, max_nz: int) -> DataFram
         jump = jump.join(onward, [*run, "to_z", "to_label"]).select(
             *run, "z", "label", F.col("far_z").alias("to_z"), F.col("far_label").alias("to_label")
         )
-        state = reached.withColumns({"to_z": F.lit(None).cast("int"), "to_label": F.lit(None).cast("bigint")}).unionByName(
-            jump
-        ).checkpoint()
-    return reached.select("stack_id", "seed_id", "z", "label").distinct()
+        state = reached.unionByName(ahead).withColumns(
+            {"to_z": F.lit(None).cast("int"), "to_label": F.lit(None).cast("bigint")}
+        ).unionByName(jump).checkpoint()
+    return state.select("stack_id", "seed_id", "z", "label").distinct()
 
 
 def tracking_records(chain: DataFrame, components: DataFrame, frames: DataFrame, placed: DataFrame, *, merge_reference: str = "first") -> DataFrame:

@@ -125,7 +125,7 @@ def selected_pixels(pixels: DataFrame, settings: Settings) -> DataFrame:
 
 def find_objects(
     pixels: DataFrame, frames: DataFrame, keys: Sequence[str], settings: Settings, *,
-    max_ny: int | None = None, band_rows: int = BAND_ROWS,
+    band_rows: int = BAND_ROWS,
 ) -> Objects:
     """Threshold, label and describe all components.
 
@@ -136,16 +136,23 @@ def find_objects(
         selected_pixels(pixels, settings), frames, keys,
         only_positive=settings.only_positive, band_rows=band_rows,
     )
-    labelled = label_runs(mask[0], keys, max_ny=max_ny, band_rows=band_rows, arranged=mask[1])
-    labelled = materialize(labelled)
-    objects = describe_objects(labelled, keys, max_ny=max_ny, band_rows=band_rows)
+    labelled = label_runs(mask[0], keys, band_rows=band_rows, arranged=mask[1])
+    objects = describe_objects(labelled, keys, band_rows=band_rows)
     objects.components = materialize(objects.components)
     return objects
 
 
+def checked_seeds(seeds: DataFrame, stacks: DataFrame, settings: Settings) -> DataFrame:
+    """The seeds; one outside its stack, the region or the slices is an error."""
+    bad = tracking.seed_errors(seeds, stacks, settings.rect, settings.slices)
+    return bad.withColumn(
+        "seed_id", F.when(F.col("seed_error").isNotNull(), F.raise_error(F.col("seed_error"))).otherwise(F.col("seed_id"))
+    ).select(*seeds.columns)
+
+
 def split_analysis(
     stacks: DataFrame, pixels: DataFrame, seeds: DataFrame, settings: Settings, *,
-    excluded: DataFrame | None = None, max_ny: int | None = None, band_rows: int = BAND_ROWS,
+    excluded: DataFrame | None = None, band_rows: int = BAND_ROWS,
 ) -> Analysis:
     """Touching objects split per slice by flooding, and the seeded part measured.
 
@@ -153,20 +160,20 @@ def split_analysis(
     """
     keys, owner = ["stack_id"], ["stack_id", "seed_id"]
     frames = analysed_frames(stacks, settings, excluded)
-    placed = materialize(tracking.place_seeds(seeds, frames))
+    placed = materialize(tracking.place_seeds(checked_seeds(seeds, stacks, settings), frames))
     kept = selected_pixels(pixels, settings)
     mask, arranged = masks.mask_runs(kept, frames, keys, only_positive=settings.only_positive, band_rows=band_rows)
-    labelled = materialize(label_runs(mask, keys, max_ny=max_ny, band_rows=band_rows, arranged=arranged))
+    labelled = label_runs(mask, keys, band_rows=band_rows, arranged=arranged)
     parts = split.split_mask(labelled, frames, placed)
     per_seed = frames.join(placed.select(*owner), "stack_id")
     found = materialize(
-        label_runs(pixel_runs(parts, owner, band_rows=band_rows), owner, max_ny=max_ny, band_rows=band_rows, arranged=True)
+        label_runs(pixel_runs(parts, owner, band_rows=band_rows), owner, band_rows=band_rows, arranged=True)
     )
-    objects = describe_objects(found, owner, max_ny=max_ny, band_rows=band_rows)
+    objects = describe_objects(found, owner, band_rows=band_rows)
     objects.components = materialize(objects.components)
 
     def find() -> DataFrame:
-        return unseeded_contours(objects, per_seed, owner, max_ny=max_ny, band_rows=band_rows)
+        return unseeded_contours(objects, per_seed, owner, band_rows=band_rows)
 
     return Analysis(
         stacks, per_seed, find, objects, owner, owner, replace(settings, profile="active_surfaces"),
@@ -213,24 +220,24 @@ def mesh_shapes(frames: DataFrame, owner: Sequence[str]) -> DataFrame:
 
 def analyze(
     stacks: DataFrame, pixels: DataFrame, settings: Settings, *, excluded: DataFrame | None = None,
-    max_ny: int | None = None, band_rows: int = BAND_ROWS,
+    band_rows: int = BAND_ROWS,
 ) -> Analysis:
     """Largest object of every frame of every stack."""
     if check_profile(settings.profile) == "active_surfaces":
         raise ValueError("Active surfaces profile requires an object seed")
     keys = ["stack_id"]
     frames = analysed_frames(stacks, settings, excluded)
-    objects = find_objects(pixels, frames, keys, settings, max_ny=max_ny, band_rows=band_rows)
+    objects = find_objects(pixels, frames, keys, settings, band_rows=band_rows)
 
     def find() -> DataFrame:
-        return unseeded_contours(objects, frames, keys, contour=settings.contour, max_ny=max_ny, band_rows=band_rows)
+        return unseeded_contours(objects, frames, keys, contour=settings.contour, band_rows=band_rows)
 
     return Analysis(stacks, frames, find, objects, keys, keys, settings)
 
 
 def analyze_seeded(
-    stacks: DataFrame, pixels: DataFrame, seeds: DataFrame, settings: Settings, *, max_nz: int,
-    excluded: DataFrame | None = None, max_ny: int | None = None, band_rows: int = BAND_ROWS,
+    stacks: DataFrame, pixels: DataFrame, seeds: DataFrame, settings: Settings, *,
+    excluded: DataFrame | None = None, band_rows: int = BAND_ROWS,
 ) -> Analysis:
     """One tracked object per seed, any number of seeds per stack.
 
@@ -240,15 +247,11 @@ def analyze_seeded(
     """
     keys, owner = ["stack_id"], ["stack_id", "seed_id"]
     frames = analysed_frames(stacks, settings, excluded)
-    bad = tracking.seed_errors(seeds, stacks, settings.rect, settings.slices)
-    checked = bad.withColumn(
-        "seed_id", F.when(F.col("seed_error").isNotNull(), F.raise_error(F.col("seed_error"))).otherwise(F.col("seed_id"))
-    ).select(*seeds.columns)
-    placed = materialize(tracking.place_seeds(checked, frames))
-    objects = find_objects(pixels, frames, keys, settings, max_ny=max_ny, band_rows=band_rows)
+    placed = materialize(tracking.place_seeds(checked_seeds(seeds, stacks, settings), frames))
+    objects = find_objects(pixels, frames, keys, settings, band_rows=band_rows)
     start = tracking.seed_component(placed, objects.components, objects.runs)
     pointers = tracking.successor_pointers(placed, objects.components, objects.runs)
-    chain = tracking.follow_chain(start, pointers, max_nz)
+    chain = tracking.follow_chain(start, pointers)
     records = materialize(
         tracking.tracking_records(chain, objects.components, frames, placed, merge_reference=settings.merge_reference)
     )
@@ -272,7 +275,7 @@ def analyze_seeded(
 
 def sweep(
     stacks: DataFrame, pixels: DataFrame, thresholds: Sequence[float], settings: Settings, *,
-    max_ny: int | None = None, band_rows: int = BAND_ROWS,
+    band_rows: int = BAND_ROWS,
 ) -> Analysis:
     """The unseeded analysis for every stack and threshold in one job, one scan of the pixels."""
     keys = ["stack_id", "threshold"]
@@ -282,10 +285,10 @@ def sweep(
     frames = masks.stack_frames(checked, settings.slices).withColumn(
         "threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
     ).withColumn("excluded", F.lit(False))
-    objects = find_objects(pixels, frames, keys, settings, max_ny=max_ny, band_rows=band_rows)
+    objects = find_objects(pixels, frames, keys, settings, band_rows=band_rows)
 
     def find() -> DataFrame:
-        return unseeded_contours(objects, frames, keys, contour=settings.contour, max_ny=max_ny, band_rows=band_rows)
+        return unseeded_contours(objects, frames, keys, contour=settings.contour, band_rows=band_rows)
 
     return Analysis(stacks, frames, find, objects, keys, keys, settings)
 

@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class StackSet:
-    """Stacks, their sparse pixels (absent = 0) and the geometry bounds known beforehand."""
+    """Stacks and their sparse pixels (absent = 0)."""
 
     stacks: DataFrame
     pixels: DataFrame
-    max_ny: int
-    max_nz: int
 
 
 def _stacks(ids: DataFrame, shape: tuple[int, int, int], voxel: tuple[float, float, float], source: str) -> DataFrame:
@@ -44,7 +42,7 @@ def lineitem_density(spark: SparkSession, folder: str) -> StackSet:
     )
     pixels = rows.groupBy("stack_id", "z", "y", "x").agg(F.count("*").cast("double").alias("v"))
     stacks = _stacks(rows.select("stack_id").distinct(), (7, 11, 50), (0.5, 0.25, 1.0), "metadata")
-    return StackSet(stacks, pixels, 11, 7)
+    return StackSet(stacks, pixels)
 
 
 def embedding_tiles(spark: SparkSession, folder: str) -> StackSet:
@@ -61,35 +59,38 @@ def embedding_tiles(spark: SparkSession, folder: str) -> StackSet:
         F.col("e").cast("double").alias("v"),
     )
     stacks = _stacks(rows.select("stack_id").distinct(), (20, 8, 8), (1.0, 1.0, 1.0), "default")
-    return StackSet(stacks, pixels, 8, 20)
+    return StackSet(stacks, pixels)
 
 
 def event_activity(spark: SparkSession, folder: str) -> StackSet:
     """Summed event value over (day, hour, user), one stack per event type and 32 users."""
     rows = spark.read.parquet(f"{folder}/events.parquet").select(
         F.expr("concat(event_type, '-', cast(user_id div 32 as string))").alias("stack_id"),
-        F.expr("day(ts) - 1").alias("z"),
+        F.expr("if(day(ts) <= 30, day(ts) - 1, raise_error('these stacks have 30 slices'))").alias("z"),
         F.expr("hour(ts)").alias("y"),
         F.expr("cast(user_id % 32 as int)").alias("x"),
         "value",
     )
     pixels = rows.groupBy("stack_id", "z", "y", "x").agg(F.round(F.sum("value"), 2).alias("v"))
     stacks = _stacks(rows.select("stack_id").distinct(), (30, 24, 32), (1.0, 1.0, 2.0), "default")
-    return StackSet(stacks, pixels, 24, 30)
+    return StackSet(stacks, pixels)
 
 
 def user_profiles(spark: SparkSession, folder: str) -> StackSet:
     """Summed event value over (event type, hour, user), one stack per 32 users; large ragged objects."""
     rows = spark.read.parquet(f"{folder}/events.parquet").select(
         F.expr("concat('users-', cast(user_id div 32 as string))").alias("stack_id"),
-        F.expr("cast(array_position(array('click', 'error', 'purchase', 'signup', 'view'), event_type) - 1 as int)").alias("z"),
+        F.expr(
+            "cast(coalesce(nullif(array_position(array('click', 'error', 'purchase', 'signup', 'view'), event_type), 0), "
+            "raise_error('unknown event type')) - 1 as int)"
+        ).alias("z"),
         F.expr("hour(ts)").alias("y"),
         F.expr("cast(user_id % 32 as int)").alias("x"),
         "value",
-    ).where("z >= 0")
+    )
     pixels = rows.groupBy("stack_id", "z", "y", "x").agg(F.round(F.sum("value"), 2).alias("v"))
     stacks = _stacks(rows.select("stack_id").distinct(), (5, 24, 32), (0.5, 0.5, 1.5), "override")
-    return StackSet(stacks, pixels, 24, 5)
+    return StackSet(stacks, pixels)
 
 
 ADAPTERS = {
