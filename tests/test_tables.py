@@ -174,3 +174,18 @@ def test_excluded_text(spark):
     assert got == [3, 7, 9]
     with pytest.raises(Exception):
         spark.createDataFrame([("3, x",)], "t string").select(F.expr(masks.parse_frame_list("t"))).collect()
+
+
+@pytest.mark.parametrize(
+    ("text", "message"),
+    [
+        ("{not json", "JSON object"), ("[1,2]", "JSON object"), ('{"threshold": "abc"}', "threshold must be a number"),
+        ('{"include_mesh": "yes"}', "include_mesh must be true or false"), ('{"roi": {"xmin": 1}}', "roi needs the numbers"),
+        ('{"profile": 3}', "profile must be text"), ('{"z_range": [1, 2]}', "z_range needs the numbers"),
+        ('{"threshold": 5, "roi": null, "include_mesh": true}', None),
+    ],
+)
+def test_malformed_settings_are_named(spark, text, message):
+    parsed = settings.parse_settings(spark.createDataFrame([("a", text)], "owner string, value string"))
+    found = parsed.select(settings.settings_error().alias("e")).first()["e"]
+    assert (found is None) if message is None else (message in found)

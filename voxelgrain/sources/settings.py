@@ -16,10 +16,39 @@ SETTINGS_SCHEMA = (
 DEFAULTS = {"profile": "'vesicle'", "include_mesh": "false", "prefer_opencv": "true"}
 
 
+# fixed values: JSON kinds of the fields; the parts of an object are all needed
+NUMBERS = ("version", "threshold")
+TRUTHS = ("include_mesh", "prefer_opencv")
+OBJECTS = {
+    "voxel_size": ("x_um", "y_um", "z_um"), "roi": ("xmin", "xmax", "ymin", "ymax"), "z_range": ("zmin", "zmax"),
+    "sweep": ("start", "stop", "step"),
+}
+
+
+def _kind(path: str) -> str:
+    """Kind of a JSON value: absent and null are VOID."""
+    return f"coalesce(schema_of_variant(try_variant_get(_v, '{path}', 'variant')), 'VOID')"
+
+
+def parse_error() -> F.Column:
+    """Text of the first malformed part of the JSON value in column ``_v``, or null."""
+    number = "rlike '^(BIGINT|DOUBLE|FLOAT|DECIMAL)'"
+    checks = [("_v is null or schema_of_variant(_v) not like 'OBJECT%'", "'settings must be a JSON object'")]
+    checks += [(f"{_kind('$.' + f)} <> 'VOID' and not {_kind('$.' + f)} {number}", f"'{f} must be a number'") for f in NUMBERS]
+    checks += [(f"{_kind('$.' + f)} not in ('VOID', 'BOOLEAN')", f"'{f} must be true or false'") for f in TRUTHS]
+    checks.append((f"{_kind('$.profile')} not in ('VOID', 'STRING')", "'profile must be text'"))
+    for name, parts in OBJECTS.items():
+        whole = " and ".join([f"{_kind('$.' + name)} like 'OBJECT%'", *[f"{_kind(f'$.{name}.{q}')} {number}" for q in parts]])
+        checks.append((f"{_kind('$.' + name)} <> 'VOID' and not ({whole})", f"'{name} needs the numbers {', '.join(parts)}'"))
+    return first_error(*checks)
+
+
 def parse_settings(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Settings columns from JSON text, next to the other columns of ``texts``."""
-    parsed = texts.withColumn("_s", F.from_json(column, SETTINGS_SCHEMA, {"mode": "PERMISSIVE"}))
-    return parsed.select(*[c for c in texts.columns if c != column], "_s.*").withColumn(
+    """Settings columns from JSON text, next to the other columns of ``texts``; ``parse_error`` names what is malformed."""
+    parsed = texts.withColumn("_s", F.from_json(column, SETTINGS_SCHEMA, {"mode": "PERMISSIVE"})).withColumn(
+        "_v", F.expr(f"try_parse_json({column})")
+    )
+    return parsed.select(*[c for c in texts.columns if c != column], "_s.*", parse_error().alias("parse_error")).withColumn(
         "version", F.coalesce("version", F.lit(SETTINGS_VERSION))
     )
 
@@ -33,6 +62,7 @@ def settings_error() -> F.Column:
     """Text of the first invalid setting of a row, or null."""
     profile = "replace(lower(trim(profile)), '-', '_')"
     return first_error(
+        ("parse_error is not null", "parse_error"),
         (f"version <> {SETTINGS_VERSION}", "concat('unsupported project settings version: ', version)"),
         (f"profile is not null and {profile} not in ('vesicle', 'rbc', 'active_surfaces')", "concat('unknown analysis profile: ', profile)"),
         ("least(voxel_size.x_um, voxel_size.y_um, voxel_size.z_um) <= 0", "'voxel spacing must be greater than zero'"),
