@@ -73,10 +73,15 @@ def excluded_frames(spark, folder):
     )
 
 
-def suggest(table, method):
+# region and slices of the suggestions within a part of each stack
+PART_RECT, PART_SLICES = masks.Rect(5, 40, 2, 9), masks.Slices(1, 5)
+
+
+def suggest(table, method, part=False):
     def run(spark, folder):
         s = ADAPTERS[table](spark, folder)
-        return threshold.suggest_threshold(s.pixels, s.stacks, method).select("stack_id", *_r("threshold"), "method")
+        limits = {"rect": PART_RECT, "slices": PART_SLICES} if part else {}
+        return threshold.suggest_threshold(s.pixels, s.stacks, method, **limits).select("stack_id", *_r("threshold"), "method")
 
     return run
 
@@ -176,6 +181,8 @@ QUERIES = {
     "threshold_auto_events": suggest("events", "auto"),
     "threshold_otsu_embeddings": suggest("embeddings", "otsu"),
     "threshold_percentile_lineitem": suggest("lineitem", "percentile"),
+    "threshold_auto_part": suggest("lineitem", "auto", part=True),
+    "threshold_percentile_part": suggest("lineitem", "percentile", part=True),
     "threshold_percentile_embeddings": suggest("embeddings", "percentile"),
     "slice_contrast_stretch": stretch,
     "components_eight": components(8, runs.BAND_ROWS),
@@ -195,7 +202,15 @@ QUERIES = {
 }
 
 
-def _suggest_sql(table: str, method: str) -> str:
+def _suggest_sql(table: str, method: str, part: bool = False) -> str:
+    dense = sql.dense(table)
+    if part:
+        r, t = PART_RECT, PART_SLICES
+        dense = dense.replace("dn AS", "whole AS") + (
+            f", dn AS (SELECT stack_id, CASE WHEN x >= {r.xmin} AND x < {r.xmax} AND y >= {r.ymin} AND y < {r.ymax} THEN v ELSE 0 END AS v "
+            f"FROM whole WHERE z >= {t.zmin} AND z < {t.zmax})"
+        )
+
     def otsu(pop: str, where: str) -> str:
         return (
             f"{pop}_s AS (SELECT stack_id, min(v) AS lo, max(v) AS hi, count(*) AS c FROM dn WHERE {where} GROUP BY 1), "
@@ -215,18 +230,18 @@ def _suggest_sql(table: str, method: str) -> str:
 
     if method == "percentile":
         return (
-            f"WITH {sql.dense(table)} SELECT stack_id, round(CASE WHEN min(v) = max(v) THEN min(v) ELSE quantile_cont(v, 0.75) END, 6) AS threshold, "
+            f"WITH {dense} SELECT stack_id, round(CASE WHEN min(v) = max(v) THEN min(v) ELSE quantile_cont(v, 0.75) END, 6) AS threshold, "
             "CASE WHEN min(v) = max(v) THEN 'constant' ELSE 'percentile' END AS method FROM dn GROUP BY 1"
         )
     full = otsu("f", "true")
     if method == "otsu":
         return (
-            f"WITH {sql.dense(table)}, {full} SELECT s.stack_id, round(CASE WHEN lo = hi THEN lo ELSE t END, 6) AS threshold, "
+            f"WITH {dense}, {full} SELECT s.stack_id, round(CASE WHEN lo = hi THEN lo ELSE t END, 6) AS threshold, "
             "CASE WHEN lo = hi THEN 'constant' ELSE 'otsu' END AS method FROM f_s s LEFT JOIN f_t USING (stack_id)"
         )
     robust = otsu("r", "v > 0 AND v < 250")
     return (
-        f"WITH {sql.dense(table)}, {full}, {robust}, j AS (SELECT s.stack_id, s.lo, s.hi, f.t AS ft, "
+        f"WITH {dense}, {full}, {robust}, j AS (SELECT s.stack_id, s.lo, s.hi, f.t AS ft, "
         "CASE WHEN rs.c >= 16 AND rs.hi > rs.lo THEN r.t END AS rt FROM f_s s LEFT JOIN f_t f USING (stack_id) "
         "LEFT JOIN r_s rs USING (stack_id) LEFT JOIN r_t r USING (stack_id)) "
         "SELECT stack_id, round(CASE WHEN lo = hi THEN lo WHEN rt IS NULL THEN ft WHEN ft > rt * 2 AND rt > 0 THEN rt ELSE ft END, 6) AS threshold, "
@@ -289,6 +304,8 @@ ORACLES = {
     "threshold_auto_events": _suggest_sql("events", "auto"),
     "threshold_otsu_embeddings": _suggest_sql("embeddings", "otsu"),
     "threshold_percentile_lineitem": _suggest_sql("lineitem", "percentile"),
+    "threshold_auto_part": _suggest_sql("lineitem", "auto", part=True),
+    "threshold_percentile_part": _suggest_sql("lineitem", "percentile", part=True),
     "threshold_percentile_embeddings": _suggest_sql("embeddings", "percentile"),
     "slice_contrast_stretch": (
         f"WITH {sql.dense('lineitem')}, s AS (SELECT *, min(v) OVER (PARTITION BY stack_id, z) AS lo, max(v) OVER (PARTITION BY stack_id, z) AS hi FROM dn) "

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,30 @@ def test_threshold_suggestions(spark, make):
         threshold.suggest_threshold(p, s, "magic")
 
 
+def test_percentile_beside_an_outlier(spark, make):
+    rng = np.random.default_rng(5)
+    far, huge = rng.random((4, 20, 30)) + 0.5, rng.normal(size=(3, 20, 30))
+    far[1, 2, 3], huge[0, 0, 0], huge[2, 1, 1] = 1e12, 1.7e308, -1.7e308
+    s, p = make({"far": far, "huge": huge})
+    got = {r.stack_id: r.threshold for r in threshold.suggest_threshold(p, s, "percentile").collect()}
+    assert got == pytest.approx({"far": np.quantile(far, 0.75), "huge": np.quantile(huge, 0.75)}, abs=1e-12)
+
+
+def test_suggestion_sees_region_and_slices_only(spark, make):
+    a = np.zeros((4, 6, 6))
+    a[1:3, 1:3, 1:3], a[0], a[:, 5] = 8, 99, 77
+    s, p = make({"a": a})
+    rect, slices = masks.Rect(0, 3, 0, 3), masks.Slices(1, 3)
+    cut = np.zeros((2, 6, 6))
+    cut[:, 1:3, 1:3] = 8
+    s2, p2 = make({"a": cut})
+    for method in ("auto", "otsu", "percentile"):
+        part = threshold.suggest_threshold(p, s, method, rect=rect, slices=slices).first()
+        assert tuple(part) == tuple(threshold.suggest_threshold(p2, s2, method).first())
+    with pytest.raises(Exception, match="at least one frame"):
+        threshold.suggest_threshold(p, s, slices=masks.Slices(9, 12)).collect()
+
+
 def test_sweep_values():
     assert threshold.sweep_values(50, 100, 25) == [50, 75, 100]
     assert threshold.sweep_values(0, 1, 0.1)[-1] == 1.0 and len(threshold.sweep_values(0, 1, 0.1)) == 11

@@ -36,16 +36,26 @@ class Slices:
             raise ValueError("zmax must be greater than zmin")
 
 
-def stack_frames(stacks: DataFrame, slices: Slices | None = None) -> DataFrame:
-    """One row per analysed frame: the stack's columns, ``z`` (source index) and ``z_first``."""
+def slice_bounds(stacks: DataFrame, slices: Slices | None) -> DataFrame:
+    """Add ``z_first`` and ``z_stop``, the analysed part of each stack; an empty part of a stack with frames is an error."""
     low, high = (slices.zmin, slices.zmax) if slices else (0, 2147483647)
     ranged = stacks.withColumn("z_first", F.least(F.lit(low), F.col("nz"))).withColumn(
         "z_stop", F.least(F.lit(high), F.col("nz"))
     )
-    checked = ranged.withColumn(
+    return ranged.withColumn(
         "z_stop",
         raise_when("z_stop <= z_first and nz > 0", "Z range bounds must define at least one frame", "z_stop"),
     )
+
+
+def slice_counts(stacks: DataFrame, slices: Slices | None = None) -> DataFrame:
+    """The stacks with ``nz`` cut to the analysed slices."""
+    return slice_bounds(stacks, slices).withColumn("nz", F.expr("z_stop - z_first")).drop("z_first", "z_stop")
+
+
+def stack_frames(stacks: DataFrame, slices: Slices | None = None) -> DataFrame:
+    """One row per analysed frame: the stack's columns, ``z`` (source index) and ``z_first``."""
+    checked = slice_bounds(stacks, slices)
     return checked.where("z_stop > z_first").withColumn("z", F.explode(F.expr("sequence(z_first, z_stop - 1)")))
 
 

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelgrain.functions.checks import raise_when
+from voxelgrain.functions.checks import require
+from voxelgrain.operators.masks import Rect, Slices, check_rect, keep_rect, slice_counts, trim_slices
+from voxelgrain.session import materialize
 
 OTSU_BINS = 256
 RANK_BINS = 1024
@@ -15,36 +17,44 @@ RANK_BINS = 1024
 ROBUST_LOW, ROBUST_HIGH, ROBUST_MIN_COUNT = 0.0, 250.0, 16
 
 
-def value_counts(pixels: DataFrame, stacks: DataFrame) -> DataFrame:
-    """(stack_id, v, n): how often each finite value occurs, absent pixels counted as zero.
+FINITE = "v is not null and not isnan(v) and abs(v) < double('infinity')"
 
-    All later steps read this table, which is combined before the shuffle and keyed by value, so
-    one stack with most of the pixels is still spread over many tasks.
-    """
-    present = pixels.groupBy("stack_id", "v").agg(F.count("*").alias("n"))
-    dense = stacks.select("stack_id", F.expr("cast(nz as bigint) * ny * nx").alias("n"))
-    absent = (
-        dense.unionByName(present.select("stack_id", (-F.col("n")).alias("n")))
-        .groupBy("stack_id").agg(F.sum("n").alias("n"))
-        .where("n > 0").select("stack_id", F.lit(0.0).alias("v"), "n")
-    )
-    finite = present.where("v is not null and not isnan(v) and abs(v) < double('infinity')")
-    return finite.unionByName(absent).groupBy("stack_id", "v").agg(F.sum("n").alias("n"))
 
+def value_ranges(pixels: DataFrame, stacks: DataFrame) -> DataFrame:
+    """(stack_id, n, absent, vmin, vmax, rn, rmin, rmax): size and range of each stack's finite values.
 
-def population_stats(counts: DataFrame) -> DataFrame:
-    """Size and range of each stack's values, over all of them and over the outlier-resistant part."""
+    Absent pixels count as zeros. The ``r`` columns describe the outlier-resistant part. One row per
+    stack, combined before the shuffle and written, since histograms and ranks start from it.
+    """
     robust = f"v > {ROBUST_LOW} and v < {ROBUST_HIGH}"
-    return counts.groupBy("stack_id").agg(
-        F.sum("n").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
-        F.expr(f"coalesce(sum(n) filter (where {robust}), 0)").alias("rn"),
-        F.expr(f"min(v) filter (where {robust})").alias("rmin"),
-        F.expr(f"max(v) filter (where {robust})").alias("rmax"),
+    present = pixels.withColumn("v", F.col("v").cast("double")).groupBy("stack_id").agg(
+        F.count("*").alias("present"), F.expr(f"count_if({FINITE})").alias("finite"),
+        F.expr(f"min(v) filter (where {FINITE})").alias("vmin"), F.expr(f"max(v) filter (where {FINITE})").alias("vmax"),
+        F.expr(f"count_if({robust})").alias("rn"),
+        F.expr(f"min(v) filter (where {robust})").alias("rmin"), F.expr(f"max(v) filter (where {robust})").alias("rmax"),
+    )
+    dense = stacks.select("stack_id", F.expr("cast(nz as bigint) * ny * nx").alias("dense"))
+    joined = dense.join(present, "stack_id", "left").withColumn("absent", F.expr("greatest(dense - coalesce(present, 0), 0)"))
+    return materialize(
+        joined.select(
+            "stack_id", F.expr("coalesce(finite, 0) + absent").alias("n"), "absent",
+            F.expr("if(absent > 0, least(vmin, 0D), vmin)").alias("vmin"), F.expr("if(absent > 0, greatest(vmax, 0D), vmax)").alias("vmax"),
+            F.expr("coalesce(rn, 0)").alias("rn"), "rmin", "rmax",
+        )
     )
 
 
-def histogram(counts: DataFrame, stats: DataFrame, bins: int = OTSU_BINS) -> DataFrame:
-    """(stack_id, population, bin, centre, n) over equal bins of each population's own range."""
+def weighted_values(pixels: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(stack_id, v, n): every finite pixel, and the absent ones of a stack as one row; nothing is shuffled."""
+    present = pixels.select("stack_id", F.col("v").cast("double").alias("v"), F.lit(1).cast("bigint").alias("n")).where(FINITE)
+    return present.unionByName(ranges.where("absent > 0").select("stack_id", F.lit(0.0).alias("v"), F.col("absent").alias("n")))
+
+
+def histogram(values: DataFrame, stats: DataFrame, bins: int = OTSU_BINS) -> DataFrame:
+    """(stack_id, population, bin, centre, n) over equal bins of each population's own range.
+
+    Pixels are counted by bin before the shuffle, at most ``bins`` rows per task, stack and population.
+    """
     pops = stats.select(
         "stack_id",
         F.explode(
@@ -57,7 +67,7 @@ def histogram(counts: DataFrame, stats: DataFrame, bins: int = OTSU_BINS) -> Dat
     guess = f"cast(least(floor((v - lo) * ({bins} / (hi - lo))), {bins - 1}) as int)"
     edge = f"(lo + {{}} * ((hi - lo) / {bins}))"
     binned = (
-        counts.join(pops, "stack_id")
+        values.join(pops, "stack_id")
         .where("v >= lo and v <= hi")
         .withColumn("g", F.expr(guess))
         .withColumn(
@@ -73,12 +83,12 @@ def histogram(counts: DataFrame, stats: DataFrame, bins: int = OTSU_BINS) -> Dat
     )
 
 
-def otsu(counts: DataFrame, stats: DataFrame) -> DataFrame:
+def otsu(values: DataFrame, stats: DataFrame) -> DataFrame:
     """(stack_id, full, robust): bin centre of greatest between-class variance, first bin on a tie.
 
     Empty bins repeat the variance of the occupied bin before them, so occupied bins suffice.
     """
-    hist = histogram(counts, stats)
+    hist = histogram(values, stats)
     part = Window.partitionBy("stack_id", "population")
     up = part.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     down = part.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,68 +109,69 @@ def otsu(counts: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def percentile(counts: DataFrame, stats: DataFrame, q: float = 0.75) -> DataFrame:
+def percentile(values: DataFrame, stats: DataFrame, q: float = 0.75) -> DataFrame:
     """(stack_id, percentile): exact quantile with linear interpolation.
 
-    Ranks are narrowed to one bin first, so that no task sorts all values of a stack.
+    Both neighbouring ranks are narrowed to the bin they fall in, whose own least and greatest value bound the
+    next round, until one value is left. No task sorts values, and the least and the greatest value never share a
+    bin, so an outlier costs one more round at most.
     """
-    ranged = stats.select(
-        "stack_id", "vmin", "vmax",
-        F.expr(f"cast(floor((n - 1) * {q}D) as bigint)").alias("rank"),
-        F.expr(f"(n - 1) * {q}D - floor((n - 1) * {q}D)").alias("part"),
+    rank = f"cast(floor((n - 1) * {q}D) as bigint)"
+    targets = stats.where("n > 0").select(
+        "stack_id", F.col("vmin").alias("lo"), F.col("vmax").alias("hi"), F.lit(0).cast("bigint").alias("before"),
+        F.explode(F.expr(f"array(struct('lower' as side, {rank} as rank), struct('upper' as side, least({rank} + 1, n - 1) as rank))")).alias("t"),
+    ).select("stack_id", "t.side", "t.rank", "lo", "hi", "before")
+    share = "if(hi - lo < double('infinity'), (v - lo) / (hi - lo), (v / 2 - lo / 2) / (hi / 2 - lo / 2))"
+    target = ["stack_id", "side", "rank", "before"]
+    upto = F.col("before") + F.sum("n").over(
+        Window.partitionBy("stack_id", "side").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    binned = counts.join(ranged, "stack_id").withColumn(
-        "bin",
-        F.expr(f"if(vmax > vmin, cast(least(floor((v - vmin) / (vmax - vmin) * {RANK_BINS}), {RANK_BINS - 1}) as int), 0)"),
-    )
-    by_bin = Window.partitionBy("stack_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = (
-        binned.groupBy("stack_id", "bin", "rank").agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(by_bin))
-        .withColumn("before", F.col("upto") - F.col("n"))
-        .where("(before <= rank and rank < upto) or (before <= rank + 1 and rank + 1 < upto)")
-        .select("stack_id", "bin", "before")
-    )
-    by_value = Window.partitionBy("stack_id", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        binned.join(hit, ["stack_id", "bin"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(by_value))
-        .withColumn("from", F.col("upto") - F.col("n"))
-        .groupBy("stack_id")
-        .agg(
-            F.expr("max(if(from <= rank and rank < upto, v, null))").alias("lower"),
-            F.expr("max(if(from <= rank + 1 and rank + 1 < upto, v, null))").alias("upper"),
-            F.first("part").alias("part"),
+    while not targets.where("lo < hi").isEmpty():
+        binned = values.join(targets.where("lo < hi"), "stack_id").where("v between lo and hi").withColumn(
+            "bin", F.expr(f"cast(least(floor({share} * {RANK_BINS}), {RANK_BINS - 1}) as int)")
+        )
+        cells = binned.groupBy(*target, "bin").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        hit = cells.withColumn("upto", upto).where("upto - n <= rank and rank < upto").select(
+            "stack_id", "side", "rank", "lo", "hi", F.expr("upto - n").alias("before")
         )
-        .select("stack_id", F.expr("lower + (coalesce(upper, lower) - lower) * part").alias("percentile"))
+        targets = materialize(targets.where("lo = hi").unionByName(hit))
+    found = targets.groupBy("stack_id").agg(
+        F.expr("max(lo) filter (where side = 'lower')").alias("lower"), F.expr("max(lo) filter (where side = 'upper')").alias("upper")
     )
+    part = f"((n - 1) * {q}D - floor((n - 1) * {q}D))"
+    return found.join(stats.select("stack_id", "n"), "stack_id").select(
+        "stack_id", F.expr(f"lower + (upper - lower) * {part}").alias("percentile")
+    )
+
 
+def suggest_threshold(
+    pixels: DataFrame, stacks: DataFrame, method: str = "auto", *, rect: Rect | None = None, slices: Slices | None = None
+) -> DataFrame:
+    """(stack_id, threshold, method): suggested threshold of every stack and how it was found.
 
-def suggest_threshold(pixels: DataFrame, stacks: DataFrame, method: str = "auto") -> DataFrame:
-    """(stack_id, threshold, method): suggested threshold of every stack and how it was found."""
+    Only ``slices`` count; pixels outside ``rect`` count as zeros.
+    """
     wanted = method.strip().lower()
     if wanted not in ("auto", "otsu", "percentile"):
         raise ValueError("threshold method must be auto, otsu, or percentile")
-    counts = value_counts(pixels, stacks)
-    stats = population_stats(counts)
+    kept = keep_rect(trim_slices(pixels, slices), rect)
+    stats = value_ranges(kept, slice_counts(check_rect(stacks, rect), slices))
+    values = weighted_values(kept, stats)
     # constant stacks keep their value; stacks without finite values are an error
-    base = (
-        stacks.select("stack_id").join(stats, "stack_id", "left")
-        .withColumn("n", raise_when("n is null", "Cannot suggest a threshold for non-finite image data", "n"))
-    )
+    base = require(stats, "n = 0", "Cannot suggest a threshold for non-finite image data")
     if wanted == "percentile":
-        found = base.join(percentile(counts, stats), "stack_id", "left").select(
-            "stack_id", "n", "vmin", "vmax", F.col("percentile").alias("t"), F.lit("percentile").alias("m")
+        found = base.join(percentile(values, stats), "stack_id", "left").select(
+            "stack_id", "vmin", "vmax", F.col("percentile").alias("t"), F.lit("percentile").alias("m")
         )
     else:
-        found = base.join(otsu(counts, stats), "stack_id", "left")
+        found = base.join(otsu(values, stats), "stack_id", "left")
         if wanted == "auto":
             t = "if(robust is null, full, if(full > robust * 2 and robust > 0, robust, full))"
             label = "if(robust is null, 'otsu', 'robust_otsu')"
         else:
             t, label = "full", "'otsu'"
-        found = found.select("stack_id", "n", "vmin", "vmax", F.expr(t).alias("t"), F.expr(label).alias("m"))
-    return found.where("n > 0").select(
+        found = found.select("stack_id", "vmin", "vmax", F.expr(t).alias("t"), F.expr(label).alias("m"))
+    return found.select(
         "stack_id",
         F.expr("if(vmin = vmax, vmin, t)").alias("threshold"),
         F.expr("if(vmin = vmax, 'constant', m)").alias("method"),
