@@ -1,19 +1,20 @@
 """Following one seeded object through the slices of its stack.
 
-Every component gets a pointer to its successor in the next and in the previous slice; the chain of
-a seed is then read off by repeated doubling of the pointers, in rounds logarithmic in the number
-of slices rather than one job per slice.
+Every component gets a pointer to its successor in the next and in the previous slice, once per stack;
+the chain of a seed is then read off by repeated doubling of the pointers, in rounds logarithmic in the
+number of slices rather than one job per slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgrain.operators.contours import MIN_SEED_AREA
-from voxelgrain.session import ensure_checkpoint_dir
+from voxelgrain.session import materialize
 
 # fixed values: default search distance
 DEFAULT_REACH_UM, DEFAULT_REACH_RADII, DEFAULT_RADIUS = 15.0, 3.0, 10.0
@@ -196,15 +197,16 @@ def shared_pixels(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def successor_pointers(placed: DataFrame, components: DataFrame, runs: DataFrame) -> DataFrame:
-    """(stack_id, seed_id, dir, z, label, to_z, to_label) for components of seeded stacks.
+    """(stack_id, dir, z, label, to_z, to_label, need) for components of seeded stacks, whatever the number of seeds.
 
-    The successor shares most pixels; without any overlap it is the nearest centroid within the
-    seed's reach, found among components of neighbouring cells of a grid as wide as the reach.
+    The successor shares most pixels; without any overlap it is the nearest centroid. ``need`` is the squared distance
+    that a seed has to reach for the step, zero where pixels are shared. Nearest ones are found among neighbouring cells
+    of a grid as wide as the longest reach of the stack's seeds.
     """
     large = components.where(f"area >= {MIN_SEED_AREA}").select("stack_id", "z", "label", "cx", "cy")
-    seeded = placed.select("stack_id", "seed_id", "reach_px")
+    seeded = placed.groupBy("stack_id").agg(F.max("reach_px").alias("reach_px"))
     big_runs = runs.join(large.select("stack_id", "z", "label"), ["stack_id", "z", "label"], "left_semi").join(
-        seeded.select("stack_id").distinct(), "stack_id", "left_semi"
+        seeded.select("stack_id"), "stack_id", "left_semi"
     )
     shared = shared_pixels(big_runs, ["stack_id"])
     both = shared.select(
@@ -216,63 +218,61 @@ def successor_pointers(placed: DataFrame, components: DataFrame, runs: DataFrame
             )
         ).alias("p"),
     ).select("stack_id", "shared", "p.*")
-    by_overlap = both.groupBy("stack_id", "dir", "z", "label").agg(
-        F.max_by("to_label", F.struct("shared", -F.col("to_label"))).alias("to_label")
-    )
-    directed = large.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir"))
-    lonely = directed.join(by_overlap, ["stack_id", "dir", "z", "label"], "left_anti").join(seeded, "stack_id")
+    step = ["stack_id", "dir", "z", "label"]
+    by_overlap = both.groupBy(*step).agg(F.max_by("to_label", F.struct("shared", -F.col("to_label"))).alias("to_label"))
+    directed = large.join(seeded, "stack_id").select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir"))
     cell = "cast(floor({0} / greatest(reach_px, 1D)) as bigint)"
-    lonely = lonely.select(
-        "stack_id", "seed_id", "dir", "z", "label", "cx", "cy", "reach_px",
-        F.expr("z + dir").alias("to_z"),
+    lonely = directed.join(by_overlap, step, "left_anti").select(
+        *step, "cx", "cy", "reach_px", F.expr("z + dir").alias("to_z"),
         F.explode(F.expr("sequence({0} - 1, {0} + 1)".format(cell.format("cx")))).alias("gx"),
         F.expr(cell.format("cy")).alias("_gy"),
     ).withColumn("gy", F.explode(F.expr("sequence(_gy - 1, _gy + 1)")))
     targets = large.join(seeded, "stack_id").select(
-        "stack_id", "seed_id", F.col("z").alias("to_z"), F.col("label").alias("to_label"),
+        "stack_id", F.col("z").alias("to_z"), F.col("label").alias("to_label"),
         F.col("cx").alias("tx"), F.col("cy").alias("ty"),
         F.expr(cell.format("cx")).alias("gx"), F.expr(cell.format("cy")).alias("gy"),
     )
     near = (
-        lonely.join(targets, ["stack_id", "seed_id", "to_z", "gx", "gy"])
+        lonely.join(targets, ["stack_id", "to_z", "gx", "gy"])
         .withColumn("d", F.expr("pow(tx - cx, 2) + pow(ty - cy, 2)"))
         .where("d <= reach_px * reach_px")
-        .groupBy("stack_id", "seed_id", "dir", "z", "label")
-        .agg(F.min_by("to_label", F.struct("d", "to_label")).alias("to_label"))
+        .groupBy(*step).agg(F.min(F.struct("d", "to_label")).alias("best"))
+        .select(*step, F.col("best.to_label").alias("to_label"), F.col("best.d").alias("need"))
     )
-    named = by_overlap.join(seeded.select("stack_id", "seed_id"), "stack_id").select(*near.columns)
-    return named.unionByName(near).withColumn("to_z", F.expr("z + dir"))
+    return by_overlap.withColumn("need", F.lit(0.0)).unionByName(near).withColumn("to_z", F.expr("z + dir"))
 
 
-def follow_chain(start: DataFrame, pointers: DataFrame) -> DataFrame:
+def follow_chain(start: DataFrame, pointers: DataFrame, placed: DataFrame) -> DataFrame:
     """(stack_id, seed_id, z, label) of every component on a seed's chain, both directions.
 
-    A chain ends at the first slice without a successor and is never picked up again. Pointers double until none is left.
+    A chain ends at the first slice without a successor in the seed's reach and is never picked up again. Pointers of the
+    stack double and carry the longest step they stand for; seeds follow those within their reach, until none gets farther.
     """
-    ensure_checkpoint_dir(pointers.sparkSession)
-    run = ["stack_id", "seed_id", "dir"]
-    first = start.select("stack_id", "seed_id", F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir"), "z", "label")
-    # one table holds the reached components (no target) and the pointers, so a round is one job
-    state = first.withColumns({"to_z": F.lit(None).cast("int"), "to_label": F.lit(None).cast("bigint")}).unionByName(
-        pointers.select(*run, "z", "label", "to_z", "to_label")
-    ).checkpoint()
-    while not state.where("to_z is not null").isEmpty():
-        reached = state.where("to_z is null").select(*run, "z", "label")
-        jump = state.where("to_z is not null")
-        ahead = reached.join(jump, [*run, "z", "label"]).select(
-            *run, F.col("to_z").alias("z"), F.col("to_label").alias("label")
+    step, to = ["stack_id", "dir", "z", "label"], ["to_z", "to_label", "need"]
+    seeds = placed.select("stack_id", "seed_id", F.expr("reach_px * reach_px").alias("limit"))
+    jumps = materialize(pointers.select(*step, *to))
+    latest = start.select("stack_id", "seed_id", F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir"), "z", "label")
+    reached = materialize(latest.join(seeds, ["stack_id", "seed_id"]).select("seed_id", "limit", *step))
+    parts = [reached]
+    while True:
+        held = reduce(DataFrame.unionByName, parts)
+        ahead = materialize(
+            held.join(jumps, step).where("need <= limit").select(
+                "seed_id", "limit", "stack_id", "dir", F.col("to_z").alias("z"), F.col("to_label").alias("label")
+            )
         )
-        onward = jump.select(
-            *run, F.col("z").alias("to_z"), F.col("label").alias("to_label"),
-            F.col("to_z").alias("far_z"), F.col("to_label").alias("far_label"),
+        if ahead.isEmpty():
+            return held.select("stack_id", "seed_id", "z", "label").distinct()
+        parts.append(ahead)
+        onward = jumps.select(
+            "stack_id", "dir", F.col("z").alias("to_z"), F.col("label").alias("to_label"),
+            F.col("to_z").alias("far_z"), F.col("to_label").alias("far_label"), F.col("need").alias("far_need"),
         )
-        jump = jump.join(onward, [*run, "to_z", "to_label"]).select(
-            *run, "z", "label", F.col("far_z").alias("to_z"), F.col("far_label").alias("to_label")
+        jumps = materialize(
+            jumps.join(onward, ["stack_id", "dir", "to_z", "to_label"]).select(
+                *step, F.col("far_z").alias("to_z"), F.col("far_label").alias("to_label"), F.greatest("need", "far_need").alias("need")
+            )
         )
-        state = reached.unionByName(ahead).withColumns(
-            {"to_z": F.lit(None).cast("int"), "to_label": F.lit(None).cast("bigint")}
-        ).unionByName(jump).checkpoint()
-    return state.select("stack_id", "seed_id", "z", "label").distinct()
 
 
 def tracking_records(chain: DataFrame, components: DataFrame, frames: DataFrame, placed: DataFrame, *, merge_reference: str = "first") -> DataFrame:

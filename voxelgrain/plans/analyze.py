@@ -251,7 +251,7 @@ def analyze_seeded(
     objects = find_objects(pixels, frames, keys, settings, band_rows=band_rows)
     start = tracking.seed_component(placed, objects.components, objects.runs)
     pointers = tracking.successor_pointers(placed, objects.components, objects.runs)
-    chain = tracking.follow_chain(start, pointers)
+    chain = tracking.follow_chain(start, pointers, placed)
     records = materialize(
         tracking.tracking_records(chain, objects.components, frames, placed, merge_reference=settings.merge_reference)
     )
