@@ -168,9 +168,7 @@ def polygon_metrics(spark, folder):
 
 def polygon_hulls(spark, folder):
     p = _polygons(spark, folder)
-    return p.select(
-        "vec_id", F.round(hull_area_of_points(F.expr("transform(points, p -> p.x)"), F.expr("transform(points, p -> p.y)")), 6).alias("hull_px2")
-    )
+    return p.select("vec_id", F.round(hull_area_of_points("points"), 6).alias("hull_px2"))
 
 
 QUERIES = {

@@ -256,7 +256,7 @@ _COMP = (
     "big AS (SELECT * FROM comp WHERE area >= 16), bl AS (SELECT l.* FROM lab l SEMI JOIN big USING (stack_id, z, label))"
 )
 _BRIGHT = (
-    "bright AS (SELECT stack_id, 'bright' AS seed_id, z, y AS sy, x AS sx FROM (SELECT *, row_number() OVER (PARTITION BY stack_id ORDER BY v DESC, z, y, x) AS rn FROM px) WHERE rn = 1)"
+    "bright AS (SELECT stack_id, CASE WHEN rn = 1 THEN 'bright' END AS seed_id, z, y AS sy, x AS sx FROM (SELECT *, row_number() OVER (PARTITION BY stack_id ORDER BY v DESC, z, y, x) AS rn FROM px) WHERE rn = 1)"
 )
 
 
@@ -271,7 +271,7 @@ def _placed(far: bool) -> str:
     hi = "" if far else " AND y < sy + 6 AND x < sx + 6"
     corner_hi = "" if far else " AND y < 9 AND x < 20"
     return (
-        f"{_BRIGHT}, seeds AS (SELECT stack_id, seed_id, z, sy, sx FROM bright UNION ALL SELECT stack_id, 'corner', 3, 5, 9 FROM st), "
+        f"{_BRIGHT}, seeds AS (SELECT stack_id, seed_id, z, sy, sx FROM bright UNION ALL SELECT stack_id, CASE WHEN stack_id IS NOT NULL THEN 'corner' END, 3, 5, 9 FROM st), "
         "grid AS (SELECT CAST(a.y AS INTEGER) AS y, CAST(b.x AS INTEGER) AS x FROM range(0, 11) AS a(y), range(0, 50) AS b(x)), "
         f"region AS (SELECT stack_id, seed_id, z, y, x FROM bright, grid WHERE (x - sx) ** 2 + (y - sy) ** 2 <= 36{hi} UNION ALL "
         f"SELECT stack_id, 'corner', 3, y, x FROM st, grid WHERE {_inside('x', 'y')}{corner_hi})"
@@ -289,7 +289,7 @@ def _choice(far: bool = False, nearest: bool = True, disc: bool = True, reach: s
         f"{_placed(far)}, opt AS (SELECT s.stack_id, s.seed_id, s.z, 1 AS k, l.label, CAST(0 AS DOUBLE) AS score FROM seeds s JOIN bl l ON l.stack_id = s.stack_id AND l.z = s.z AND l.y = s.sy AND l.x = s.sx "
         f"UNION ALL SELECT r.stack_id, r.seed_id, r.z, 2, l.label, count(*) FROM region r JOIN bl l USING (stack_id, z, y, x){only} GROUP BY ALL"
         + (f" UNION ALL {near}" if nearest else "")
-        + "), start AS (SELECT stack_id, seed_id, z, label FROM (SELECT *, row_number() OVER (PARTITION BY stack_id, seed_id ORDER BY k, score DESC, label) AS rn FROM opt) WHERE rn = 1)"
+        + "), start AS MATERIALIZED (SELECT stack_id, seed_id, z, label FROM (SELECT *, row_number() OVER (PARTITION BY stack_id, seed_id ORDER BY k, score DESC, label) AS rn FROM opt) WHERE rn = 1)"
     )
 
 
@@ -302,12 +302,12 @@ def _track(reach: str, seeds: str = "all") -> str:
         "cand AS (SELECT stack_id, z, 1 AS dir, label, nlabel AS tl, 1 AS k, shared AS score FROM ov UNION ALL SELECT stack_id, z + 1, -1, nlabel, label, 1, shared FROM ov UNION ALL "
         "SELECT a.stack_id, a.z, d.dir, a.label, b.label, 2, -((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) FROM big a CROSS JOIN (VALUES (1), (-1)) AS d(dir) JOIN big b ON a.stack_id = b.stack_id AND b.z = a.z + d.dir "
         f"WHERE (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= ({reach}) ** 2), "
-        "ptr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stack_id, z, dir, label ORDER BY k, score DESC, tl) AS rn FROM cand) WHERE rn = 1), "
+        "ptr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stack_id, z, dir, label ORDER BY k, score DESC, tl) AS rn FROM cand) WHERE rn = 1), "
         f"chain AS (SELECT stack_id, seed_id, d.dir, z, label FROM start, (VALUES (1), (-1)) AS d(dir){keep} UNION "
         "SELECT c.stack_id, c.seed_id, c.dir, p.z + p.dir, p.tl FROM chain c JOIN ptr p ON p.stack_id = c.stack_id AND p.z = c.z AND p.dir = c.dir AND p.label = c.label), "
         "onchain AS (SELECT DISTINCT c.stack_id, c.seed_id, c.z, c.label, b.area, b.cx, b.cy, b.xmin, b.xmax, b.ymin, b.ymax FROM chain c JOIN big b USING (stack_id, z, label)), "
         "ref AS (SELECT stack_id, seed_id, arg_min(area, z) AS ra FROM onchain GROUP BY ALL), "
-        f"rec AS (SELECT f.stack_id, s.seed_id, f.z AS frame_index, o.label IS NOT NULL AS tracked, o.cx AS centroid_x, o.cy AS centroid_y, coalesce(o.area, 0) AS area_px, "
+        f"rec AS MATERIALIZED (SELECT f.stack_id, s.seed_id, f.z AS frame_index, o.label IS NOT NULL AS tracked, o.cx AS centroid_x, o.cy AS centroid_y, coalesce(o.area, 0) AS area_px, "
         "coalesce(xmin <= 0 OR ymin <= 0 OR xmax + 1 >= 50 OR ymax + 1 >= 11, false) AS touches_roi_boundary, coalesce(o.area > ra * 2.5, false) AS likely_neighbor_merge, o.label "
         f"FROM fr f JOIN (SELECT stack_id, seed_id FROM seeds{keep}) s USING (stack_id) LEFT JOIN onchain o ON o.stack_id = f.stack_id AND o.seed_id = s.seed_id AND o.z = f.z LEFT JOIN ref ON ref.stack_id = f.stack_id AND ref.seed_id = s.seed_id)"
     )
@@ -432,7 +432,7 @@ ORACLES = {
     "seeded_frame_rows": f"WITH RECURSIVE {_track(FAR, 'bright')}, {_seeded_rows(True)} {_SROW}",
     "seeded_frame_rows_direct": f"WITH RECURSIVE {_track(FAR, 'bright')}, {_seeded_rows(False)} {_SROW}",
     "crowded_seeds": (
-        f"WITH RECURSIVE {_track(FAR)}, {_seeded_rows(True)}, mean AS (SELECT stack_id, seed_id, avg(raw_area) FILTER (WHERE ok) AS m FROM srw GROUP BY ALL) "
+        f"WITH RECURSIVE {_track(FAR)}, {_seeded_rows(True)}, mean AS MATERIALIZED (SELECT stack_id, seed_id, avg(raw_area) FILTER (WHERE ok) AS m FROM srw GROUP BY ALL) "
         "SELECT stack_id, count(*) AS seeds, round(min(m), 6) AS least_area, round(max(m), 6) AS most_area, coalesce(max(m) - min(m) > 1, false) AS \"distinct\", round(max(m) / greatest(min(m), 1e-9), 6) AS area_ratio FROM mean GROUP BY 1"
     ),
     "surface_of_mask": f"WITH {_PFG}, {_triangles('fg')} {_MEASURE}",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import seed
 from voxelgrain.operators import display_mesh, masks, runs, split, surface, tracking
 from voxelgrain.operators.tracking import SEED_SCHEMA
+from voxelgrain.plans.analyze import Settings, split_analysis
 
 
 def direct_split(mask, sx, sy, radius):
@@ -48,6 +49,18 @@ def direct_split(mask, sx, sy, radius):
     return (label == mine + 1) & ((xx - sx) ** 2 + (yy - sy) ** 2 <= radius**2)
 
 
+def test_polygon_seed_keeps_its_unrounded_centre(spark, make):
+    """Two equal discs; the corners' mean (15.25, 10) is nearer to the right one, its rounded form to neither."""
+    _, y, x = np.indices((1, 20, 32))
+    stack = np.where((np.hypot(x - 10, y - 10) < 4) | (np.hypot(x - 20, y - 10) < 4), 9, 0)
+    stacks, pixels = make({"a": stack})
+    corners = [(5.0, 5.0), (25.5, 5.0), (25.5, 15.0), (5.0, 15.0)]
+    seeds = spark.createDataFrame([seed("a", 0, 0, 0, points=corners), seed("a", 10, 10, 0, seed_id="t")], SEED_SCHEMA)
+    parts = split_analysis(stacks, pixels, seeds, Settings(5.0)).mask
+    ends = {r.seed_id: (r.a, r.b) for r in parts.groupBy("seed_id").agg(F.min("x0").alias("a"), F.max("x1").alias("b")).collect()}
+    assert ends["s"][0] > 15 and ends["t"][1] < 15
+
+
 def test_split_matches_direct_computation(spark, make):
     rng = np.random.default_rng(3)
     stack = np.zeros((6, 40, 50))

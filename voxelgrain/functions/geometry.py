@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,55 +77,35 @@ def polygon_perimeter(points: str, vx: str = "1D", vy: str = "1D") -> str:
     return f"aggregate({sides}, 0D, (s, c) -> s + c)"
 
 
-def _chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """One side of the hull over points in order; points on or right of an edge are dropped."""
-    side: list[tuple[float, float]] = []
-    for px, py in points:
-        while len(side) > 1:
-            (ax, ay), (bx, by) = side[-2], side[-1]
-            if (bx - ax) * (py - ay) > (by - ay) * (px - ax):
-                break
-            del side[-1]
-        side.append((px, py))
-    return side
+def _chain_area(points: str) -> str:
+    """SQL for the area between the y axis and the hull's side of greatest x, over ``array<struct<y,x>>``.
 
+    Points come in order of y, then x. Each is joined to the corner from which it lies steepest; corners after that one
+    lie inside, as does a corner of the same y.
+    """
+    steepest = "array_min(transform(filter(side, v -> v.y < p.y), (v, i) -> struct((p.x - v.x) / (p.y - v.y) as slope, i as i)))"
+    side = (
+        f"aggregate(array_sort({points}), cast(array() as array<struct<y:double,x:double>>), "
+        f"(side, p) -> concat(slice(side, 1, coalesce({steepest}.i + 1, 0)), array(p)))"
+    )
+    return (
+        f"aggregate({side}, named_struct('area', 0D, 'y', cast(null as double), 'x', cast(null as double)), (t, p) -> "
+        "named_struct('area', t.area + coalesce((p.y - t.y) * (p.x + t.x) / 2, 0D), 'y', p.y, 'x', p.x), t -> t.area)"
+    )
 
-def hull_points(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, without points along its sides."""
-    distinct = sorted(set(zip(x.tolist(), y.tolist())))
-    if len(distinct) < 3:
-        return np.array(distinct, dtype=float).reshape(-1, 2)
-    return np.array(_chain(distinct)[:-1] + _chain(distinct[::-1])[:-1], dtype=float)
-
-
-def shoelace(points: np.ndarray) -> float:
-    if len(points) < 3:
-        return 0.0
-    x, y = points[:, 0], points[:, 1]
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
-
-
-def hull_area_of_rows() -> Column:
-    """Hull area of a component given as collected rows (columns ``ys``, ``lefts``, ``rights``)."""
-
-    @F.pandas_udf("double")
-    def areas(ys: pd.Series, lefts: pd.Series, rights: pd.Series) -> pd.Series:
-        return pd.Series(
-            [shoelace(hull_points(np.concatenate([a, b]), np.concatenate([y, y]))) for y, a, b in zip(ys, lefts, rights)],
-            dtype="float64",
-        )
-
-    return areas("ys", "lefts", "rights")
 
+def hull_area(right: str, left: str) -> Column:
+    """Area of the convex hull of points given twice, as ``array<struct<y,x>>`` of doubles and with x negated.
 
-def hull_area_of_points(xs: Column, ys: Column) -> Column:
-    """Hull area of point arrays."""
+    Of points with one y, only the rightmost has to be in the first array and the leftmost in the second.
+    """
+    return F.expr(f"{_chain_area(right)} + {_chain_area(left)}")
 
-    @F.pandas_udf("double")
-    def areas(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([shoelace(hull_points(np.asarray(a), np.asarray(b))) for a, b in zip(x, y)], dtype="float64")
 
-    return areas(xs, ys)
+def hull_area_of_points(points: str) -> Column:
+    """Area of the convex hull of ``array<struct<x,y>>``."""
+    turned = "transform({0}, p -> named_struct('y', cast(p.y as double), 'x', cast({1}p.x as double)))"
+    return hull_area(turned.format(points, ""), turned.format(points, "-"))
 
 
 def contour_metrics(contours: DataFrame) -> DataFrame:
@@ -146,7 +124,7 @@ def contour_metrics(contours: DataFrame) -> DataFrame:
             "perimeter_um": F.expr(polygon_perimeter("_p")),
             "bbox_width_um": F.expr(span.format("x")),
             "bbox_height_um": F.expr(span.format("y")),
-            "hull_um2": hull_area_of_points(F.expr("transform(_p, p -> p.x)"), F.expr("transform(_p, p -> p.y)")),
+            "hull_um2": hull_area_of_points("_p"),
         }
     )
     return derived_metrics(based).drop("_p", "hull_um2")

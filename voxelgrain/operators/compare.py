@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelgrain.functions.text import short_numbers
 
@@ -24,16 +25,27 @@ def read_metric_csv(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
     if not table.columns:
         raise ValueError(f"{path} does not contain a CSV header")
-    return table.withColumn("_line", F.monotonically_increasing_id())
+    # a split of a file is read from front to back in one task; splits themselves are read in any order
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place")
+    )
+    return table.select("*", place.alias("_line"))
 
 
 def with_positions(table: DataFrame) -> DataFrame:
-    """Replace ``_line`` (partition and place within it) by 0, 1, 2... without a global sort."""
-    split = table.withColumn("_part", F.expr("shiftright(_line, 33)")).withColumn("_place", F.expr("_line & 8589934591L"))
-    sizes = split.groupBy("_part").agg(F.count("*").alias("_n"))
+    """Replace ``_line`` by 0, 1, 2... in its order without a global sort.
+
+    ``_line`` is the place that ``read_metric_csv`` gives, or a number from ``monotonically_increasing_id``.
+    """
+    if isinstance(table.schema["_line"].dataType, T.StructType):
+        part, place = F.struct("_line.file", "_line.start"), F.col("_line.place")
+    else:
+        part, place = F.expr("shiftright(_line, 33)"), F.col("_line")
+    split = table.withColumns({"_part": part, "_place": place})
+    sizes = split.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = sizes.select("_part", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"))
-    return split.join(F.broadcast(starts), "_part").withColumn("_line", F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+    starts = sizes.select("_part", (F.sum("_n").over(upto) - F.col("_n") - F.col("_first")).alias("_start"))
+    return split.join(starts, "_part").withColumn("_line", F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
 
 
 def _as_map(table: DataFrame, columns: Sequence[str]) -> Column:

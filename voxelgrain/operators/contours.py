@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelgrain.functions.geometry import hull_area_of_rows
+from voxelgrain.functions.geometry import hull_area as hull_area_of_ends
 from voxelgrain.operators.outline import block_counts, outline_measures
 from voxelgrain.operators.runs import BAND_ROWS, filled_runs, hole_runs, label_runs, run_components
 
@@ -108,14 +108,18 @@ def largest_rectangle(
 
 
 def hull_area(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Convex hull area (pixels) per component, from the two end pixels of each of its rows."""
+    """Convex hull area (pixels) per component, from the two end pixels of each of its rows.
+
+    A component's rows meet in one array, so a group is bounded by the height of an image.
+    """
     keys = list(keys)
     owner = [*keys, "z", "label"]
-    rows = runs.groupBy(*owner, "y").agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
-    collected = rows.groupBy(*owner).agg(
-        F.collect_list("y").alias("ys"), F.collect_list("left").alias("lefts"), F.collect_list("right").alias("rights")
+    rows = runs.groupBy(*owner, "y").agg(F.max("x1").alias("right"), F.min("x0").alias("left"))
+    ends = {"_r": "right", "_l": "-left"}
+    points = rows.groupBy(*owner).agg(
+        *[F.collect_list(F.expr(f"named_struct('y', cast(y as double), 'x', cast({x} as double))")).alias(n) for n, x in ends.items()]
     )
-    return collected.select(*owner, hull_area_of_rows().alias("hull_px2"))
+    return points.select(*owner, hull_area_of_ends("_r", "_l").alias("hull_px2"))
 
 
 def component_at_seed(

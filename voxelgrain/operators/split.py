@@ -142,27 +142,32 @@ def markers(distances: DataFrame, placed: DataFrame, frames: DataFrame) -> DataF
     mask is a full box of equal distances have no peak.
     """
     key = ["stack_id", "seed_id", "z"]
-    seeds = placed.select("stack_id", "seed_id", "sx", "sy")
+    seeds = placed.select("stack_id", "seed_id", "sx", "sy", "centre_x", "centre_y")
     per_slice = frames.select("stack_id", "z").join(seeds, "stack_id")
     here = distances.select("stack_id", "z", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("d2").alias("_s2"))
     spacing = per_slice.join(here, ["stack_id", "z", "sx", "sy"], "left").select(
-        *key, "sx", "sy", F.expr("cast(greatest(3, bround(greatest(1D, coalesce(sqrt(_s2), 0D)) * 0.75)) as int)").alias("r")
+        *key, "centre_x", "centre_y",
+        F.expr("cast(greatest(3, bround(greatest(1D, coalesce(sqrt(_s2), 0D)) * 0.75)) as int)").alias("r"),
     )
     shape = distances.groupBy("stack_id", "z").agg(
         F.expr("count(*) = (max(y) - min(y) + 1L) * (max(x) - min(x) + 1L) and min(d2) = max(d2)").alias("flat")
     )
-    values = distances.join(shape.where("not flat").select("stack_id", "z"), ["stack_id", "z"]).join(spacing, ["stack_id", "z"])
-    peaks = box_maximum(values.where("d2 is not null"), ["stack_id", "seed_id"]).where("peak").withColumn("_order", -F.col("d2"))
+    # peaks depend on the spacing only, so seeds that ask for the same one share them
+    per_spacing = ["stack_id", "z", "r"]
+    values = distances.join(shape.where("not flat").select("stack_id", "z"), ["stack_id", "z"]).join(
+        spacing.select(*per_spacing).distinct(), ["stack_id", "z"]
+    )
+    peaks = box_maximum(values.where("d2 is not null"), ["stack_id", "r"]).where("peak").withColumn("_order", -F.col("d2"))
 
     def work(table: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
         y, x, r = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "r"))
         return {"kept": _spaced(y, x, group, r)}
 
-    spaced = map_sorted_groups(peaks, key, ["_order", "y", "x"], work, [("kept", T.BooleanType())]).where("kept")
-    best = spaced.groupBy(*key).agg(
-        F.min_by(F.struct("y", "x"), F.struct(F.expr("pow(x - sx, 2) + pow(y - sy, 2)"), "_order", "y", "x")).alias("_m")
-    )
-    return spaced.join(best, key).select(
+    spaced = map_sorted_groups(peaks, per_spacing, ["_order", "y", "x"], work, [("kept", T.BooleanType())]).where("kept")
+    offered = spaced.join(spacing, per_spacing)
+    near = F.expr("pow(x - centre_x, 2) + pow(y - centre_y, 2)")
+    best = offered.groupBy(*key).agg(F.min_by(F.struct("y", "x"), F.struct(near, "_order", "y", "x")).alias("_m"))
+    return offered.join(best, key).select(
         *key, "label", "y", "x", "d2", "r", F.expr("y = _m.y and x = _m.x").alias("mine")
     )
 

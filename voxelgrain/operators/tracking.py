@@ -69,7 +69,8 @@ def seed_errors(seeds: DataFrame, stacks: DataFrame, rect=None, slices=None) ->
 def place_seeds(seeds: DataFrame, frames: DataFrame) -> DataFrame:
     """Seeds on their frame: centre pixel (half-even rounding, clamped), search distance in pixels.
 
-    A polygon's centre is the mean of its corners. Coordinates stay in the full image throughout.
+    A polygon's centre is the mean of its corners; ``centre_x`` and ``centre_y`` keep it before rounding and clamping.
+    Coordinates stay in the full image throughout.
     """
     polygon = "coalesce(type, 'circle') = 'polygon'"
     mean = "aggregate(points, 0D, (s, p) -> s + p.{0}) / size(points)"
@@ -86,7 +87,7 @@ def place_seeds(seeds: DataFrame, frames: DataFrame) -> DataFrame:
         "stack_id", "seed_id", F.col("frame_index").alias("z"), "nx", "ny",
         F.expr("cast(greatest(0, least(nx - 1, bround(_x))) as int)").alias("sx"),
         F.expr("cast(greatest(0, least(ny - 1, bround(_y))) as int)").alias("sy"),
-        "radius", "polygon", "points",
+        F.col("_x").alias("centre_x"), F.col("_y").alias("centre_y"), "radius", "polygon", "points",
         F.expr(
             f"coalesce(max_tracking_dist_um / vx_um, greatest({DEFAULT_REACH_RADII}D * radius, {DEFAULT_REACH_UM}D / vx_um))"
         ).alias("reach_px"),
