@@ -11,6 +11,7 @@ from voxelgrain.operators import masks, report, summary
 from voxelgrain.operators.summary import STATS, SWEEP_COLUMNS
 from voxelgrain.operators.threshold import sweep_values
 from voxelgrain.plans.analyze import Settings, analyze, best_threshold, sweep
+from voxelgrain.plans.analyze import batch as analyze_batch
 from voxelgrain.sources.table_stacks import ADAPTERS
 
 T = {"profiles": 20.0, "lineitem": 3.0}
@@ -90,17 +91,32 @@ def run_warnings(spark, folder):
     )
 
 
+NUMBER = "cast(substring(stack_id, 7) as int)"
+
+
 def batch(spark, folder):
-    """Stacks whose seed lies outside the image fail on their own; the others are analysed."""
+    """Stacks without a spacing or without a threshold of their own fail alone; the others are analysed."""
     s = ADAPTERS["profiles"](spark, folder)
-    limit = s.stacks.withColumn("_n", F.expr("cast(substring(stack_id, 7) as int)"))
-    failing = limit.where("_n % 4 = 3").select(
-        "stack_id", "source_path", F.concat(F.lit("no voxel spacing in "), F.col("source_path")).alias("error_message")
-    )
-    good = s.stacks.join(failing.select("stack_id"), "stack_id", "left_anti")
-    a = analyze(good, s.pixels, Settings(T["profiles"], only_positive=True))
-    rows = summary.batch_rows(a.summary)
-    return rows.unionByName(summary.failed_rows(failing, rows))
+    stacks = s.stacks.withColumn("vz_um", F.expr(f"if({NUMBER} % 4 = 3, 0D, vz_um)"))
+    limits = s.stacks.where(f"{NUMBER} % 4 <> 1").select("stack_id", F.lit(T["profiles"]).cast("double").alias("threshold"))
+    return analyze_batch(stacks, s.pixels, Settings(limits, only_positive=True))
+
+
+def batch_part(spark, folder):
+    """Stacks too short for the slices or too narrow for the region fail alone."""
+    s = ADAPTERS["profiles"](spark, folder)
+    stacks = s.stacks.withColumns({"nz": F.expr(f"if({NUMBER} % 3 = 1, 2, nz)"), "nx": F.expr(f"if({NUMBER} % 5 = 2, 4, nx)")})
+    settings = Settings(T["profiles"], rect=masks.Rect(4, 28, 2, 22), slices=masks.Slices(2, 5), only_positive=True)
+    rows = analyze_batch(stacks, s.pixels, settings)
+    return _rounded(rows.select("source_path", "status", "error_message", "frame_count", "valid_frame_count", "area_um2_mean"))
+
+
+def frameless_warnings(spark, folder):
+    """Every second stack has no frames."""
+    s = ADAPTERS["profiles"](spark, folder)
+    stacks = s.stacks.withColumn("nz", F.expr(f"if({NUMBER} % 2 = 1, 0, nz)"))
+    a = analyze(stacks, s.pixels, Settings(T["profiles"], only_positive=True))
+    return _rounded(a.summary.select("stack_id", "profile", "frame_count", "valid_frame_count", "valid_fraction", "warning_codes", "area_um2_mean"))
 
 
 def batch_summary(spark, folder):
@@ -183,6 +199,8 @@ QUERIES = {
     "run_warnings": run_warnings,
     "batch_summary": batch_summary,
     "batch_totals": batch_totals,
+    "batch_part": batch_part,
+    "frameless_warnings": frameless_warnings,
     "manifest_fields": manifest_fields,
     "report_tables": report_tables,
     "first_frame_rows": first_frames,
@@ -350,17 +368,31 @@ ORACLES = {
     ),
     "batch_summary": (
         f"WITH RECURSIVE {rows_sql('profiles')}, {SUM_SQL} SELECT 'table://' || stack_id AS source_path, '' AS source_sha256, "
-        "CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'no voxel spacing in table://' || stack_id ELSE '' END AS error_message, "
+        "CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE k WHEN 3 THEN 'voxel spacing must be greater than zero' WHEN 1 THEN 'threshold table must name every stack once' ELSE '' END AS error_message, "
         "CASE WHEN NOT bad THEN profile END AS profile, CASE WHEN NOT bad THEN threshold END AS threshold, CASE WHEN NOT bad THEN 'override' END AS voxel_source, "
         "CASE WHEN NOT bad THEN frame_count END AS frame_count, CASE WHEN NOT bad THEN valid_frame_count END AS valid_frame_count, "
         f"CASE WHEN NOT bad THEN round(valid_fraction, 6) END AS valid_fraction, CASE WHEN NOT bad THEN {CODES} END AS warning_codes, "
         f"{', '.join(f'CASE WHEN NOT bad THEN {c} END AS {c}' for c in STAT_NAMES)} "
-        "FROM (SELECT *, CAST(substr(stack_id, 7) AS INTEGER) % 4 = 3 AS bad FROM sm)"
+        "FROM (SELECT *, CAST(substr(stack_id, 7) AS INTEGER) % 4 AS k, k % 2 = 1 AS bad FROM sm)"
     ),
     "batch_totals": (
-        "SELECT count(*) AS found, count(*) FILTER (WHERE k % 4 <> 3) AS succeeded, count(*) FILTER (WHERE k % 4 = 3) AS failed "
+        "SELECT count(*) AS found, count(*) FILTER (WHERE k % 2 = 0) AS succeeded, count(*) FILTER (WHERE k % 2 = 1) AS failed "
         "FROM (SELECT DISTINCT user_id // 32 AS k FROM events)"
     ),
+    "batch_part": (
+        f"WITH RECURSIVE {rows_sql('profiles', where='x >= 4 AND x < 28 AND y >= 2 AND y < 22 AND z >= 2 AND z < 5', zmin=2, zmax=5)}, {SUM_SQL}, "
+        "j AS (SELECT *, CAST(substr(stack_id, 7) AS INTEGER) AS k, CASE WHEN k % 3 = 1 THEN 'Z range bounds must define at least one frame' "
+        "WHEN k % 5 = 2 THEN 'ROI bounds must define a non-empty rectangle' ELSE '' END AS error_message FROM sm) "
+        "SELECT 'table://' || stack_id AS source_path, CASE WHEN error_message = '' THEN 'ok' ELSE 'error' END AS status, error_message, "
+        "CASE WHEN error_message = '' THEN frame_count END AS frame_count, CASE WHEN error_message = '' THEN valid_frame_count END AS valid_frame_count, "
+        "CASE WHEN error_message = '' THEN area_um2_mean END AS area_um2_mean FROM j"
+    ),
+    "frameless_warnings": (
+        f"WITH RECURSIVE {rows_sql('profiles')}, {SUM_SQL}, j AS (SELECT *, CAST(substr(stack_id, 7) AS INTEGER) % 2 = 0 AS has FROM sm) "
+        "SELECT stack_id, 'vesicle' AS profile, CASE WHEN has THEN frame_count ELSE 0 END AS frame_count, CASE WHEN has THEN valid_frame_count ELSE 0 END AS valid_frame_count, "
+        f"CASE WHEN has THEN round(valid_fraction, 6) ELSE 0 END AS valid_fraction, CASE WHEN has THEN {CODES} ELSE 'no_frames' END AS warning_codes, "
+        "CASE WHEN has THEN area_um2_mean END AS area_um2_mean FROM j"
+    ),
     "manifest_fields": (
         f"{_EXCLUDED_SM} SELECT stack_id, profile, frame_count, valid_frame_count, '[' || array_to_string(excluded_frames, ',') || ']' AS excluded_frames, "
         f"nullif(split_part({CODES}, ';', 1), '') AS first_warning, CAST(1.5 AS DOUBLE) AS z_um, area_um2_mean AS area_mean, CAST(22 AS INTEGER) AS fields FROM sm"

@@ -36,16 +36,23 @@ class Slices:
             raise ValueError("zmax must be greater than zmin")
 
 
-def slice_bounds(stacks: DataFrame, slices: Slices | None) -> DataFrame:
-    """Add ``z_first`` and ``z_stop``, the analysed part of each stack; an empty part of a stack with frames is an error."""
+# checks as (condition, message); slices need the columns of ``place_slices``
+NO_SLICES = ("z_stop <= z_first and nz > 0", "Z range bounds must define at least one frame")
+EMPTY_RECT = "ROI bounds must define a non-empty rectangle"
+STACK_THRESHOLDS = "threshold table must name every stack once"
+FRAME_THRESHOLDS = "threshold sequence length must match number of frames"
+UNKNOWN_FRAME = "excluded frame index(es) not in analyzed stack: "
+
+
+def place_slices(stacks: DataFrame, slices: Slices | None) -> DataFrame:
+    """Add ``z_first`` and ``z_stop``, the analysed part of each stack."""
     low, high = (slices.zmin, slices.zmax) if slices else (0, 2147483647)
-    ranged = stacks.withColumn("z_first", F.least(F.lit(low), F.col("nz"))).withColumn(
-        "z_stop", F.least(F.lit(high), F.col("nz"))
-    )
-    return ranged.withColumn(
-        "z_stop",
-        raise_when("z_stop <= z_first and nz > 0", "Z range bounds must define at least one frame", "z_stop"),
-    )
+    return stacks.withColumns({"z_first": F.least(F.lit(low), F.col("nz")), "z_stop": F.least(F.lit(high), F.col("nz"))})
+
+
+def slice_bounds(stacks: DataFrame, slices: Slices | None) -> DataFrame:
+    """The stacks with the bounds of their analysed part; no part of a stack with frames is an error."""
+    return place_slices(stacks, slices).withColumn("z_stop", raise_when(*NO_SLICES, "z_stop"))
 
 
 def slice_counts(stacks: DataFrame, slices: Slices | None = None) -> DataFrame:
@@ -76,16 +83,18 @@ def keep_rect(pixels: DataFrame, rect: Rect | None) -> DataFrame:
     )
 
 
-def check_rect(stacks: DataFrame, rect: Rect | None) -> DataFrame:
-    """Fail when the rectangle, clamped to the image, is empty."""
-    if rect is None:
-        return stacks
+def is_empty_rect(rect: Rect) -> str:
+    """SQL: is nothing left of a rectangle clamped to the image?"""
     clamp = "greatest(0, least({size}, {value}))"
-    bad = (
+    return (
         f"{clamp.format(size='nx', value=rect.xmax)} <= {clamp.format(size='nx', value=rect.xmin)} or "
         f"{clamp.format(size='ny', value=rect.ymax)} <= {clamp.format(size='ny', value=rect.ymin)}"
     )
-    return require(stacks, bad, "ROI bounds must define a non-empty rectangle")
+
+
+def check_rect(stacks: DataFrame, rect: Rect | None) -> DataFrame:
+    """Fail when the rectangle, clamped to the image, is empty."""
+    return stacks if rect is None else require(stacks, is_empty_rect(rect), EMPTY_RECT)
 
 
 def zero_outside(pixels: DataFrame, rect: Rect) -> DataFrame:
@@ -104,10 +113,10 @@ def frame_thresholds(frames: DataFrame, thresholds: float | DataFrame) -> DataFr
     if "z" not in thresholds.columns:
         given = thresholds.groupBy("stack_id").agg(F.first("threshold").alias("threshold"), F.count("*").alias("_given"))
         joined = frames.join(given, "stack_id", "left")
-        return require(joined, "_given is null or _given > 1", "threshold table must name every stack once").drop("_given")
+        return require(joined, "_given is null or _given > 1", STACK_THRESHOLDS).drop("_given")
     joined = frames.join(thresholds.select("stack_id", "z", "threshold", F.lit(1).alias("_given")), ["stack_id", "z"], "full")
     bad = "_given is null or z_first is null"
-    return require(joined, bad, "threshold sequence length must match number of frames").drop("_given")
+    return require(joined, bad, FRAME_THRESHOLDS).drop("_given")
 
 
 def threshold_mask(pixels: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -155,7 +164,7 @@ def mark_excluded(frames: DataFrame, excluded: DataFrame | None) -> DataFrame:
         return frames.withColumn("excluded", F.lit(False))
     named = excluded.select("stack_id", "z", F.lit(True).alias("_out")).distinct()
     known = frames.select("stack_id", "z", F.lit(True).alias("_known")).distinct()
-    message = F.concat(F.lit("excluded frame index(es) not in analyzed stack: "), F.col("z").cast("string"))
+    message = F.concat(F.lit(UNKNOWN_FRAME), F.col("z").cast("string"))
     checked = require(named.join(known, ["stack_id", "z"], "left"), "_known is null", message).drop("_known")
     return frames.join(checked, ["stack_id", "z"], "left").withColumn("excluded", F.expr("coalesce(_out, false)")).drop("_out")
 

@@ -49,6 +49,15 @@ def run_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def frameless_runs(runs: DataFrame, summary: DataFrame, profile: str) -> DataFrame:
+    """Summary rows of runs without any frame: counts are zero, measures are missing."""
+    given = {
+        "frame_count": F.lit(0), "valid_frame_count": F.lit(0), "valid_fraction": F.lit(0.0), "excluded_frames": F.array(), "profile": F.lit(profile),
+        **{c: F.col(c) for c in runs.columns},
+    }
+    return runs.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in summary.schema.fields])
+
+
 def metric_summary(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The run summary in long form: (keys, metric, mean, min, max, std)."""
     pairs = ", ".join(f"'{m}', {', '.join(f'{m}_{s}' for s in STATS)}" for m in SUMMARY_METRICS)
@@ -164,21 +173,26 @@ def with_warnings(
     )
 
 
-def batch_rows(summary: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
-    """Summary rows of successful runs in the batch column order."""
-    base = summary.withColumns({"status": F.lit("ok"), "error_message": F.lit("")})
+def _with_hashes(rows: DataFrame, hashes: DataFrame | None) -> DataFrame:
     if hashes is not None:
-        base = base.join(hashes.select("source_path", "source_sha256"), "source_path", "left")
+        rows = rows.join(hashes.select("source_path", "source_sha256"), "source_path", "left")
     else:
-        base = base.withColumn("source_sha256", F.lit(None).cast("string"))
-    return base.withColumn("source_sha256", F.coalesce("source_sha256", F.lit(""))).select(*BATCH_COLUMNS)
+        rows = rows.withColumn("source_sha256", F.lit(None).cast("string"))
+    return rows.withColumn("source_sha256", F.coalesce("source_sha256", F.lit("")))
+
+
+def batch_rows(summary: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """Summary rows of successful runs in the batch column order."""
+    done = summary.withColumns({"status": F.lit("ok"), "error_message": F.lit("")})
+    return _with_hashes(done, hashes).select(*BATCH_COLUMNS)
 
 
-def failed_rows(failures: DataFrame, template: DataFrame) -> DataFrame:
+def failed_rows(failures: DataFrame, template: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
     """(source_path, error_message) as batch rows whose other columns are empty."""
-    given = {"source_path": F.col("source_path"), "source_sha256": F.lit(""), "status": F.lit("error"), "error_message": F.col("error_message")}
-    return failures.select(
-        *[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in template.schema.fields]
+    failed = _with_hashes(failures.withColumn("status", F.lit("error")), hashes)
+    given = ("source_path", "source_sha256", "status", "error_message")
+    return failed.select(
+        *[(F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType)).alias(f.name) for f in template.schema.fields]
     )
 
 

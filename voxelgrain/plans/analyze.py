@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelgrain.functions.checks import first_error
 from voxelgrain.operators import masks, split, summary, surface, tracking
 from voxelgrain.operators.contours import Objects, component_at_seed, describe_objects
 from voxelgrain.operators.frames import MESH_COLUMNS, frame_rows, seeded_contours, unseeded_contours
@@ -39,7 +40,8 @@ class Settings:
 class Analysis:
     """Result tables of one job, built when they are asked for.
 
-    ``mask`` holds (keys, z, y, x0, x1) of the measured objects, ``tracking`` one row per seed and frame.
+    ``mask`` holds (keys, z, y, x0, x1) of the measured objects, ``tracking`` one row per seed and frame, ``frameless`` the
+    keys of runs on stacks without frames, which have no rows but a summary.
     """
 
     stacks: DataFrame
@@ -52,6 +54,7 @@ class Analysis:
     tracking: DataFrame | None = None
     missing_method: str = "'fallback'"
     found_method: str | None = None
+    frameless: DataFrame | None = None
 
     @cached_property
     def contours(self) -> DataFrame:
@@ -97,6 +100,8 @@ class Analysis:
     @cached_property
     def summary(self) -> DataFrame:
         totals = summary.run_summary(self.rows, self.keys)
+        if self.frameless is not None:
+            totals = totals.unionByName(summary.frameless_runs(self.frameless, totals, check_profile(self.settings.profile)))
         if self.mesh is not None:
             totals = totals.join(self.mesh.select(*self.keys, F.lit(True).alias("mesh_present")), self.keys, "left")
             totals = totals.withColumn("mesh_present", F.coalesce("mesh_present", F.lit(False)))
@@ -232,7 +237,50 @@ def analyze(
     def find() -> DataFrame:
         return unseeded_contours(objects, frames, keys, contour=settings.contour, band_rows=band_rows)
 
-    return Analysis(stacks, frames, find, objects, keys, keys, settings)
+    return Analysis(stacks, frames, find, objects, keys, keys, settings, frameless=stacks.where("nz <= 0").select(*keys))
+
+
+def stack_failures(stacks: DataFrame, settings: Settings, excluded: DataFrame | None = None) -> DataFrame:
+    """(stack_id, source_path, error_message) of stacks that cannot be analysed so, each with its first failing check."""
+    placed = masks.place_slices(stacks, settings.slices)
+    checks = [("not coalesce(vx_um > 0 and vy_um > 0 and vz_um > 0, false)", "voxel spacing must be greater than zero"), masks.NO_SLICES]
+    if settings.rect is not None:
+        checks.append((masks.is_empty_rect(settings.rect), masks.EMPTY_RECT))
+    if isinstance(settings.thresholds, DataFrame):
+        per_frame = "z" in settings.thresholds.columns
+        counts = [F.count("*").alias("_given")]
+        if per_frame:
+            counts += [F.countDistinct("z").alias("_frames"), F.min("z").alias("_low"), F.max("z").alias("_high")]
+            whole = "_given = z_stop - z_first and _frames = _given and _low = z_first and _high = z_stop - 1"
+            checks.append((f"nz > 0 and not coalesce({whole}, false)", masks.FRAME_THRESHOLDS))
+        else:
+            checks.append(("nz > 0 and coalesce(_given, 0) <> 1", masks.STACK_THRESHOLDS))
+        placed = placed.join(settings.thresholds.groupBy("stack_id").agg(*counts), "stack_id", "left")
+    texts = [(condition, f"'{message}'") for condition, message in checks]
+    if excluded is not None:
+        outside = excluded.join(placed.select("stack_id", "z_first", "z_stop"), "stack_id").where("z < z_first or z >= z_stop")
+        placed = placed.join(outside.groupBy("stack_id").agg(F.min("z").alias("_outside")), "stack_id", "left")
+        texts.append(("_outside is not null", f"concat('{masks.UNKNOWN_FRAME}', _outside)"))
+    return placed.select("stack_id", "source_path", first_error(*texts).alias("error_message")).where("error_message is not null")
+
+
+def batch(
+    stacks: DataFrame, pixels: DataFrame, settings: Settings, *, hashes: DataFrame | None = None,
+    excluded: DataFrame | None = None, band_rows: int = BAND_ROWS,
+) -> DataFrame:
+    """One row per stack in the batch columns; a stack that fails a check gets its message, and the others are analysed."""
+    failed = materialize(stack_failures(stacks, settings, excluded))
+
+    def sound(table: DataFrame) -> DataFrame:
+        return table.join(failed.select("stack_id"), "stack_id", "left_anti")
+
+    limits = settings.thresholds
+    found = analyze(
+        sound(stacks), pixels, replace(settings, thresholds=sound(limits) if isinstance(limits, DataFrame) else limits),
+        excluded=None if excluded is None else sound(excluded), band_rows=band_rows,
+    )
+    rows = summary.batch_rows(found.summary, hashes)
+    return rows.unionByName(summary.failed_rows(failed, rows, hashes))
 
 
 def analyze_seeded(
@@ -282,15 +330,15 @@ def sweep(
     checked = masks.check_rect(stacks, settings.rect)
     if not thresholds:
         raise ValueError("threshold sweep requires at least one threshold")
-    frames = masks.stack_frames(checked, settings.slices).withColumn(
-        "threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    ).withColumn("excluded", F.lit(False))
+    each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    frames = masks.stack_frames(checked, settings.slices).select("*", each, F.lit(False).alias("excluded"))
     objects = find_objects(pixels, frames, keys, settings, band_rows=band_rows)
 
     def find() -> DataFrame:
         return unseeded_contours(objects, frames, keys, contour=settings.contour, band_rows=band_rows)
 
-    return Analysis(stacks, frames, find, objects, keys, keys, settings)
+    frameless = stacks.where("nz <= 0").select("stack_id", each)
+    return Analysis(stacks, frames, find, objects, keys, keys, settings, frameless=frameless)
 
 
 def best_threshold(sweep_summary: DataFrame) -> DataFrame:
