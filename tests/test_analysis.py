@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import seed, sphere, touching
 from voxelgrain.operators.masks import Rect, Slices
 from voxelgrain.operators.tracking import SEED_SCHEMA
-from voxelgrain.plans.analyze import Settings, analyze, analyze_seeded, best_threshold, split_analysis, sweep
+from voxelgrain.plans.analyze import Settings, analyze, analyze_seeded, batch, best_threshold, split_analysis, sweep
 
 
 def rows(df, *order):
@@ -207,3 +207,22 @@ def test_threshold_table_names_every_stack_once(spark, make):
         t = spark.createDataFrame(given, "stack_id string, threshold double")
         with pytest.raises(Exception, match="every stack once"):
             analyze(s, p, Settings(t)).rows.collect()
+
+
+def test_batch_isolates_failing_stacks(spark, make):
+    s, p = make({n: sphere(shape=shape, centre=(shape[0] // 2, 10, 10), radius=4) for n, shape in (
+        ("good", (6, 20, 20)), ("flat", (2, 20, 20)), ("narrow", (6, 20, 5)), ("unscaled", (6, 20, 20)), ("bare", (6, 20, 20)), ("off", (6, 20, 20)),
+    )})
+    s = s.withColumn("vy_um", F.expr("if(stack_id = 'unscaled', 0D, vy_um)"))
+    limits = s.where("stack_id <> 'bare'").select("stack_id", F.lit(100.0).alias("threshold"))
+    excluded = spark.createDataFrame([("off", 0), ("good", 3)], "stack_id string, z int")
+    options = Settings(limits, rect=Rect(5, 20, 0, 20), slices=Slices(2, 6))
+    got = {r.source_path[:-4]: (r.status, r.error_message) for r in batch(s, p, options, excluded=excluded).collect()}
+    assert got == {
+        "good": ("ok", ""),
+        "flat": ("error", "Z range bounds must define at least one frame"),
+        "narrow": ("error", "ROI bounds must define a non-empty rectangle"),
+        "unscaled": ("error", "voxel spacing must be greater than zero"),
+        "bare": ("error", "threshold table must name every stack once"),
+        "off": ("error", "excluded frame index(es) not in analyzed stack: 0"),
+    }

@@ -275,8 +275,9 @@ def batch(
         return table.join(failed.select("stack_id"), "stack_id", "left_anti")
 
     limits = settings.thresholds
+    # written, because a raising check would otherwise be moved before the join that takes the failed stacks out
     found = analyze(
-        sound(stacks), pixels, replace(settings, thresholds=sound(limits) if isinstance(limits, DataFrame) else limits),
+        materialize(sound(stacks)), pixels, replace(settings, thresholds=sound(limits) if isinstance(limits, DataFrame) else limits),
         excluded=None if excluded is None else sound(excluded), band_rows=band_rows,
     )
     rows = summary.batch_rows(found.summary, hashes)
