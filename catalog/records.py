@@ -270,9 +270,9 @@ def masked(spark, folder):
 
 
 def _probes(spark, folder):
-    """A probe from every bright pixel of the event stacks, along x."""
+    """A probe from every pixel of the event stacks, slanted in the plane of its slice."""
     s = ADAPTERS["profiles"](spark, folder)
-    probes = s.pixels.where("v >= 60").select(
+    probes = s.pixels.select(
         F.concat_ws("/", "stack_id", "z", "y", "x").alias("probe_id"), "stack_id", F.col("x").cast("double").alias("x"),
         F.col("y").cast("double").alias("y"), (F.col("z") * 3.0).alias("z"),
         F.lit(0.8).alias("dx"), F.lit(0.6).alias("dy"), F.lit(0.0).alias("dz"), F.lit(3.0).alias("z_scale"),
@@ -392,7 +392,7 @@ _SET = (
     "WHEN c_custkey % 4 = 3 THEN 'unknown analysis profile: odd' WHEN c_custkey % 5 = 0 THEN 'zmax must be greater than zmin' ELSE 'ok' END AS result FROM customer)"
 )
 _PROBE = (
-    f"{sql.px('profiles')}, pr AS (SELECT stack_id || '/' || z || '/' || y || '/' || x AS probe_id, stack_id, z, y, x FROM px WHERE v >= 60), "
+    f"{sql.px('profiles')}, pr AS (SELECT stack_id || '/' || z || '/' || y || '/' || x AS probe_id, stack_id, z, y, x FROM px), "
     "sm AS (SELECT p.probe_id, p.stack_id, CAST(i AS DOUBLE) * 0.5 AS s, CAST(round_even(p.x + (0.0 + CAST(i AS DOUBLE) * 0.5) * CAST(0.8 AS DOUBLE), 0) AS INTEGER) AS sx, "
     "CAST(round_even(p.y + (0.0 + CAST(i AS DOUBLE) * 0.5) * CAST(0.6 AS DOUBLE), 0) AS INTEGER) AS sy, p.z AS sz FROM pr p, range(-8, 9) AS r(i)), "
     "pf AS (SELECT s.probe_id, s.s, coalesce(q.v, 0) AS v FROM sm s LEFT JOIN px q ON q.stack_id = s.stack_id AND q.z = s.sz AND q.y = s.sy AND q.x = s.sx), "
