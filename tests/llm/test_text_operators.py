@@ -378,6 +378,16 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_copies", "near_copies", "decontaminate", "token_ids"]
 
 
+def test_near_copies_of_unrelated_rows_without_or_with_equal_keys(spark):
+    rng = random.Random(15)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    keys = [None, None, 7, 7, 3]
+    rows = [*zip(keys, texts, strict=True), (None, texts[4].upper()), (7, texts[2])]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((k or 0, t) for k, t in near_copies.drop_near_copies(data, key="doc_id", text="text").collect())
+    assert kept == sorted((k or 0, t) for k, t in zip(keys, texts, strict=True))
+
+
 def test_held_out_rows_are_never_learned(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     from voxelgrain.llm.queries import held_out

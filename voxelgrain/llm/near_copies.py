@@ -134,6 +134,14 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
     return direct.unionByName(around).distinct()
 
 
+def _rooted(prints: DataFrame, key: str) -> DataFrame:
+    """The written (fp, least, root): every different fingerprint, its smallest key and the fingerprint its group is known by."""
+    different = materialize(prints.groupBy("fp").agg(F.min(key).alias("least")))
+    roots = connect(near_links(different.select("fp")), [])
+    rooted = different.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return materialize(rooted)
+
+
 def near_groups(reports: DataFrame, *, key: str = STACK, text: str = REPORT) -> DataFrame:
     """One row per report: (key, fp, component_id).
 
@@ -142,22 +150,35 @@ def near_groups(reports: DataFrame, *, key: str = STACK, text: str = REPORT) ->
     is never smallest unless all are null; repeated rows repeat. No rows in, no rows out. Other columns are not read.
     """
     prints = materialize(report_fingerprints(reports, key=key, text=text))
-    different = materialize(prints.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = connect(near_links(different.select("fp")), [])
-    rooted = different.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialize(rooted)
+    rooted = _rooted(prints, key)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     components = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(components, "fp").select(key, "fp", "component_id")
 
 
+def numbered(reports: DataFrame) -> DataFrame:
+    """The written (_row, _n): every report as one struct, so that names of other columns cannot clash, and its row number."""
+    packed = reports.select(F.struct(*[F.col(f"`{n}`") for n in reports.columns]).alias("_row"))
+    return materialize(packed.withColumn("_n", F.monotonically_increasing_id()))
+
+
+def first_of_groups(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Of the numbered ``rows`` one for each group of ``members`` (_n, _key, root): the smallest key, a null key last, then
+    the smallest row number. Only the numbers of rows that go meet the texts."""
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key"), F.col("_n"))).alias("s"))
+    gone = materialize(members.join(first.select(F.col("s._n").alias("_n")), "_n", "left_anti").select("_n"))
+    return rows.join(gone, "_n", "left_anti").select("_row.*")
+
+
 def drop_near_copies(reports: DataFrame, *, key: str = STACK, text: str = REPORT) -> DataFrame:
-    """The reports whose key is the smallest of their group, with all their columns; one row for each group.
+    """One report for each group of linked ones, the one with the smallest key, with all its columns.
 
-    Of rows that share that key the one with the smallest fingerprint stays, and of equal ones any.
+    A null key is never smallest unless all are null; of rows that share the smallest key any one stays. Groups are known
+    by their fingerprints and rows by their number, so reports that share a key or have none stay if nothing links them.
     """
-    groups = near_groups(reports, key=key, text=text)
-    stays = groups.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"))).alias("s"))
-    packed = reports.select(F.col(key).alias("_id"), F.struct(*[F.col(f"`{n}`") for n in reports.columns]).alias("_row"))
-    once = packed.groupBy("_id").agg(F.min_by("_row", F.xxhash64(F.col(f"_row.{text}"))).alias("_row"))
-    return once.join(stays.select(F.col("s.id").alias("_stays")), F.col("_id").eqNullSafe(F.col("_stays")), "left_semi").select("_row.*")
+    rows = numbered(reports)
+    named = rows.select("_n", F.col(f"_row.{key}").alias("_key"), F.col(f"_row.{text}").alias("_text"))
+    prints = report_fingerprints(named.select(F.struct("_n", "_key").alias("_id"), "_text"), key="_id", text="_text")
+    prints = materialize(prints.select("_id._n", "_id._key", "fp"))
+    members = prints.join(_rooted(prints, "_key").select("fp", "root"), "fp").select("_n", "_key", "root")
+    return first_of_groups(rows, members)
