@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from voxelgrain.llm import benchmark_overlap, byte_pairs, near_copies, page_text, report_language, secret_search, token_store, toxic_windows
+from voxelgrain.llm import benchmark_overlap, byte_pairs, near_copies, page_text, report_language, secret_search, shingle_copies, token_store, toxic_windows
 from voxelgrain.llm.conversation_tree import conversation_digests, escaped, pack_conversations, read_conversations, unescaped
 from voxelgrain.llm.exact_copies import copy_groups, drop_copies
 from voxelgrain.llm.queries import QUERIES, tokenizer_path
@@ -388,6 +388,40 @@ def test_near_copies_of_unrelated_rows_without_or_with_equal_keys(spark):
     assert kept == sorted((k or 0, t) for k, t in zip(keys, texts, strict=True))
 
 
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_drops_texts_of_similar_shingles(spark):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([1, 4, 6, 30, 90, 200]))) for _ in range(20)]
+    common = " ".join(f"c{i}" for i in range(25))
+    for _ in range(120):
+        words = rng.choice(texts).split()
+        for _ in range(rng.randint(0, 1 + len(words) // 60)):
+            words[rng.randrange(len(words))] = "other"
+        texts.append(" ".join(words[: rng.randint(len(words) - len(words) // 8, len(words))]) + rng.choice(["", "", " " + common]))
+    texts += [None, "", " \n", "é É x"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    sets = [shingle_set(t) for t in texts]
+    root = [*range(len(texts))]
+    for _ in range(len(texts)):
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        if not near:
+            break
+        for i, j in near:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    prints = [near_copies.fingerprint(t) for t in texts]
+    far = [i for i, r in enumerate(root) if i != r and (prints[i] ^ prints[r]).bit_count() > 2]
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert kept == sorted(set(root)) and len(far) > 20
+    assert shingle_copies.drop_similar(docs.where("false"), key="doc_id", text="text").count() == 0
+
+
 def test_held_out_rows_are_never_learned(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     from voxelgrain.llm.queries import held_out
