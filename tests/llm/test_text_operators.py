@@ -348,6 +348,22 @@ def test_page_layout(html, text):
     assert page_text.page_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>T</title><body><p>Hello</body></html>", "Hello"), ("<head><meta charset=u><p>a", "a"), ("<head> loose", "loose"),
+        ("<head><style>s</style><script>x</script><title>T</title></head>a", "a"), ("<head><template><p>t</template>a", "a"),
+        ("<table><tr><form><td>cell</td></form></tr></table>", "cell"), ("<table><form><td>a<td>b</form></table>", "a | b"),
+        ("<table><tr><table><tr><td>in</table></table>", "in"), ("<table><table><tr><td>in</table></table>", "in"),
+        ("<table><tr><img alt=seen><td>c</table>", "seen\nc"),
+        ("<b aria-hidden=true>x</b>y", "xy"), ("<dialog open>in</dialog>out", "in\nout"), ("<dialog>in</dialog>out", "out"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>", "x=1"),
+    ],
+)
+def test_page_text_is_not_lost(html, text):
+    assert page_text.page_text(html) == text
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(1, "<p>a", "x"), (1, "<p>a", "x"), (2, None, "x")], "page_id long, html string, text string")
     assert sorted(map(tuple, page_text.extract_pages(rows).collect())) == [(1, "a"), (1, "a"), (2, "")]

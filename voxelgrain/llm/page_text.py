@@ -14,9 +14,11 @@ from voxelgrain.llm.records import text_slices
 
 # fixed values: element kinds of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title svg math iframe object audio video canvas select datalist textarea dialog".split())
+HIDDEN = frozenset("head script style template noscript title svg annotation annotation-xml mphantom iframe object audio video canvas select datalist textarea".split())
+# what may stand in a head; anything else ends it
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li "
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li "
     "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure menu".split())
@@ -41,7 +43,7 @@ class Element:
         self.name, self.attributes, self.children = name, attributes, []
 
     def hidden(self) -> bool:
-        if self.name in HIDDEN or "hidden" in self.attributes or (self.attributes.get("aria-hidden") or "").lower() == "true":
+        if self.name in HIDDEN or "hidden" in self.attributes or (self.name == "dialog" and "open" not in self.attributes):
             return True
         return bool(NOT_SHOWN.search(self.attributes.get("style") or ""))
 
@@ -62,7 +64,13 @@ class TreeBuilder(HTMLParser):
             if name in names:
                 del self.open[at:]
 
+    def _end_head(self, tag: str | None) -> None:
+        if self.open[-1].name == "head" or tag == "body":
+            self._end({"head"}, {"template"})
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag not in HEAD:
+            self._end_head(tag)
         if tag in CLOSES:
             self._end(*CLOSES[tag])
         if tag in ENDS_PARAGRAPH and any(e.name == "p" for e in self.open):
@@ -91,6 +99,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self._end_head(None)
         self.open[-1].children.append(data)
 
 
@@ -138,17 +148,27 @@ class Layout:
 
 
 def _cells(table: Element) -> list[list[str]]:
+    """The cells of every row, through any element between a table, its rows and their cells; cells outside a row begin one."""
     rows: list[list[str]] = []
-    waiting = [iter(table.children)]
+    waiting: list[tuple[object, list[str] | None]] = [(iter(table.children), None)]
     while waiting:
-        child = next(waiting[-1], None)
+        children, row = waiting[-1]
+        child = next(children, None)
         if child is None:
             waiting.pop()
         elif isinstance(child, Element) and not child.hidden():
-            if child.name == "tr":
-                rows.append([" ".join(rendered([c]).split("\n")) for c in child.children if isinstance(c, Element) and c.name in ("td", "th") and not c.hidden()])
+            if child.name in ("td", "th"):
+                if row is None:
+                    row = []
+                    rows.append(row)
+                    waiting[-1] = (children, row)
+                row.append(" ".join(rendered([child]).split("\n")))
             else:
-                waiting.append(iter(child.children))
+                if child.name in ("tr", "table"):
+                    row = [] if child.name == "tr" else None
+                    if row is not None:
+                        rows.append(row)
+                waiting.append((iter(child.children), row))
     return [r for r in rows if r]
 
 
@@ -161,6 +181,8 @@ def _only_cells(table: Element) -> bool:
             if child.strip():
                 return False
         elif not child.hidden() and child.name not in ("td", "th"):
+            if child.name == "img" and (child.attributes.get("alt") or "").strip():
+                return False
             waiting += child.children
     return True
 
