@@ -371,7 +371,7 @@ def test_pages(spark):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
@@ -387,10 +387,8 @@ def test_pipeline_stages(spark):
         kept = stage(spark, kept, "")
         assert kept.columns == docs.columns, name
     ids = sorted(r["doc_id"] for r in kept.collect())
-    # equal texts leave the largest id, linked ones the smallest
-    fps = [near_copies.fingerprint(t) for t in texts[:14]]
-    near = (fps[1] ^ fps[13]).bit_count() <= 2
-    assert ids == [*range(1, 13), *([] if near else [13])]
+    # equal texts leave the largest id, linked ones the smallest: 13 shares 56 of 57 shingles with 1
+    assert ids == [*range(1, 13)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_copies", "near_copies", "decontaminate", "token_ids"]
 
 

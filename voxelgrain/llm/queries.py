@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from voxelgrain.llm.benchmark_overlap import benchmark_overlaps
 from voxelgrain.llm.conversation_tree import conversation_digests, pack_conversations, read_conversations
 from voxelgrain.llm.exact_copies import copy_groups
+from voxelgrain.llm.metric_whitening import whiten_metrics
 from voxelgrain.llm.near_copies import near_groups
 from voxelgrain.llm.page_text import extract_pages
+from voxelgrain.llm.periodic_runs import periodic_runs
 from voxelgrain.llm.report_language import LanguageModel, fit_languages, identify_languages
 from voxelgrain.llm.secret_search import RULES, find_secrets
 from voxelgrain.llm.token_store import read_token_store, write_token_store
@@ -114,11 +116,50 @@ def op8_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return copy_groups(reports(spark, folder)).withColumnRenamed("stack_id", "doc_id")
 
 
+def repeating(text: Column, number: Column) -> Column:
+    """The text, with words from some place on made periodic where the document's hash ``number`` is divisible by ten."""
+    g = F.floor(number / 10)
+
+    def made(words: Column) -> Column:
+        n = F.size(words).cast("bigint")
+        a = g % n
+        rest = n - a
+        p = F.lit(1) + F.floor(rest / (F.lit(3) + g % 8))
+        one = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+        tail = F.slice(F.flatten(F.array_repeat(one, F.ceil(rest / p).cast("int"))), 1, rest.cast("int"))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a.cast("int")), tail), " ")).otherwise("")
+
+    # the words as a list of one, so that they are cut once
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when((number % 10 == 0) & text.isNotNull(), F.transform(F.array(words), made)[0]).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    number = F.crc32(F.col("stack_id").cast("string").cast("binary"))
+    given = reports(spark, folder).select("stack_id", repeating(F.col("report"), number).alias("report"))
+    found = periodic_runs(given)
+    # runs come by start and period, so the first of equal exponents stays
+    better = "(b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b)"
+    best = F.expr(f"aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), {better})")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    marked = found.select("stack_id", "runs", best.alias("best"), lines.alias("lines"), "collapsed")
+    return marked.select(
+        F.col("stack_id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_metric_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("metrics"))
+    return whiten_metrics(given, keys=["vec_id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_byte_pairs, op3_toxic, op4_near_copies, op5_conversation_tree, op6_page_text, op7_benchmark_overlap,
         op8_exact_copies, op9_token_store,
-        op10_language,
+        op10_language, op11_periodic_runs, op13_metric_whitening,
     )
 }
