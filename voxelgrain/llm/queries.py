@@ -17,6 +17,7 @@ from voxelgrain.llm.page_text import extract_pages
 from voxelgrain.llm.periodic_runs import periodic_runs
 from voxelgrain.llm.report_language import LanguageModel, fit_languages, identify_languages
 from voxelgrain.llm.secret_search import RULES, find_secrets
+from voxelgrain.llm.shingle_join import shingle_groups
 from voxelgrain.llm.token_store import read_token_store, write_token_store
 from voxelgrain.llm.token_transducer import decode_reports, encode_reports
 from voxelgrain.llm.toxic_windows import fit_toxic, score_toxic
@@ -150,6 +151,10 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_groups(reports(spark, folder)).withColumnRenamed("stack_id", "doc_id")
+
+
 def op13_metric_whitening(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("metrics"))
     return whiten_metrics(given, keys=["vec_id"])
@@ -160,6 +165,6 @@ QUERIES = {
     for f in (
         op1_secret_scan, op2_byte_pairs, op3_toxic, op4_near_copies, op5_conversation_tree, op6_page_text, op7_benchmark_overlap,
         op8_exact_copies, op9_token_store,
-        op10_language, op11_periodic_runs, op13_metric_whitening,
+        op10_language, op11_periodic_runs, op12_shingle_join, op13_metric_whitening,
     )
 }
