@@ -205,18 +205,52 @@ def test_fingerprint_like_counting():
 def test_masks_leave_no_passage_out():
     from itertools import combinations
 
-    for gone in combinations(range(benchmark_overlap.WINDOW), 3):
-        assert any(
-            all(at + place not in gone for place in mask) for mask in benchmark_overlap.MASKS for at in range(benchmark_overlap.WINDOW - mask[-1])
-        )
+    for least, masks in benchmark_overlap.MASKS.items():
+        most = least // 5
+        for gone in combinations(range(least), most):
+            assert any(all(at + place not in gone for place in mask) for mask in masks for at in range(least - mask[-1]))
+
+
+def test_overlaps_of_repeated_and_long_words(spark):
+    bench = spark.createDataFrame([(1, "ok " * 5000), (2, "a" * 70 + "bc d e f g"), (3, "ok ok")], "item_id long, text string")
+    texts = ["ok " * 6000, "ok " * 11 + "no", "ok " * 12 + "no", "a" * 70 + "cb d e f x", "a" * 70 + "bc d e f x", "ok ok", "ok ok ok", None]
+    rows = spark.createDataFrame([*enumerate(texts)], "stack_id long, report string")
+    found = {(r["stack_id"], r["item_id"]): r["matching_words"] for r in benchmark_overlap.benchmark_overlaps(rows, bench).collect()}
+    assert found == {(0, 1): 5000, (2, 1): 12, (4, 2): 4, (5, 3): 2}
+
+
+def test_special_strings_in_long_texts(library):
+    tables = byte_pairs.MergeTables(tokenizer_path())
+    for text in ("<|endoftext|>" * 60000, "x<|endoftext|" * 30000 + ">", "a<|endoftext|><|endoftext|> b"):
+        got = next(iter(byte_pairs.encode_texts([text], tables))).tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids
+
+
+def test_pages_of_great_depth():
+    nested = page_text.page_text("<table><tr><td>a" * 5000 + "</table>" * 5000 + "<p>end")
+    assert nested.startswith("a") and nested.endswith("\n\nend")
+    assert page_text.page_text("<div>" * 100000 + "x" + "</div>" * 100000 + "<p>y") == "x\n\ny"
+    assert page_text.page_text("<div><td>" + "<span>" * 50000 + "</div>" * 50000 + "x") == "x"
+    assert page_text.page_text("<li><p>" + "<b>" * 50000 + "<div>" * 50000 + "x").endswith("x")
+
+
+def test_language_filter_keeps_columns(spark):
+    texts = [f"the water and the weather number {i}" for i in range(30)]
+    rows = [(i, t, "en", 77.0 + i, "mine", True) for i, t in enumerate(texts)] + [(90, None, None, 1.0, "mine", True), (91, "123", None, 1.0, "mine", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, rejected boolean")
+    import corpus_pipeline
+
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [tuple(r) for r in rows[:30]]
 
 
 def brute_overlap(text, item):
     words, own = re.findall(r"\w+", (text or "").lower()), re.findall(r"\w+", (item or "").lower())
     size = min(15, len(own))
-    need = 12 if len(own) >= 15 else len(own)
+    need = -(-4 * size // 5)
     if len(own) < 5:
-        return False
+        return bool(own) and words == own
     for shift in range(-len(own), len(words)):
         equal = [0 <= shift + i < len(words) and words[shift + i] == own[i] for i in range(len(own))]
         if any(sum(equal[s : s + size]) >= need for s in range(len(own) - size + 1)):
@@ -227,7 +261,7 @@ def brute_overlap(text, item):
 def test_overlaps_against_all_alignments(spark, reports, nothing):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(40)]
-    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (3, 5, 9, 14, 15, 16, 30, 45)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (1, 3, 5, 6, 9, 10, 12, 14, 15, 16, 30, 45)]
     texts = []
     for _ in range(150):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
@@ -235,7 +269,10 @@ def test_overlaps_against_all_alignments(spark, reports, nothing):
         begin = rng.randint(0, max(0, len(passage) - 15))
         piece = [rng.choice(vocabulary) if rng.random() < 0.15 else w for w in passage[begin : begin + rng.randint(3, 30)]]
         at = rng.randint(0, len(words))
+        if rng.random() < 0.1:
+            words, piece, at = [], passage, 0
         texts.append(", ".join(words[:at] + piece + words[at:]).upper())
+    texts[:3] = items[:3]
     rows = spark.createDataFrame([*enumerate(texts), (900, None), (901, "")], "stack_id long, report string")
     bench = spark.createDataFrame([*enumerate(items), (90, None), (91, "")], "item_id long, text string")
     got = {(r["stack_id"], r["item_id"]) for r in benchmark_overlap.benchmark_overlaps(rows, bench).collect()}
@@ -243,6 +280,7 @@ def test_overlaps_against_all_alignments(spark, reports, nothing):
     assert got == want and len(want) > 30
     clean = {r["stack_id"] for r in benchmark_overlap.drop_overlapping(rows, bench).collect()}
     assert clean == set(range(150)) - {i for i, _ in want} | {900, 901}
+    assert {j for _, j in want} == set(range(len(items)))
     assert benchmark_overlap.benchmark_overlaps(nothing, bench).count() == 0
     assert benchmark_overlap.drop_overlapping(reports, bench.where("false")).count() == len(TEXTS)
 
@@ -357,6 +395,9 @@ def test_page_layout(html, text):
         ("<table><tr><table><tr><td>in</table></table>", "in"), ("<table><table><tr><td>in</table></table>", "in"),
         ("<table><tr><img alt=seen><td>c</table>", "seen\nc"),
         ("<b aria-hidden=true>x</b>y", "xy"), ("<dialog open>in</dialog>out", "in\nout"), ("<dialog>in</dialog>out", "out"),
+        ("<textarea>a b</textarea>", "a b"),
+        ("<ol start=4><li>a<li value=0>b<li>c</ol>", "4. a\n0. b\n1. c"),
+        ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>", "a |   | b\nc | d | e"),
         ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>", "x=1"),
     ],
 )

@@ -17,11 +17,16 @@ from voxelgrain.llm.byte_pairs import LETTER, NUMBER, character_classes
 from voxelgrain.llm.records import REPORT, STACK, Shared, text_slices
 
 WINDOW = 15
-SHARE = 0.8
-# with up to three other words among fifteen, one of these masks always finds six equal words in its places
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10))
-# items shorter than the window have to agree in all words
-SHORT_MASK = (0, 1, 2, 3, 4)
+# masks by the number of words of an item, from that many on: with as many other words as a fifth of the item or of the window
+# allows, one of the masks always finds equal words in its places
+MASKS = {
+    15: ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10)),
+    10: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7)),
+    5: ((0, 1, 2), (0, 1, 4)),
+}
+# items of fewer words are compared with whole texts
+LEAST_WORDS = min(MASKS)
+HITS_AT_ONCE = 1 << 20
 BLOCK_WORDS = 1 << 20
 FILTER_BITS = 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -50,8 +55,8 @@ def word_codes(texts: list[str | None], classes: np.ndarray) -> tuple[np.ndarray
     letters = points[inside].astype(np.uint64)
     lengths = np.diff(np.append(first, len(letters)))
     offset = np.arange(len(letters)) - np.repeat(first, lengths)
-    powers = np.cumprod(np.full(65, MIX, np.uint64))
-    code = np.add.reduceat((letters + np.uint64(1)) * powers[np.minimum(offset, 64)], first)
+    powers = np.cumprod(np.full(int(lengths.max()), MIX, np.uint64))
+    code = np.add.reduceat((letters + np.uint64(1)) * powers[offset], first)
     code ^= code >> np.uint64(31)
     return code * MIX, counts
 
@@ -76,9 +81,12 @@ class SeedTable:
         self.words = np.split(codes, np.cumsum(counts)[:-1]) if items else []
         seeds, owners, places = [], [], []
         self.masks: list[tuple[int, tuple[int, ...]]] = []
-        for number, mask in enumerate((*MASKS, SHORT_MASK)):
-            short = number == len(MASKS)
-            used = [n for n, w in enumerate(self.words) if (len(SHORT_MASK) <= len(w) < WINDOW if short else len(w) >= WINDOW)]
+        self.whole: dict[bytes, list[int]] = {}
+        bounds = sorted(MASKS) + [None]
+        numbered = [(least, mask) for least in bounds[:-1] for mask in MASKS[least]]
+        for number, (least, mask) in enumerate(numbered):
+            above = bounds[bounds.index(least) + 1]
+            used = [n for n, w in enumerate(self.words) if len(w) >= least and (above is None or len(w) < above)]
             if used:
                 self.masks.append((number, mask))
             for n in used:
@@ -86,6 +94,9 @@ class SeedTable:
                 seeds.append(own)
                 owners.append(np.full(len(own), n))
                 places.append(np.arange(len(own)))
+        for n, w in enumerate(self.words):
+            if 0 < len(w) < LEAST_WORDS:
+                self.whole.setdefault(w.tobytes(), []).append(n)
         joined = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         order = np.argsort(joined, kind="stable")
         self.seeds = joined[order]
@@ -100,31 +111,41 @@ class SeedTable:
         ends = np.cumsum(counts)
         begins = ends - counts
         owner = np.repeat(np.arange(len(counts)), counts)
-        found = []
+        longest = max(map(len, self.words), default=0)
+        span = len(codes) + longest + 1
+        found = [np.zeros(0, np.int64)]
         for number, mask in self.masks:
             own = seed_codes(codes, mask, number)
             hit = np.flatnonzero(self.filter[own >> np.uint64(64 - FILTER_BITS)])
+            hit = hit[owner[hit] == owner[np.minimum(hit + mask[-1], len(owner) - 1)]]
             low = np.searchsorted(self.seeds, own[hit], side="left")
             many = np.searchsorted(self.seeds, own[hit], side="right") - low
-            at = np.repeat(hit, many)
-            entry = np.repeat(low, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-            whole = owner[at] == owner[np.minimum(at + mask[-1], len(owner) - 1)] if len(at) else np.zeros(0, bool)
-            at, entry = at[whole], entry[whole]
-            found.append(np.stack([owner[at], self.owners[entry], at - self.places[entry]], axis=1))
-        tried = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            # words that repeat meet in many places on few diagonals, so only the diagonals of a bounded number of hits are held
+            turn = np.cumsum(many) // HITS_AT_ONCE
+            for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(turn)) + 1) if len(hit) else ():
+                at = np.repeat(hit[part], many[part])
+                entry = np.repeat(low[part], many[part]) + np.arange(len(at)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+                shift = at - self.places[entry] + longest
+                found.append(np.unique((owner[at] * len(self.ids) + self.owners[entry]) * span + shift))
+        tried = np.unique(np.concatenate(found))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for text, item, shift in tried.tolist():
+        for pair, shift in zip((tried // span).tolist(), (tried % span - longest).tolist(), strict=True):
+            text, item = divmod(pair, len(self.ids))
             words = self.words[item]
             low, high = max(shift, int(begins[text])), min(shift + len(words), int(ends[text]))
             equal = words[low - shift : high - shift] == codes[low:high]
             window = min(WINDOW, len(words))
-            need = int(np.ceil(SHARE * window)) if len(words) >= WINDOW else window
             sums = np.cumsum(np.append(0, equal))
             within = sums[window:] - sums[:-window] if len(equal) >= window else sums[-1:]
-            if len(within) and within.max() >= need and (len(equal) >= window or len(words) >= WINDOW):
+            # at least four fifths of the window
+            if 5 * int(within.max()) >= 4 * window:
                 score = (int(equal.sum()), -(low - int(begins[text])))
                 if score > best.get((text, item), (-1, 0)):
                     best[text, item] = score
+        if self.whole:
+            for text in np.flatnonzero((counts > 0) & (counts < LEAST_WORDS)).tolist():
+                for item in self.whole.get(codes[begins[text] : ends[text]].tobytes(), ()):
+                    best[text, item] = (int(counts[text]), 0)
         for (text, item), (count, start) in sorted(best.items()):
             yield text, item, count, -start
 
@@ -145,9 +166,10 @@ def benchmark_overlaps(
 ) -> DataFrame:
     """One row per report and item that overlap: (key, item, matching_words, item_words, first_word).
 
-    An overlap is a window of fifteen aligned words of which at least 80 % are equal, cut off at the report's ends; items
-    of 5 to 14 words must occur whole, shorter ones are never found. Null and empty texts overlap nothing; repeated reports
-    and items repeat. The benchmark is a stated query set: it is compared with all reports in blocks of bounded size.
+    An overlap is a window of fifteen aligned words, or of all words of an item of 5 to 14, of which at least 80 % are equal;
+    words beyond the report's ends count as different. An item of one to four words overlaps the reports that consist of the same
+    words. Null and empty texts overlap nothing; repeated reports and items repeat, and so do null keys; no rows in, no rows out.
+    Words that repeat many times and very long texts cost time in proportion to the pairs of equal seeds, in bounded memory. The benchmark is a stated query set: it is compared with all reports in blocks of bounded size.
     Reports stay where they are read; other columns are not read.
     """
     narrow = reports.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -180,7 +202,11 @@ def benchmark_overlaps(
 def drop_overlapping(
     reports: DataFrame, benchmark: DataFrame, *, key: str = STACK, text: str = REPORT, item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """The reports that overlap no item, with all their columns, where they were read."""
+    """The reports that overlap no item in the sense of ``benchmark_overlaps``, with all their columns, where they were read.
+
+    Null and empty reports stay, repeated rows and rows with a null key stay or go one by one. Without items all stay. Other
+    columns may have any names.
+    """
     spark, classes, left = reports.sparkSession, character_classes(), reports
     for block in _blocks(benchmark, item, item_text):
         seeds = Shared(spark, SeedTable(block, classes))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -251,15 +252,16 @@ def _pieces(text: str, special: dict[str, int]) -> Iterator[str | int]:
     if not any(s in text for s in special):
         yield text
         return
-    while text:
-        at, name = min(((text.find(s), -len(s), s) for s in special if s in text), default=(-1, 0, ""))[::2]
-        if at < 0:
-            yield text
-            return
-        if at:
-            yield text[:at]
-        yield special[name]
-        text = text[at + len(name) :]
+    # the longest of several that begin at the same place
+    names = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)))
+    end = 0
+    for found in names.finditer(text):
+        if found.start() > end:
+            yield text[end : found.start()]
+        yield special[found[0]]
+        end = found.end()
+    if end < len(text):
+        yield text[end:]
 
 
 def cut_words(parts: Sequence[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

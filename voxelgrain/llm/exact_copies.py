@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelgrain.llm.near_copies import numbered
 from voxelgrain.llm.records import REPORT, STACK, lower_ascii
 from voxelgrain.session import materialize
 
@@ -30,13 +31,14 @@ def _frequent(rows: DataFrame, heavy: int, tracked: int) -> DataFrame:
     return counted.where("group_size > 1")
 
 
-def _surveyed(reports: DataFrame, key: str, text: str, heavy: int, tracked: int) -> tuple[DataFrame, DataFrame]:
-    """The written (id, digest, row) of every report and the written table of frequent digests."""
-    rows = materialize(
-        reports.select(F.col(key).alias("id"), text_digest(F.col(text)).alias("digest"))
-        .withColumn("row", F.monotonically_increasing_id())
-    )
-    return rows, materialize(_frequent(rows, heavy, tracked))
+def _decided(rows: DataFrame, heavy: int, tracked: int) -> DataFrame:
+    """(id, digest, row, stays, group_size) of every one of the written rows (id, digest, row)."""
+    known = F.broadcast(materialize(_frequent(rows, heavy, tracked)))
+    marked = rows.join(known, "digest")
+    rest = rows.join(known.select("digest"), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("stays"), F.count("*").alias("group_size"))
+    columns = ["id", "digest", "row", "stays", "group_size"]
+    return marked.select(*columns).unionByName(rest.join(groups, "digest").select(*columns))
 
 
 def copy_groups(
@@ -50,13 +52,11 @@ def copy_groups(
 
     Only keys and digests are shuffled. ``heavy`` bounds the table that is broadcast.
     """
-    rows, frequent = _surveyed(reports, key, text, heavy, tracked)
-    known = F.broadcast(frequent)
-    marked = rows.join(known, "digest")
-    rest = rows.join(known.select("digest"), "digest", "left_anti")
-    groups = rest.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("stays"), F.count("*").alias("group_size"))
-    decided = marked.unionByName(rest.join(groups, "digest"))
-    return decided.select(
+    rows = materialize(
+        reports.select(F.col(key).alias("id"), text_digest(F.col(text)).alias("digest"))
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    return _decided(rows, heavy, tracked).select(
         F.col("id").alias(key), F.col("stays.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("stays.row")).alias("kept"), F.col("digest").alias("text_sha256"),
     )
@@ -67,17 +67,10 @@ def drop_copies(
 ) -> DataFrame:
     """The reports that stay, with all their columns: one row for each group of ``copy_groups``.
 
-    Of rows that share text and key any one may carry the other columns. Copies of frequent texts go in the task that
-    reads them; a group of the rest is reduced in every task before it is shuffled.
+    Rows are numbered and written first, so the choice among rows that share text and key does not change if a task runs again.
+    Only keys, digests and numbers are shuffled; the numbers of rows that go meet the texts. Other columns may have any names.
     """
-    _, frequent = _surveyed(reports, key, text, heavy, tracked)
-    known = F.broadcast(frequent.select(F.col("digest").alias("_digest"), F.col("stays.id").alias("_stays")))
-    # the row travels as one struct, so that names of other columns cannot clash
-    packed = reports.select(
-        text_digest(F.col(text)).alias("_digest"), F.col(key).alias("_id"), F.struct(*[F.col(f"`{n}`") for n in reports.columns]).alias("_row")
-    )
-    of_frequent = packed.join(known, "_digest").where(F.col("_id").eqNullSafe(F.col("_stays"))).select("_digest", "_id", "_row")
-    others = packed.join(known, "_digest", "left_anti")
-    # a null key is never largest unless all are null
-    largest = F.max_by("_row", F.struct("_id"))
-    return of_frequent.unionByName(others).groupBy("_digest").agg(largest.alias("_row")).select("_row.*")
+    rows = numbered(reports)
+    named = rows.select(F.col(f"_row.`{key}`").alias("id"), text_digest(F.col(f"_row.`{text}`")).alias("digest"), F.col("_n").alias("row"))
+    gone = _decided(materialize(named), heavy, tracked).where(F.col("row") != F.col("stays.row"))
+    return rows.join(materialize(gone.select(F.col("row").alias("_n"))), "_n", "left_anti").select("_row.*")

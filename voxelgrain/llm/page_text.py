@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -14,7 +14,7 @@ from voxelgrain.llm.records import text_slices
 
 # fixed values: element kinds of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title svg annotation annotation-xml mphantom iframe object audio video canvas select datalist textarea".split())
+HIDDEN = frozenset("head script style template noscript title svg annotation annotation-xml mphantom iframe object audio video canvas select datalist".split())
 # what may stand in a head; anything else ends it
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = frozenset(
@@ -32,6 +32,7 @@ ENDS_PARAGRAPH = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 GAPS = re.compile(r"[ \t\n\r\f]+")
 ROOT = "#root"
+WIDEST = 1000
 
 
 class Element:
@@ -55,14 +56,20 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element(ROOT, {})
         self.open = [self.root]
+        # where the open elements of each name stand, so that deep pages need no search
+        self.places: dict[str, list[int]] = {}
+
+    def _last(self, names: set[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def _cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().name].pop()
 
     def _end(self, names: set[str], within: set[str]) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self.open[at].name
-            if name in within:
-                return
-            if name in names:
-                del self.open[at:]
+        fence = self._last(within)
+        while (at := self._last(names)) > fence:
+            self._cut(at)
 
     def _end_head(self, tag: str | None) -> None:
         if self.open[-1].name == "head" or tag == "body":
@@ -73,7 +80,7 @@ class TreeBuilder(HTMLParser):
             self._end_head(tag)
         if tag in CLOSES:
             self._end(*CLOSES[tag])
-        if tag in ENDS_PARAGRAPH and any(e.name == "p" for e in self.open):
+        if tag in ENDS_PARAGRAPH and self.places.get("p"):
             self._end({"p"}, {"table", "td", "th", "li", "div", "article", "section", "body"})
         if tag in ("td", "th") and self.open[-1].name in ("table", "tbody", "thead", "tfoot"):
             self._push(Element("tr", {}))
@@ -85,18 +92,17 @@ class TreeBuilder(HTMLParser):
 
     def _push(self, element: Element) -> None:
         self.open[-1].children.append(element)
+        self.places.setdefault(element.name, []).append(len(self.open))
         self.open.append(element)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].name == tag:
-                del self.open[at:]
-                return
-            if self.open[at].name in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return
+        at = self._last({tag})
+        inner = tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html")
+        if at and (inner or self._last({"table", "td", "th"}) <= at):
+            self._cut(at)
 
     def handle_data(self, data: str) -> None:
         if data.strip(" \t\n\r\f"):
@@ -147,8 +153,16 @@ class Layout:
         return "\n".join(self.lines).strip("\n")
 
 
-def _cells(table: Element) -> list[list[str]]:
-    """The cells of every row, through any element between a table, its rows and their cells; cells outside a row begin one."""
+def _whole(text: str | None, least: int, most: int) -> int | None:
+    """An attribute as a whole number within bounds."""
+    return min(max(int(text), least), most) if re.fullmatch(r"\s*-?\d{1,9}\s*", text or "", re.A) else None
+
+
+def _cells(table: Element) -> Generator[list[Element], str, list[list[str]]]:
+    """The cells of every row, through any element between a table, its rows and their cells; cells outside a row begin one.
+
+    Asks for the text of each cell; a cell over several columns leaves the others empty.
+    """
     rows: list[list[str]] = []
     waiting: list[tuple[object, list[str] | None]] = [(iter(table.children), None)]
     while waiting:
@@ -162,7 +176,8 @@ def _cells(table: Element) -> list[list[str]]:
                     row = []
                     rows.append(row)
                     waiting[-1] = (children, row)
-                row.append(" ".join(rendered([child]).split("\n")))
+                row.append(" ".join((yield [child]).split("\n")))
+                row += [""] * ((_whole(child.attributes.get("colspan"), 1, WIDEST) or 1) - 1)
             else:
                 if child.name in ("tr", "table"):
                     row = [] if child.name == "tr" else None
@@ -188,7 +203,21 @@ def _only_cells(table: Element) -> bool:
 
 
 def rendered(children: list) -> str:
-    """Visible text of nodes, walked without recursion except into the cells of tables."""
+    """Visible text of nodes; what waits for the text of a cell stands on a stack of its own, however deep tables nest."""
+    waiting, text = [_rendered(children)], None
+    while waiting:
+        try:
+            inner = waiting[-1].send(text)
+            waiting.append(_rendered(inner))
+            text = None
+        except StopIteration as done:
+            waiting.pop()
+            text = done.value
+    return text
+
+
+def _rendered(children: list) -> Generator[list[Element], str, str]:
+    """Visible text of nodes, asking for the text of table cells."""
     out = Layout()
     lists: list[list] = []
     waiting: list[tuple[object, bool, str]] = [(c, False, "in") for c in reversed(children)]
@@ -220,15 +249,17 @@ def rendered(children: list) -> str:
         elif name in BLOCK:
             out.break_line()
         if name in ("ul", "ol", "menu"):
-            lists.append([name, 0])
+            given = _whole(node.attributes.get("start"), -(10**9), 10**9)
+            lists.append([name, 0 if given is None else given - 1])
         if name == "li":
             mark = "- "
             if lists and lists[-1][0] == "ol":
-                lists[-1][1] += 1
+                given = _whole(node.attributes.get("value"), -(10**9), 10**9)
+                lists[-1][1] = lists[-1][1] + 1 if given is None else given
                 mark = f"{lists[-1][1]}. "
             out.word("  " * max(len(lists) - 1, 0) + mark, True)
         if name == "table" and _only_cells(node):
-            rows = _cells(node)
+            rows = yield from _cells(node)
             widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
             for row in rows:
                 out.word(" | ".join(c.ljust(w) for c, w in zip(row, widths, strict=False)).rstrip(), True)
@@ -254,7 +285,7 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html",
     Blocks begin lines and paragraphs, headings, lists and tables leave a blank line; list items carry a dash or number and
     indent by depth; table cells are padded to columns. Hidden elements, scripts, styles and form choices are left out.
     Null and empty pages give an empty text, broken markup what a browser would show of it. Repeated rows repeat; other
-    columns are not read. Very deep pages are walked without recursion, but for tables inside cells.
+    columns are not read; no rows in, no rows out. Pages of any length and depth are walked without recursion.
     """
     schema = T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField(text, T.StringType())])
 

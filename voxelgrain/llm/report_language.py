@@ -120,7 +120,7 @@ def fit_languages(labelled: DataFrame, *, key: str = STACK, text: str = REPORT,
     """Learns from rows with a language; gram weights come from all of them, centroids from about ``sample`` rows.
 
     ``sample`` bounds the rows whose vectors reach the driver: an equal share per language, chosen by a hash of the key.
-    Without any row the model knows no language and rejects everything.
+    Without any row the model knows no language and rejects everything. More than MOST_LANGUAGES languages are an error.
     """
     classes = character_classes()
     spark = labelled.sparkSession
@@ -175,7 +175,8 @@ def identify_languages(reports: DataFrame, model: LanguageModel, *, text: str =
 
     ``lang_pred`` is the language of the nearest centroid by cosine, ``und`` for null texts and texts without a letter,
     which are rejected with score 0. ``score`` is the similarity, from 0 to 1. ``rejected`` also marks texts farther from
-    every centroid than the model allows. Only the text is used; repeated rows repeat.
+    every centroid than the model allows. Only the text is used, whole and whatever its length; repeated rows repeat. No rows in,
+    no rows out. ``drop_unidentified`` leaves all columns alone.
     """
     shared = Shared(reports.sparkSession, model)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
@@ -195,3 +196,22 @@ def identify_languages(reports: DataFrame, model: LanguageModel, *, text: str =
                     )
 
     return reports.mapInArrow(run, T.StructType(kept + added))
+
+
+def drop_unidentified(reports: DataFrame, model: LanguageModel, *, text: str = REPORT) -> DataFrame:
+    """The reports that ``identify_languages`` does not reject, with all their columns as they are, whatever their names.
+
+    Null texts and texts without a letter go; rows stay where they are read; no rows in, no rows out.
+    """
+    shared = Shared(reports.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for part in text_slices(batch, text):
+                for at in range(0, part.num_rows, TEXTS_AT_ONCE):
+                    rows = part.slice(at, TEXTS_AT_ONCE)
+                    _, _, rejected = own.nearest(rows.column(text).to_pylist())
+                    yield rows.filter(pa.array(~np.asarray(rejected, bool)))
+
+    return reports.mapInArrow(run, reports.schema)
