@@ -88,13 +88,13 @@ def test_filters_keep_every_link():
     rng = random.Random(32)
     for _ in range(3000):
         percent = rng.choice([50, 80, 85, 100])
-        rule = shingle_join.JoinRule(4, percent, [(c, c) for c in range(0, 60, 3)])
-        pool = rng.sample(range(200), rng.randint(2, 60))
+        rule = shingle_join.JoinRule(4, percent, np.arange(0, 60, 3), np.arange(0, 60, 3))
+        pool = [c << 32 for c in rng.sample(range(200), rng.randint(2, 60))]
         one, two = (np.array(sorted(rng.sample(pool, rng.randint(max(1, len(pool) - 6), len(pool)))), np.uint64) for _ in range(2))
         same = len(set(one.tolist()) & set(two.tolist()))
         linked = 100 * same >= percent * (len(one) + len(two) - same)
         assert rule.linked(one, two) == linked
-        bits = [shingle_join.parity(c << np.uint64(44)).view(np.uint64) for c in (one, two)]
+        bits = [shingle_join.parity(c << np.uint64(12)).view(np.uint64) for c in (one, two)]
         apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
         assert apart <= len(one) + len(two) - 2 * same
         if linked and one.tolist() != two.tolist():
@@ -106,6 +106,27 @@ def test_filters_keep_every_link():
             assert (100 + percent) * (s - place) >= 2 * percent * s
 
 
+def test_slots_come_back():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 5000):
+        slots = np.sort(rng.integers(0, 1 << 24, size).astype(np.uint32))
+        slots[size // 2 :] //= 4
+        slots.sort()
+        assert (shingle_join.unpacked_slots(*shingle_join.packed_slots(slots)) == slots).all()
+
+
+def test_counts_of_common_shingles(spark):
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(words[i : i + 12]) for i in range(18)] * 3
+    data = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(5)
+    slots, counts = shingle_join._common(data, 4)
+    want = {}
+    for codes in shingle_join.shingle_codes(texts):
+        for c in codes.tolist():
+            want[c >> 32] = want.get(c >> 32, 0) + 1
+    assert dict(zip(slots.tolist(), counts.tolist(), strict=True)) == {c: n for c, n in want.items() if n >= shingle_join.OFTEN}
+
+
 def test_boilerplate_makes_no_pairs(spark, monkeypatch):
     """10,000 texts share one passage and nothing else; half of them are short enough for the passage to reach the prefix."""
     rng = random.Random(33)

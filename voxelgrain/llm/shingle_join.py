@@ -16,8 +16,10 @@ from voxelgrain.session import materialize
 SHINGLE = 4
 PERCENT = 85
 HELD = 1 << 22
-REPEATS = 4
-COMMON = 1 << 16
+OFTEN = 4
+COMMON = 1 << 20
+SLOT_BITS, BUCKET_BITS = 32, 24
+FAR = np.uint32(0xFFFF)
 FILTER_BITS = (22, 27)
 PARITY_BITS = 1024
 QUARTERS = 16
@@ -79,12 +81,13 @@ def parity(codes: np.ndarray) -> np.ndarray:
 
 class JoinRule:
     """Two sets link when 100 * shared >= percent * together. Shingles known to be common come last in the order of shingles, by
-    their count; all others come before them by their code."""
+    the number of texts counted for the first 32 bits of their code; all others come before them by their code."""
 
-    def __init__(self, shingle: int, percent: int, common: list[tuple[int, int]] = ()):
-        codes = np.array([c for c, _ in common], np.int64).view(np.uint64)
-        order = np.argsort(codes)
-        self.codes, self.counts = codes[order], np.array([n for _, n in common], np.int64)[order]
+    def __init__(self, shingle: int, percent: int, slots: np.ndarray | None = None, counts: np.ndarray | None = None):
+        given = slots is not None and len(slots)
+        order = np.argsort(slots) if given else np.zeros(0, np.int64)
+        self.slots = slots[order].astype(np.uint32) if given else np.zeros(0, np.uint32)
+        self.counts = counts[order].astype(np.uint32) if given else np.zeros(0, np.uint32)
         self.shingle, self.percent = shingle, percent
 
     def prefix(self, codes: np.ndarray) -> np.ndarray:
@@ -93,10 +96,11 @@ class JoinRule:
         if 100 * size < self.percent * (size + 1):
             return codes[:0]
         length = size - -(-self.percent * size // 100) + 1
-        if not len(self.codes):
+        if not len(self.slots):
             return codes[:length]
-        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        counts = np.where(self.codes[place] == codes, self.counts[place], 0)
+        own = (codes >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+        place = np.minimum(np.searchsorted(self.slots, own), len(self.slots) - 1)
+        counts = np.where(self.slots[place] == own, self.counts[place], 0)
         return codes[np.argsort(counts, kind="stable")[:length]]
 
     def linked(self, one: np.ndarray, two: np.ndarray) -> bool:
@@ -127,29 +131,72 @@ class JoinRule:
         return F.expr(f"{apart} <= {s} + {t} - 2 * ({need})")
 
 
-def _common(texts: DataFrame, shingle: int) -> list[tuple[int, int]]:
-    """The COMMON most counted shingles among those that several texts of a task share. They only order the shingles."""
+def packed_slots(slots: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted numbers as steps of 16 bits; wider ones stand apart."""
+    steps = np.diff(slots, prepend=np.uint32(0)).astype(np.uint32)
+    wide = steps >= FAR
+    return np.where(wide, FAR, steps).astype("<u2").tobytes(), steps[wide].astype("<u4").tobytes()
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        codes, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= REPEATS
-        return pa.RecordBatch.from_arrays([pa.array(codes[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["code", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unpacked_slots(near: bytes, far: bytes) -> np.ndarray:
+    steps = np.frombuffer(near, "<u2").astype(np.int64)
+    steps[steps == FAR] = np.frombuffer(far, "<u4")
+    return np.cumsum(steps)
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, counts): in how many texts shingles occur, by the first 32 bits of their codes, for the COMMON most frequent ones of
+    at least OFTEN. All shingles of all texts are counted; the counts only order the shingles.
+
+    Tasks send the slots of their texts as small steps, about two bytes for each shingle, and a range of slots is counted in one
+    array of fixed size.
+    """
+    low = (1 << BUCKET_BITS) - 1
+
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        slots = np.sort(np.concatenate(held))
+        edges = np.searchsorted(slots, np.arange(1 << (SLOT_BITS - BUCKET_BITS), dtype=np.uint32) << np.uint32(BUCKET_BITS))
+        parts = [(n, p & np.uint32(low)) for n, p in enumerate(np.split(slots, edges[1:])) if len(p)]
+        packed = [packed_slots(p) for _, p in parts]
+        arrays = [pa.array([n for n, _ in parts], pa.int32()), *[pa.array([x[i] for x in packed], pa.binary()) for i in (0, 1)]]
+        return pa.RecordBatch.from_arrays(arrays, names=["bucket", "near", "far"])
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in text_slices(batch, "_text"):
                 for codes in shingle_codes(part.column("_text").to_pylist(), shingle):
-                    held.append(codes)
+                    held.append((codes >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
                     size += len(codes)
                 if size >= HELD:
-                    yield counted(held)
+                    yield send(held)
                     held, size = [], 0
-        if held:
-            yield counted(held)
+        if size:
+            yield send(held)
+
+    def often(bucket: int, counts: np.ndarray) -> pa.RecordBatch:
+        many = np.flatnonzero(counts >= OFTEN)
+        numbers = [pa.array(many + (bucket << BUCKET_BITS)), pa.array(counts[many].astype(np.int64))]
+        counts[:] = 0
+        return pa.RecordBatch.from_arrays(numbers, names=["slot", "n"])
 
-    counts = texts.select("_text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    return [tuple(r) for r in counts.orderBy(F.desc("n"), "code").limit(COMMON).collect()]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, counts = None, np.zeros(1 << BUCKET_BITS, np.uint32)
+        for batch in batches:
+            for bucket, near, far in zip(*(batch.column(c).to_pylist() for c in ("bucket", "near", "far")), strict=True):
+                if bucket != current and current is not None:
+                    yield often(current, counts)
+                current = bucket
+                found = unpacked_slots(near, far)
+                heads = np.flatnonzero(np.diff(found, prepend=-1))
+                counts[found[heads]] += np.diff(np.append(heads, len(found))).astype(np.uint32)
+        if current is not None:
+            yield often(current, counts)
+
+    sent = texts.select("_text").mapInArrow(slots, "bucket int, near binary, far binary")
+    counted = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "slot bigint, n bigint")
+    table = counted.orderBy(F.desc("n"), "slot").limit(COMMON).toArrow()
+    return table.column("slot").to_numpy(), table.column("n").to_numpy()
 
 
 def _surveyed(texts: DataFrame, rule: JoinRule) -> DataFrame:
@@ -240,31 +287,44 @@ def similar_links(texts: DataFrame, survey: DataFrame, different: DataFrame, rul
 
     Sets that link share a shingle of their prefixes, so they meet under the first one they share; the smaller of both knows it
     within the even shorter part of its prefix that leaves room for a set at least as large. All sets under a shingle are first
-    compared with the smallest one there. Only sets that are still apart afterwards are compared with each other, so a group of
-    near copies costs its size and not its square. A pair counts once, and only while lengths, places and parities allow a link.
+    compared with the one that has fewest rarer shingles, the nearest to what they have in common. Only sets that are still apart
+    afterwards are compared with each other, so a group of near copies costs its size and not its square. A pair counts once, and
+    only while lengths, places and parities allow a link.
     """
-    entries = different.select(F.posexplode("prefix").alias("pos", "code"), F.col("_n").alias("id"), "size").withColumn("lead", rule.leads())
-    several = entries.groupBy("code").agg(F.count("*").alias("n"), F.bool_or("lead").alias("led")).where("n > 1 and led").select("code")
+    entries = different.select(F.posexplode("prefix").alias("pos", "code"), F.col("_n").alias("id"), "size")
+    several = entries.groupBy("code").agg(F.count("*").alias("n"), F.bool_or(rule.leads()).alias("led")).where("n > 1 and led").select("code")
     shared = materialize(entries.join(materialize(several), "code"))
-    ordered = F.expr("l.size < r.size or l.size = r.size and l.id < r.id")
-    fit = rule.lengths_fit("l.size", "r.size") & rule.places_fit("l.size", "l.pos", "r.size", "r.pos") & ordered
-    pair = [F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.size").alias("s"), F.col("r.size").alias("t")]
-    least = shared.where("lead").groupBy("code").agg(F.min(F.struct("size", "id", "pos")).alias("l")).select("code", "l.*")
-    tried = materialize(least.alias("l").join(shared.alias("r"), "code").where(fit).select(*pair).distinct())
+
+    def fit(one: str, two: str) -> Column:
+        return rule.lengths_fit(f"{one}.size", f"{two}.size") & rule.places_fit(f"{one}.size", f"{one}.pos", f"{two}.size", f"{two}.pos")
+
+    def pair(one: str, two: str) -> list[Column]:
+        return [F.col(f"{one}.id").alias("a"), F.col(f"{two}.id").alias("b"), F.col(f"{one}.size").alias("s"), F.col(f"{two}.size").alias("t")]
+
+    ordered = "(l.size < r.size or l.size = r.size and l.id < r.id)"
+    middle = shared.groupBy("code").agg(F.min(F.struct("pos", "size", "id")).alias("m")).select("code", "m.*")
+    met = middle.alias("l").join(shared.alias("r"), "code").where("l.id <> r.id")
+    names = ("id", "size", "pos")
+    smaller = F.expr(f"if({ordered}, struct({', '.join('l.' + n for n in names)}), struct({', '.join('r.' + n for n in names)}))")
+    larger = F.expr(f"if({ordered}, struct({', '.join('r.' + n for n in names)}), struct({', '.join('l.' + n for n in names)}))")
+    sorted_pairs = met.select(smaller.alias("one"), larger.alias("two")).where(fit("one", "two"))
+    tried = materialize(sorted_pairs.select(*pair("one", "two")).distinct())
     near = _candidates(tried, different, rule)
     links = _verified(near, _sets(texts, near, survey, rule.shingle), rule)
     roots = connect(links, []).withColumnRenamed("node", "id")
     rooted = materialize(shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = rooted.groupBy("code").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("code")
-    apart = rooted.join(mixed, "code")
-    rest = apart.where("lead").alias("l").join(apart.alias("r"), "code").where(fit & F.expr("l.root <> r.root")).select(*pair).distinct()
-    others = _candidates(rest.join(tried, ["a", "b"], "left_anti"), different, rule)
+    apart = rooted.join(mixed, "code").join(different.select(F.col("_n").alias("id"), "parity"), "id")
+    apart = materialize(apart.select("code", "id", "size", "pos", "root", "parity", rule.leads().alias("lead")))
+    allowed = fit("l", "r") & F.expr(ordered) & F.expr("l.root <> r.root") & rule.parities_fit("l.size", "r.size", "l.parity", "r.parity")
+    rest = apart.where("lead").alias("l").join(apart.alias("r"), (F.col("l.code") == F.col("r.code")) & allowed)
+    others = materialize(rest.select(*pair("l", "r")).distinct().join(tried, ["a", "b"], "left_anti").select("a", "b"))
     return links.unionByName(_verified(others, _sets(texts, others, survey, rule.shingle), rule))
 
 
 def similar_classes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The written (_n, _key, size, root) of texts (_n, _key, _text): size of the shingle set and the class, null for an empty set."""
-    rule = JoinRule(shingle, percent, _common(texts, shingle))
+    rule = JoinRule(shingle, percent, *_common(texts, shingle))
     survey = _surveyed(texts, rule)
     # copies count once: one row stands for all with the same set
     same = materialize(survey.where("size > 0").groupBy("name", "more").agg(F.min("_n").alias("id")))
