@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import seed
 from voxelgrain.operators import display_mesh, masks, runs, split, surface, tracking
 from voxelgrain.operators.tracking import SEED_SCHEMA
-from voxelgrain.plans.analyze import Settings, split_analysis
+from voxelgrain.plans.analyze import Settings, analyze, split_analysis, sweep
 
 
 def direct_split(mask, sx, sy, radius):
@@ -113,6 +113,53 @@ def test_labels_with_small_bands_match_flood_fill(spark, make):
             assert got == want
 
 
+def test_component_tree_matches_single_thresholds(spark, make):
+    rng = np.random.default_rng(12)
+    s, p = make({"a": rng.integers(0, 6, (3, 40, 30)), "b": rng.integers(0, 3, (1, 9, 50))})
+    twice = p.unionByName(p.withColumn("v", F.col("v") - 1))
+    limits = [1.0, 2.5, 3.0, 4.0, 9.0]
+    for connectivity, band in ((8, 64), (8, 7), (4, 7)):
+        levels = runs.level_runs(twice, limits, band_rows=band)
+        found = runs.label_levels(levels, limits, connectivity=connectivity, band_rows=band)
+        for limit in limits:
+            mask = p.where(F.col("v") >= limit).select("stack_id", "z", "y", "x")
+            one = runs.label_runs(runs.pixel_runs(mask, ["stack_id"], band_rows=band), ["stack_id"], connectivity=connectivity, band_rows=band, arranged=True)
+            got = found.where(F.col("threshold") == limit).select(*one.columns)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_sweep_of_thresholds_on_both_sides_of_zero(spark, make):
+    rng = np.random.default_rng(13)
+    y, x = np.indices((30, 30))
+    stack = np.where(np.hypot(y - 15, x - 15) < 9, 5, -2) * (rng.random((2, 30, 30)) < 0.98)
+    s, p = make({"a": stack})
+    limits = [-1.0, 0.0, 2.0, 5.0]
+    swept = sweep(s, p, limits, Settings(0.0)).rows
+    for limit in limits:
+        want = analyze(s, p, Settings(limit)).rows
+        got = swept.where(F.col("threshold") == limit).select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError, match="positive"):
+        sweep(s, p, limits, Settings(0.0, only_positive=True))
+
+
+def test_lowest_parabolas_and_window_maxima():
+    rng = np.random.default_rng(14)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        height = np.where(rng.random(n) < 0.3, split.FAR, rng.integers(0, 300, n))
+        cuts = np.unique(np.append(rng.integers(0, n, 3), [0, n]))
+        got = split._lowest_parabolas(height, cuts)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            assert all(got[i] == min(height[j] + (i - j) ** 2 for j in range(a, b)) for i in range(a, b))
+        group = np.sort(rng.integers(0, 4, n))
+        place = np.concatenate([np.sort(rng.choice(500, (group == k).sum(), replace=False)) for k in range(4)])
+        reach, value = rng.integers(1, 90, 4)[group], rng.integers(0, 50, n)
+        got = split._window_maximum(group, place, value, reach)
+        for i in range(n):
+            assert got[i] == max(value[(group == group[i]) & (abs(place - place[i]) <= reach[i])])
+
+
 def test_closed_surface_of_random_masks_is_consistent(spark, make):
     """Closed surfaces: volume equals the sum of cell shares and every edge has two triangles."""
     rng = np.random.default_rng(5)

@@ -77,3 +77,25 @@ def map_sorted_groups(
             yield from table.to_batches(max_chunksize=20000)
 
     return ordered.mapInArrow(run, schema)
+
+
+def expand_sorted_groups(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str],
+    fn: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]],
+    schema: T.StructType,
+) -> DataFrame:
+    """Rows of ``schema`` that ``fn`` makes of whole groups, which already lie together by ``group_cols``.
+
+    ``fn`` gets a table of complete sorted groups and a group number per row, and yields tables of any number of rows.
+    """
+    keys = list(group_cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, keys):
+            group = np.cumsum(_changes(table, keys)).astype(np.int64)
+            for made in fn(table, group):
+                yield from made.to_batches(max_chunksize=20000)
+
+    return df.sortWithinPartitions(*group_cols, *order_cols).mapInArrow(run, schema)

@@ -8,7 +8,7 @@ iterative graph step that never looks at whole frames.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelgrain.grouping import map_sorted_groups
+from voxelgrain.grouping import expand_sorted_groups, map_sorted_groups
 from voxelgrain.session import ensure_checkpoint_dir, materialize
 
 BAND_ROWS = 64
 LABEL_BASE = 4294967296  # 2^32
 LABEL_NONE = -9223372036854775807
 FAR_RIGHT = 1073741824  # beyond any image
+LABEL_FIELDS = [("label", T.LongType()), ("bottom", T.IntegerType()), ("gapped", T.BooleanType())]
 
 
 def pack_label(y: str, x: str) -> Column:
@@ -70,8 +71,8 @@ def complement_runs(runs: DataFrame, rows: DataFrame, keys: Sequence[str], *, ba
     )
 
 
-def _roots(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
-    """Index of the first run of each run's component; runs are sorted by (group, y, x0)."""
+def _links(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of touching runs of neighbouring rows; runs are sorted by (group, y, x0)."""
     count = len(y)
     span = int(y.max()) - int(y.min()) + 3
     width = int(x1.max()) + 4
@@ -82,10 +83,13 @@ def _roots(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, rea
     links = np.maximum(high - low, 0)
     below = np.repeat(np.arange(count), links)
     offset = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
-    above = np.repeat(low, links) + offset
-    root = np.arange(count)
+    return below, np.repeat(low, links) + offset
+
+
+def _settled(root: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The least run each run can reach, once the linked runs are one component."""
     while True:
-        a, b = root[below], root[above]
+        a, b = root[one], root[two]
         if np.array_equal(a, b):
             return root
         least = np.minimum(a, b)
@@ -96,6 +100,22 @@ def _roots(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, rea
             root, hop = hop, hop[hop]
 
 
+def _roots(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
+    """Index of the first run of each run's component; runs are sorted by (group, y, x0)."""
+    return _settled(np.arange(len(y)), *_links(group, y, x0, x1, reach))
+
+
+def _described(root: np.ndarray, y: np.ndarray, x0: np.ndarray) -> dict[str, np.ndarray]:
+    """Label, last row and gap mark of every run from the first run of its component."""
+    bottom = y.copy()
+    np.maximum.at(bottom, root, y)
+    by_root = np.argsort(root, kind="stable")
+    again = (np.diff(root[by_root]) == 0) & (np.diff(y[by_root]) == 0)
+    gapped = np.zeros(len(y), dtype=bool)
+    gapped[root[by_root[1:][again]]] = True
+    return {"label": y[root] * LABEL_BASE + x0[root], "bottom": bottom[root].astype(np.int32), "gapped": gapped[root]}
+
+
 def connect(edges: DataFrame, keys: Sequence[str], *, max_rounds: int = 60) -> DataFrame:
     """Connected components of (keys, a, b): every node with the least node it can reach.
 
@@ -169,24 +189,17 @@ def label_runs(
     """
     keys = list(keys)
     reach = 1 if connectivity == 8 else 0
-    base = LABEL_BASE
 
     def work(table: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
-        y = table.column("y").to_numpy().astype(np.int64)
-        x0 = table.column("x0").to_numpy().astype(np.int64)
-        x1 = table.column("x1").to_numpy().astype(np.int64)
-        root = _roots(group, y, x0, x1, reach)
-        bottom = y.copy()
-        np.maximum.at(bottom, root, y)
-        by_root = np.argsort(root, kind="stable")
-        again = (np.diff(root[by_root]) == 0) & (np.diff(y[by_root]) == 0)
-        gapped = np.zeros(len(y), dtype=bool)
-        gapped[root[by_root[1:][again]]] = True
-        return {"label": y[root] * base + x0[root], "bottom": bottom[root].astype(np.int32), "gapped": gapped[root]}
-
-    fields = [("label", T.LongType()), ("bottom", T.IntegerType()), ("gapped", T.BooleanType())]
-    local = map_sorted_groups(runs, [*keys, "z", "band"], ["y", "x0"], work, fields, arranged=arranged)
-    local = materialize(local)
+        y, x0, x1 = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        return _described(_roots(group, y, x0, x1, reach), y, x0)
+
+    local = map_sorted_groups(runs, [*keys, "z", "band"], ["y", "x0"], work, LABEL_FIELDS, arranged=arranged)
+    return _across_bands(materialize(local), keys, reach, band_rows)
+
+
+def _across_bands(local: DataFrame, keys: list[str], reach: int, band_rows: int) -> DataFrame:
+    """Labels of bands joined where components meet at the seams."""
     if local.where(F.col("y") >= band_rows).isEmpty():
         return local
     frame = [*keys, "z"]
@@ -208,6 +221,83 @@ def label_runs(
     )
 
 
+def level_runs(pixels: DataFrame, thresholds: Sequence[float], *, band_rows: int = BAND_ROWS) -> DataFrame:
+    """(stack_id, z, band, y, x0, x1, level): stretches of pixels that pass the same number of the ascending ``thresholds``.
+
+    Pixels that pass none are left out; of a pixel given twice the larger value counts.
+    """
+    row = ["stack_id", "z", "band", "y"]
+    level = sum(((F.col("v") >= float(t)).cast("int") for t in thresholds), F.lit(0))
+    passed = pixels.where((F.col("v") >= float(thresholds[0])) & ~F.isnan("v"))
+    laid_out = passed.select("stack_id", "z", F.expr(f"y div {band_rows}").cast("int").alias("band"), "y", "x", level.alias("level"))
+    single = laid_out.repartition("stack_id", "z", "band").groupBy(*row, "x").agg(F.max("level").alias("level"))
+    order = Window.partitionBy(*row, "level").orderBy("x")
+    return (
+        single.withColumn("island", F.col("x") - F.row_number().over(order)).groupBy(*row, "level", "island")
+        .agg(F.min("x").alias("x0"), F.max("x").alias("x1")).select(*row, "x0", "x1", "level")
+    )
+
+
+def level_cuts(
+    group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, level: np.ndarray, reach: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The component tree of level runs, cut at one level after another from the highest down: (level, runs, first run of each).
+
+    A link joins two runs from the lower of their levels on. Every level adds its own links to the components of the level
+    above, which so become their children; no link is looked at twice.
+    """
+    below, above = _links(group, y, x0, x1, reach)
+    beside = np.flatnonzero((group[1:] == group[:-1]) & (y[1:] == y[:-1]) & (x0[1:] == x1[:-1] + 1))
+    below, above = np.append(below, beside + 1), np.append(above, beside)
+    strength = np.minimum(level[below], level[above])
+    order = np.argsort(-strength, kind="stable")
+    below, above, strength = below[order], above[order], strength[order]
+    root = np.arange(len(y))
+    for cut in range(int(level.max()), 0, -1):
+        own = slice(np.searchsorted(-strength, -cut, side="left"), np.searchsorted(-strength, -cut, side="right"))
+        root = _settled(root, below[own], above[own])
+        yield cut, np.flatnonzero(level >= cut), root
+
+
+def label_levels(
+    runs: DataFrame, thresholds: Sequence[float], *, connectivity: int = 8, band_rows: int = BAND_ROWS
+) -> DataFrame:
+    """Labelled runs of every threshold, keyed by (stack_id, threshold), from one component tree for each band of a slice.
+
+    ``runs`` come from ``level_runs`` with the same ascending ``thresholds``. The result is a written table like that of
+    ``label_runs``, whose labels it equals; where bands meet, the trees are joined level by level.
+    """
+    keys = ["stack_id", "threshold"]
+    reach = 1 if connectivity == 8 else 0
+    values = np.array([float(t) for t in thresholds])
+    kinds = {f.name: f for f in runs.schema.fields}
+    schema = T.StructType([
+        kinds["stack_id"], T.StructField("threshold", T.DoubleType()), *[kinds[c] for c in ("z", "band", "y", "x0", "x1")],
+        *[T.StructField(n, t) for n, t in LABEL_FIELDS],
+    ])
+
+    def work(table: pa.Table, group: np.ndarray) -> Iterator[pa.Table]:
+        y, x0, x1, level = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1", "level"))
+        for cut, chosen, root in level_cuts(group, y, x0, x1, level, reach):
+            # stretches of different levels side by side are one run of the cut
+            joined = np.append(False, (group[chosen[1:]] == group[chosen[:-1]]) & (y[chosen[1:]] == y[chosen[:-1]]) & (x0[chosen[1:]] == x1[chosen[:-1]] + 1))
+            heads = chosen[~joined]
+            ends = x1[chosen[np.append(np.flatnonzero(~joined)[1:], len(chosen)) - 1]]
+            place = np.cumsum(~joined) - 1
+            number = np.zeros(len(y), np.int64)
+            number[chosen] = place
+            first = number[root[heads]]
+            made = table.take(pa.array(heads)).select(["stack_id", "z", "band", "y", "x0"])
+            made = made.add_column(1, "threshold", pa.array(np.full(len(heads), values[cut - 1])))
+            made = made.append_column("x1", pa.array(ends.astype(np.int32)).cast(table.schema.field("x1").type))
+            for name, column in _described(first, y[heads], x0[heads]).items():
+                made = made.append_column(name, pa.array(column))
+            yield made
+
+    local = expand_sorted_groups(runs, ["stack_id", "z", "band"], ["y", "x0"], work, schema)
+    return _across_bands(materialize(local), keys, reach, band_rows)
+
+
 def run_components(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per component: pixel count, centroid, bounds (inclusive) and first pixel."""
     keys = list(keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from voxelgrain.functions.checks import first_error
 from voxelgrain.operators import masks, split, summary, surface, tracking
 from voxelgrain.operators.contours import Objects, component_at_seed, describe_objects
 from voxelgrain.operators.frames import MESH_COLUMNS, frame_rows, seeded_contours, unseeded_contours
-from voxelgrain.operators.runs import BAND_ROWS, label_runs, pixel_runs
+from voxelgrain.operators.runs import BAND_ROWS, label_levels, label_runs, level_runs, pixel_runs
 from voxelgrain.session import materialize
 
 # fixed values: profiles; rbc measures exactly like vesicle
@@ -326,14 +326,30 @@ def sweep(
     stacks: DataFrame, pixels: DataFrame, thresholds: Sequence[float], settings: Settings, *,
     band_rows: int = BAND_ROWS,
 ) -> Analysis:
-    """The unseeded analysis for every stack and threshold in one job, one scan of the pixels."""
+    """The unseeded analysis for every stack and threshold in one job.
+
+    The pixels are read and laid out once whatever the number of thresholds above zero: a component tree of each slice is cut
+    at every threshold. Thresholds of zero and less, where absent pixels belong to the mask, are labelled one by one.
+    """
     keys = ["stack_id", "threshold"]
     checked = masks.check_rect(stacks, settings.rect)
     if not thresholds:
         raise ValueError("threshold sweep requires at least one threshold")
     each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
     frames = masks.stack_frames(checked, settings.slices).select("*", each, F.lit(False).alias("excluded"))
-    objects = find_objects(pixels, frames, keys, settings, band_rows=band_rows)
+    chosen = selected_pixels(pixels, settings)
+    high = sorted({float(t) for t in thresholds if t > 0})
+    parts = []
+    if high:
+        inside = chosen.join(frames.select("stack_id", "z").distinct(), ["stack_id", "z"], "left_semi")
+        parts.append(label_levels(level_runs(inside, high, band_rows=band_rows), high, band_rows=band_rows))
+    if any(t <= 0 for t in thresholds):
+        if settings.only_positive:
+            raise ValueError("thresholds must be positive here")
+        mask = masks.mask_runs(chosen, frames.where("threshold <= 0"), keys, band_rows=band_rows)
+        parts.append(label_runs(mask[0], keys, band_rows=band_rows, arranged=mask[1]))
+    objects = describe_objects(reduce(DataFrame.unionByName, parts), keys, band_rows=band_rows)
+    objects.components = materialize(objects.components)
 
     def find() -> DataFrame:
         return unseeded_contours(objects, frames, keys, contour=settings.contour, band_rows=band_rows)
