@@ -1,5 +1,5 @@
 """Named queries over the given tables, each with the SQL that checks it where SQL can."""
 
-from catalog import frames, objects, records, tracks
+from catalog import arrays, frames, objects, records, tracks
 
-MODULES = [objects, frames, tracks, records]
+MODULES = [objects, frames, tracks, records, arrays]
