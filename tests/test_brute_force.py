@@ -79,6 +79,17 @@ def test_split_matches_direct_computation(spark, make):
     assert got == want and len(want) > 300
 
 
+def test_split_of_scattered_pixels_matches_direct_computation(spark, make):
+    rng = np.random.default_rng(16)
+    stack = (rng.random((8, 30, 34)) < rng.choice([0.3, 0.6, 0.9], 8)[:, None, None]).astype(float)
+    s, p = make({"a": stack})
+    frames = masks.stack_frames(s)
+    found = runs.label_runs(runs.pixel_runs(p, ["stack_id"]), ["stack_id"], arranged=True)
+    placed = tracking.place_seeds(spark.createDataFrame([seed("a", 17, 15, 2, 9.0)], SEED_SCHEMA), frames)
+    want = {(z, b, a) for z in range(8) for b, a in np.argwhere(direct_split(stack[z] > 0, 17, 15, 9.0))}
+    assert {(r.z, r.y, r.x) for r in split.split_mask(found, frames, placed).collect()} == want
+
+
 def test_labels_with_small_bands_match_flood_fill(spark, make):
     rng = np.random.default_rng(11)
     stack = (rng.random((3, 70, 60)) < 0.45).astype(float)
@@ -155,7 +166,7 @@ def test_lowest_parabolas_and_window_maxima():
         group = np.sort(rng.integers(0, 4, n))
         place = np.concatenate([np.sort(rng.choice(500, (group == k).sum(), replace=False)) for k in range(4)])
         reach, value = rng.integers(1, 90, 4)[group], rng.integers(0, 50, n)
-        got = split._window_maximum(group, place, value, reach)
+        got = split._window_maximum(group, place, value, reach, group, place, reach)
         for i in range(n):
             assert got[i] == max(value[(group == group[i]) & (abs(place - place[i]) <= reach[i])])
 

@@ -9,7 +9,7 @@ seed's marker on one slice.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelgrain.grouping import map_sorted_groups
+from voxelgrain.grouping import expand_sorted_groups, map_sorted_groups
 from voxelgrain.operators.tracking import seed_region
 
 FAR = 1 << 60
@@ -90,45 +90,77 @@ def distance_map(runs: DataFrame, frames: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def box_maximum(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``peak``: is a pixel's ``d2`` the largest within ``r`` pixels along both axes?"""
-    keys = list(keys)
-
-    def slide(axis: str, source: str, target: str):
-        def work(table: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
-            place, value, reach = (table.column(c).to_numpy().astype(np.int64) for c in (axis, source, "r"))
-            return {target: _window_maximum(group, place, value, reach)}
-
-        return work
-
-    along_x = map_sorted_groups(values, [*keys, "z", "y"], ["x"], slide("x", "d2", "mx"), [("mx", T.LongType())])
-    along_y = map_sorted_groups(along_x, [*keys, "z", "x"], ["y"], slide("y", "mx", "my"), [("my", T.LongType())])
-    return along_y.withColumn("peak", F.expr("d2 = my")).drop("mx", "my")
+    """Add ``peak``: is a pixel's ``d2`` the largest within ``r`` pixels along both axes?
 
-
-def _window_maximum(group: np.ndarray, place: np.ndarray, value: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Largest value within ``reach`` places, the same for a whole group; rows are sorted by (group, place).
-
-    Places are cut into blocks as wide as the window, which then meets two blocks at most: the end of one and the start of the
-    next. With running maxima from both ends of every block each window costs two look-ups, however wide it is.
+    The first maximum goes along the rows, also for the places outside the mask that lie within ``r`` of it, because a column
+    has to see past pixels that are not in it.
+    """
+    keys = list(keys)
+    schema = T.StructType([*values.schema.fields, T.StructField("mx", T.LongType()), T.StructField("real", T.BooleanType())])
+
+    def rows(table: pa.Table, group: np.ndarray) -> Iterator[pa.Table]:
+        place, value, reach = (table.column(c).to_numpy().astype(np.int64) for c in ("x", "d2", "r"))
+        count = len(place)
+        before = np.append(True, group[1:] != group[:-1])
+        free = np.where(before, place, place - np.append(0, place[:-1]) - 1)
+        free_after = np.where(np.append(before[1:], True), reach, np.append(free[1:], 0))
+        right = np.minimum(reach, free_after)
+        # to the left only what the pixel before does not reach
+        left = np.where(before, np.minimum(reach, place), np.clip(free - reach, 0, reach))
+        source, step = _stretches(right)
+        source2, step2 = _stretches(left)
+        source = np.concatenate([np.arange(count), source, source2])
+        where = place[source] + np.concatenate([np.zeros(count, np.int64), step, -step2])
+        most = _window_maximum(group, place, value, reach, group[source], where, reach[source])
+        made = table.take(pa.array(source))
+        at = made.schema.get_field_index("x")
+        made = made.set_column(at, "x", pa.array(where).cast(table.schema.field("x").type))
+        yield made.append_column("mx", pa.array(most)).append_column("real", pa.array(np.arange(len(source)) < count))
+
+    def columns(table: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
+        place, value, reach = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "mx", "r"))
+        return {"my": _window_maximum(group, place, value, reach, group, place, reach)}
+
+    line = [*keys, "z", "y"]
+    along_x = expand_sorted_groups(values.repartition(*line), line, ["x"], rows, schema)
+    along_y = map_sorted_groups(along_x, [*keys, "z", "x"], ["y"], columns, [("my", T.LongType())])
+    return along_y.where("real").withColumn("peak", F.expr("d2 = my")).drop("mx", "my", "real")
+
+
+def _stretches(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, 1), (i, 2), ... (i, many[i]) for every i."""
+    source = np.repeat(np.arange(len(many)), many)
+    return source, np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many) + 1
+
+
+def _window_maximum(
+    group: np.ndarray, place: np.ndarray, value: np.ndarray, reach: np.ndarray,
+    at_group: np.ndarray, at_place: np.ndarray, at_reach: np.ndarray,
+) -> np.ndarray:
+    """Largest value within ``reach`` of every asked place; the reach is the same for a whole group.
+
+    Values are sorted by (group, place) and every asked place has one in reach. Places are cut into blocks as wide as the window,
+    which then meets two blocks at most: the end of one and the start of the next. With running maxima from both ends of every
+    block each window costs two look-ups, however wide it is.
     """
     if not len(place):
         return value
-    wide = 2 * reach + 1
-    block = place // wide
+    block = place // (2 * reach + 1)
     levels, rank = np.unique(value, return_inverse=True)
-    heads = np.append(True, (group[1:] != group[:-1]) | (block[1:] != block[:-1]))
-    number = np.cumsum(heads)
+    number = np.cumsum(np.append(True, (group[1:] != group[:-1]) | (block[1:] != block[:-1])))
     size = len(levels) + 1
     onward = np.maximum.accumulate(rank + number * size) - number * size
-    behind = (number.max() + 1 - number) * size
-    back = (np.maximum.accumulate((rank + behind)[::-1]))[::-1] - behind
-    span = int(place.max()) + int(reach.max()) + 1
-    key = group * (2 * span) + place + span
-    first = np.searchsorted(key, key - reach, side="left")
-    last = np.searchsorted(key, key + reach, side="right") - 1
-    best = np.where(block[first] == (place - reach) // wide, back[first], -1)
-    best = np.maximum(best, np.where(block[last] == (place + reach) // wide, onward[last], -1))
-    return levels[best]
+    behind = (number[-1] + 1 - number) * size
+    back = np.maximum.accumulate((rank + behind)[::-1])[::-1] - behind
+    margin = int(at_reach.max()) + 1
+    span = int(max(place.max(), at_place.max())) + 3 * margin
+    key, at = group * span + place + margin, at_group * span + at_place + margin
+    first = np.minimum(np.searchsorted(key, at - at_reach, side="left"), len(key) - 1)
+    last = np.maximum(np.searchsorted(key, at + at_reach, side="right") - 1, 0)
+    wide = 2 * at_reach + 1
+    ends = (group[first] == at_group) & (block[first] == (at_place - at_reach) // wide)
+    starts = (group[last] == at_group) & (block[last] == (at_place + at_reach) // wide)
+    return levels[np.maximum(np.where(ends, back[first], -1), np.where(starts, onward[last], -1))]
 
 
 def _spaced(y, x, group, reach):
