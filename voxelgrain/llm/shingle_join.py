@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelgrain.llm.records import REPORT, STACK, Shared, text_slices
@@ -15,7 +16,9 @@ from voxelgrain.session import materialize
 
 SHINGLE = 4
 PERCENT = 85
-HELD = 1 << 22
+HELD = 1 << 20
+SLICE_BYTES = 1 << 18
+ROWS_AT_ONCE = 512
 OFTEN = 4
 COMMON = 1 << 20
 SLOT_BITS, BUCKET_BITS = 32, 24
@@ -138,12 +141,24 @@ def packed_slots(slots: np.ndarray) -> tuple[bytes, bytes]:
     return np.where(wide, FAR, steps).astype("<u2").tobytes(), steps[wide].astype("<u4").tobytes()
 
 
-def unpacked_slots(near: bytes, far: bytes) -> np.ndarray:
+def unpacked_slots(near: bytes | pa.Buffer, far: bytes | pa.Buffer) -> np.ndarray:
     steps = np.frombuffer(near, "<u2").astype(np.int64)
     steps[steps == FAR] = np.frombuffer(far, "<u4")
     return np.cumsum(steps)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ROWS_AT_ONCE) -> Iterator[None]:
+    """Tables written inside hand their rows to Python in batches of so many, since a row may be a whole text or two whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots, counts): in how many texts shingles occur, by the first 32 bits of their codes, for the COMMON most frequent ones of
     at least OFTEN. All shingles of all texts are counted; the counts only order the shingles.
@@ -164,7 +179,7 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in text_slices(batch, "_text"):
+            for part in text_slices(batch, "_text", SLICE_BYTES):
                 for codes in shingle_codes(part.column("_text").to_pylist(), shingle):
                     held.append((codes >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
                     size += len(codes)
@@ -183,18 +198,19 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, counts = None, np.zeros(1 << BUCKET_BITS, np.uint32)
         for batch in batches:
-            for bucket, near, far in zip(*(batch.column(c).to_pylist() for c in ("bucket", "near", "far")), strict=True):
+            for bucket, near, far in zip(*(batch.column(c) for c in ("bucket", "near", "far")), strict=True):
+                bucket = bucket.as_py()
                 if bucket != current and current is not None:
                     yield often(current, counts)
                 current = bucket
-                found = unpacked_slots(near, far)
+                found = unpacked_slots(near.as_buffer(), far.as_buffer())
                 heads = np.flatnonzero(np.diff(found, prepend=-1))
                 counts[found[heads]] += np.diff(np.append(heads, len(found))).astype(np.uint32)
         if current is not None:
             yield often(current, counts)
 
     sent = texts.select("_text").mapInArrow(slots, "bucket int, near binary, far binary")
-    counted = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "slot bigint, n bigint")
+    counted = sent.repartition(1 << (SLOT_BITS - BUCKET_BITS), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "slot bigint, n bigint")
     table = counted.orderBy(F.desc("n"), "slot").limit(COMMON).toArrow()
     return table.column("slot").to_numpy(), table.column("n").to_numpy()
 
@@ -207,7 +223,7 @@ def _surveyed(texts: DataFrame, rule: JoinRule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in text_slices(batch, "_text"):
+            for part in text_slices(batch, "_text", SLICE_BYTES):
                 sets = shingle_codes(part.column("_text").to_pylist(), own.shingle)
                 called = [set_name(c) for c in sets]
                 first = [own.prefix(c).view(np.int64) for c in sets]
@@ -248,7 +264,7 @@ def _sets(texts: DataFrame, pairs: DataFrame, survey: DataFrame, shingle: int) -
         for batch in batches:
             spot = batch.column("digest").to_numpy().view(np.uint64) & np.uint64(64 * len(some) - 1)
             chosen = (some[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)
-            for part in text_slices(batch.filter(pa.array(chosen.astype(bool))), "_text"):
+            for part in text_slices(batch.filter(pa.array(chosen.astype(bool))), "_text", SLICE_BYTES):
                 named = [(*set_name(c), c) for c in shingle_codes(part.column("_text").to_pylist(), shingle)]
                 fresh = {(n, m): c.tobytes() for n, m, c in named if (n, m) not in seen}
                 seen.update(fresh)
@@ -324,16 +340,17 @@ def similar_links(texts: DataFrame, survey: DataFrame, different: DataFrame, rul
 
 def similar_classes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The written (_n, _key, size, root) of texts (_n, _key, _text): size of the shingle set and the class, null for an empty set."""
-    rule = JoinRule(shingle, percent, *_common(texts, shingle))
-    survey = _surveyed(texts, rule)
-    # copies count once: one row stands for all with the same set
-    same = materialize(survey.where("size > 0").groupBy("name", "more").agg(F.min("_n").alias("id")))
-    different = survey.join(same.select(F.col("id").alias("_n")), "_n", "left_semi").where(F.size("prefix") > 0)
-    roots = connect(similar_links(texts, survey, different, rule), []).withColumnRenamed("node", "id")
-    classes = same.join(roots, "id", "left").select("name", "more", F.coalesce("root", "id").alias("root"))
-    filled = survey.where("size > 0").join(classes, ["name", "more"]).select("_n", "_key", "size", "root")
-    # empty sets meet nothing, so they stay out of the joins
-    return materialize(filled.unionByName(survey.where("size = 0").select("_n", "_key", "size", F.lit(None).cast("bigint").alias("root"))))
+    with small_batches(texts.sparkSession):
+        rule = JoinRule(shingle, percent, *_common(texts, shingle))
+        survey = _surveyed(texts, rule)
+        # copies count once: one row stands for all with the same set
+        same = materialize(survey.where("size > 0").groupBy("name", "more").agg(F.min("_n").alias("id")))
+        different = survey.join(same.select(F.col("id").alias("_n")), "_n", "left_semi").where(F.size("prefix") > 0)
+        roots = connect(similar_links(texts, survey, different, rule), []).withColumnRenamed("node", "id")
+        classes = same.join(roots, "id", "left").select("name", "more", F.coalesce("root", "id").alias("root"))
+        filled = survey.where("size > 0").join(classes, ["name", "more"]).select("_n", "_key", "size", "root")
+        # empty sets meet nothing, so they stay out of the joins
+        return materialize(filled.unionByName(survey.where("size = 0").select("_n", "_key", "size", F.lit(None).cast("bigint").alias("root"))))
 
 
 def shingle_groups(reports: DataFrame, *, key: str = STACK, text: str = REPORT, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
