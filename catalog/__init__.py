@@ -1,5 +1,5 @@
 """Named queries over the given tables, each with the SQL that checks it where SQL can."""
 
-from catalog import arrays, frames, objects, records, splits, tracks
+from catalog import arrays, frames, meshes, objects, records, splits, tracks
 
-MODULES = [objects, frames, tracks, records, arrays, splits]
+MODULES = [objects, frames, tracks, records, arrays, splits, meshes]

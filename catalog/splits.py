@@ -3,9 +3,20 @@
 from __future__ import annotations
 
 from catalog import sql
-from catalog.frames import ROUND_METRICS, T, rows_sql
+from catalog.frames import ROUND_METRICS, T, _rounded, rows_sql
+from catalog.tracks import bright_seeds
+from voxelgrain.plans.analyze import Settings, split_analysis
+from voxelgrain.sources.table_stacks import ADAPTERS
 
-QUERIES: dict = {}
+
+def split_by_slice(spark, folder):
+    """A list of two thresholds for five slices: the last one counts for the rest."""
+    s = ADAPTERS["profiles"](spark, folder)
+    a = split_analysis(s.stacks, s.pixels, bright_seeds(s), Settings((T["profiles"], 35.0), only_positive=True))
+    return _rounded(a.rows.select("stack_id", "frame_index", "threshold", "method", "area_px2", "perimeter_px"))
+
+
+QUERIES = {"split_thresholds_by_slice": split_by_slice}
 
 _T = T["profiles"]
 _FAR = sql.SHAPES["profiles"][2]
@@ -48,7 +59,16 @@ _SPLIT = (
     "cut AS (SELECT p.* FROM part p JOIN sd USING (stack_id) WHERE (p.x - sx) ** 2 + (p.y - sy) ** 2 <= 36)"
 )
 
+_LISTED = "CASE WHEN {z} = 0 THEN 20.0 ELSE 35.0 END"
+_BY_SLICE = _SPLIT.replace(f"v >= {_T}", f"v >= {_LISTED.format(z='z')}").replace(f"v < {_T}", f"v < {_LISTED.format(z='z')}")
+
 ORACLES = {
+    "split_thresholds_by_slice": (
+        f"WITH RECURSIVE own AS MATERIALIZED (WITH RECURSIVE {_BY_SLICE} SELECT * FROM cut), "
+        + rows_sql("profiles", where="EXISTS (SELECT 1 FROM own WHERE own.stack_id = px.stack_id AND own.z = px.z AND own.y = px.y AND own.x = px.x)")
+        + f" SELECT stack_id, frame_index, CAST({_LISTED.format(z='frame_index')} AS DOUBLE) AS threshold, CASE WHEN has_contour THEN 'active_surfaces' ELSE 'active_surfaces_empty' END AS method, "
+        "round(area_px2, 6) AS area_px2, round(perimeter_px, 6) AS perimeter_px FROM rw"
+    ),
     "seed_markers": f"WITH RECURSIVE {_MARKERS} SELECT stack_id, z, y, x, d2, mine FROM mk",
     "split_pixels": (
         f"WITH RECURSIVE {_SPLIT} SELECT stack_id, z, count(*) AS pixels, min(y) AS ymin, max(y) AS ymax, min(x) AS xmin, max(x) AS xmax FROM cut GROUP BY 1, 2"

@@ -25,7 +25,7 @@ PIXELS = {
         "WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY 1, 2, 3, 4"
     ),
 }
-SHAPES = {"profiles": (5, 24, 32), "lineitem": (7, 11, 50), "events": (30, 24, 32), "embeddings": (20, 8, 8)}
+SHAPES = {"profiles": (5, 24, 32), "lineitem": (7, 11, 50), "events": (31, 24, 32), "embeddings": (20, 8, 8)}
 VOXELS = {"profiles": (0.5, 0.5, 1.5), "lineitem": (0.5, 0.25, 1.0), "events": (1.0, 1.0, 2.0), "embeddings": (1.0, 1.0, 1.0)}
 BASE = 4294967296
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelgrain.operators import surface
 from voxelgrain.operators.runs import pixel_runs
+from voxelgrain.session import materialize
 
 OUTLIER_FRACTION = 0.10
 MAX_FACES = 12000
@@ -101,19 +102,25 @@ def downsample(pixels: DataFrame, shapes: DataFrame, keys: Sequence[str], factor
 
 
 def numbered(rows: DataFrame, keys: Sequence[str], line: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Number rows 0, 1, 2... within each run without sorting a run in one task.
+    """Number rows 0, 1, 2... within each run without sorting or adding up a whole run in one task.
 
-    Rows are counted per line (a row of cells or points); a running total over lines gives each
-    line's first number.
+    Rows are counted per line (a row of cells or points). Lines are added up within their slice, the first of the ``line``
+    columns, and slices within the run, so a task sees as many counts as a slice has lines or a run has slices.
     """
     keys, line = list(keys), list(line)
-    counts = rows.groupBy(*keys, *line).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(*line).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = counts.withColumn("_start", F.sum("_n").over(upto) - F.col("_n")).drop("_n")
+    outer, inner = line[:1], line[1:]
+    counts = materialize(rows.groupBy(*keys, *line).agg(F.count("*").alias("_n")))
+
+    def before(table: DataFrame, group: list[str], order: list[str], total: str, start: str) -> DataFrame:
+        upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return table.withColumn(start, F.sum(total).over(upto) - F.col(total)).drop(total)
+
+    slices = before(counts.groupBy(*keys, *outer).agg(F.sum("_n").alias("_all")), keys, outer, "_all", "_slice")
+    starts = before(counts, [*keys, *outer], inner, "_n", "_line").join(slices, [*keys, *outer])
     place = F.row_number().over(Window.partitionBy(*keys, *line).orderBy(*order))
     return rows.withColumn("_place", place).join(starts, [*keys, *line]).withColumn(
-        name, F.col("_start") + F.col("_place") - 1
-    ).drop("_place", "_start")
+        name, F.col("_slice") + F.col("_line") + F.col("_place") - 1
+    ).drop("_place", "_line", "_slice")
 
 
 def mesh_tables(triangles: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

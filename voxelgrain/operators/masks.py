@@ -119,6 +119,14 @@ def frame_thresholds(frames: DataFrame, thresholds: float | DataFrame) -> DataFr
     return require(joined, bad, FRAME_THRESHOLDS).drop("_given")
 
 
+def listed_thresholds(frames: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """Add ``threshold`` to frames from a list by slice number; slices beyond its end take the last value."""
+    if not len(thresholds):
+        raise ValueError("a list of thresholds must not be empty")
+    values = F.array(*[F.lit(float(t)) for t in thresholds])
+    return frames.withColumn("threshold", F.element_at(values, F.least(F.col("z") + 1, F.lit(len(thresholds))).cast("int")))
+
+
 def threshold_mask(pixels: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pixels at or above their frame's threshold, carrying the frame's keys."""
     wanted = frames.select(*dict.fromkeys([*keys, "z", "threshold"]))

@@ -22,9 +22,9 @@ PROFILES = ("vesicle", "rbc", "active_surfaces")
 
 @dataclass(frozen=True)
 class Settings:
-    """What to analyse and how. ``thresholds`` is a number or a table, see ``frame_thresholds``."""
+    """What to analyse and how. ``thresholds`` is a number or a table, see ``frame_thresholds``, or for a split a list by slice."""
 
-    thresholds: float | DataFrame
+    thresholds: float | DataFrame | tuple[float, ...]
     rect: masks.Rect | None = None
     slices: masks.Slices | None = None
     profile: str = "vesicle"
@@ -120,7 +120,13 @@ def check_profile(profile: str | None) -> str:
 def analysed_frames(stacks: DataFrame, settings: Settings, excluded: DataFrame | None = None) -> DataFrame:
     """Frames of the selected slices with their threshold and exclusion mark."""
     checked = masks.check_rect(stacks, settings.rect)
-    frames = masks.frame_thresholds(masks.stack_frames(checked, settings.slices), settings.thresholds)
+    frames = masks.stack_frames(checked, settings.slices)
+    if isinstance(settings.thresholds, tuple | list):
+        if settings.profile != "active_surfaces":
+            raise ValueError("a list of thresholds needs the active surfaces profile")
+        frames = masks.listed_thresholds(frames, settings.thresholds)
+    else:
+        frames = masks.frame_thresholds(frames, settings.thresholds)
     return masks.mark_excluded(frames, excluded)
 
 
@@ -161,9 +167,11 @@ def split_analysis(
 ) -> Analysis:
     """Touching objects split per slice by flooding, and the seeded part measured.
 
-    Every slice is split on its own with the seed's region as a hard limit. Needs a seed.
+    Every slice is split on its own with the seed's region as a hard limit. Needs a seed. Thresholds may be a list by slice; if it
+    is shorter than a stack, the last one counts for the rest.
     """
     keys, owner = ["stack_id"], ["stack_id", "seed_id"]
+    settings = replace(settings, profile="active_surfaces")
     frames = analysed_frames(stacks, settings, excluded)
     placed = materialize(tracking.place_seeds(checked_seeds(seeds, stacks, settings), frames))
     kept = selected_pixels(pixels, settings)
@@ -181,7 +189,7 @@ def split_analysis(
         return unseeded_contours(objects, per_seed, owner, band_rows=band_rows)
 
     return Analysis(
-        stacks, per_seed, find, objects, owner, owner, replace(settings, profile="active_surfaces"),
+        stacks, per_seed, find, objects, owner, owner, settings,
         missing_method="'active_surfaces_empty'", found_method="active_surfaces",
     )
 

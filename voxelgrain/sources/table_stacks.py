@@ -66,13 +66,13 @@ def event_activity(spark: SparkSession, folder: str) -> StackSet:
     """Summed event value over (day, hour, user), one stack per event type and 32 users."""
     rows = spark.read.parquet(f"{folder}/events.parquet").select(
         F.expr("concat(event_type, '-', cast(user_id div 32 as string))").alias("stack_id"),
-        F.expr("if(day(ts) <= 30, day(ts) - 1, raise_error('these stacks have 30 slices'))").alias("z"),
+        F.expr("day(ts) - 1").alias("z"),
         F.expr("hour(ts)").alias("y"),
         F.expr("cast(user_id % 32 as int)").alias("x"),
         "value",
     )
     pixels = rows.groupBy("stack_id", "z", "y", "x").agg(F.round(F.sum("value"), 2).alias("v"))
-    stacks = _stacks(rows.select("stack_id").distinct(), (30, 24, 32), (1.0, 1.0, 2.0), "default")
+    stacks = _stacks(rows.select("stack_id").distinct(), (31, 24, 32), (1.0, 1.0, 2.0), "default")
     return StackSet(stacks, pixels)
 
 
