@@ -8,6 +8,7 @@ from re import _parser as regex_parts
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelgrain.session import materialize
 from voxelgrain.llm.records import REPORT, STACK
 
 MOST_STRINGS = 64
@@ -142,14 +143,18 @@ def find_secrets(reports: DataFrame, *, key: str = STACK, text: str = REPORT, ru
 
     Positions count code points, ends are exclusive. Null and empty texts have no secrets; repeated rows give repeated
     results; rows that share a key share the candidates of all of them and are verified one by one. Other columns are
-    not read. Rules whose pattern needs no trigram scan every text.
+    not read. Rules whose pattern needs no trigram scan every text. Texts of any length are searched whole; no rows in, no rows out.
+
+    Texts stay where they are read while the table of candidates is small enough for Spark to broadcast; beyond that they meet it
+    in a shuffle by key.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     grams = sorted({g for q in queries.values() for one in q for g in one})
     texts = reports.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     if grams:
         postings = trigram_postings(texts, grams, key="id", text="body")
-        chosen = candidate_kinds(postings, rules, key="id").withColumnRenamed("id", "chosen_id")
+        # written, so that its size is known: while candidates are few they go to the texts, and no text is shuffled
+        chosen = materialize(candidate_kinds(postings, rules, key="id").withColumnRenamed("id", "chosen_id"))
         texts = texts.join(chosen, F.col("id").eqNullSafe(F.col("chosen_id")), "left")
     else:
         texts = texts.withColumn("kinds", F.lit(None).cast("array<string>"))
