@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property, reduce
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from voxelgrain.functions.checks import first_error
 from voxelgrain.operators import masks, split, summary, surface, tracking
 from voxelgrain.operators.contours import Objects, component_at_seed, describe_objects
 from voxelgrain.operators.frames import MESH_COLUMNS, frame_rows, seeded_contours, unseeded_contours
-from voxelgrain.operators.runs import BAND_ROWS, label_levels, label_runs, level_runs, pixel_runs
+from voxelgrain.operators.runs import BAND_ROWS, label_levels, label_runs, level_runs, pixel_runs, run_components
 from voxelgrain.session import materialize
 
 # fixed values: profiles; rbc measures exactly like vesicle
@@ -47,7 +47,7 @@ class Analysis:
     stacks: DataFrame
     frames: DataFrame
     find_contours: Callable[[], DataFrame]
-    objects: Objects
+    describe: Callable[[], Objects]
     mask_keys: list[str]
     keys: list[str]
     settings: Settings
@@ -56,6 +56,10 @@ class Analysis:
     found_method: str | None = None
     frameless: DataFrame | None = None
 
+    @cached_property
+    def objects(self) -> Objects:
+        return self.describe()
+
     @cached_property
     def contours(self) -> DataFrame:
         """One measured object per run and frame; written once where several results need it."""
@@ -134,6 +138,18 @@ def selected_pixels(pixels: DataFrame, settings: Settings) -> DataFrame:
     return masks.keep_rect(masks.trim_slices(pixels, settings.slices), settings.rect)
 
 
+def labelled_mask(
+    pixels: DataFrame, frames: DataFrame, keys: Sequence[str], settings: Settings, *,
+    band_rows: int = BAND_ROWS,
+) -> DataFrame:
+    """The written labelled runs of the thresholded pixels."""
+    runs, arranged = masks.mask_runs(
+        selected_pixels(pixels, settings), frames, keys,
+        only_positive=settings.only_positive, band_rows=band_rows,
+    )
+    return label_runs(runs, keys, band_rows=band_rows, arranged=arranged)
+
+
 def find_objects(
     pixels: DataFrame, frames: DataFrame, keys: Sequence[str], settings: Settings, *,
     band_rows: int = BAND_ROWS,
@@ -143,12 +159,7 @@ def find_objects(
     Labelled runs and components are read by many later steps, so both are written once; holes are
     found again only where a surface is asked for.
     """
-    mask = masks.mask_runs(
-        selected_pixels(pixels, settings), frames, keys,
-        only_positive=settings.only_positive, band_rows=band_rows,
-    )
-    labelled = label_runs(mask[0], keys, band_rows=band_rows, arranged=mask[1])
-    objects = describe_objects(labelled, keys, band_rows=band_rows)
+    objects = describe_objects(labelled_mask(pixels, frames, keys, settings, band_rows=band_rows), keys, band_rows=band_rows)
     objects.components = materialize(objects.components)
     return objects
 
@@ -189,7 +200,7 @@ def split_analysis(
         return unseeded_contours(objects, per_seed, owner, band_rows=band_rows)
 
     return Analysis(
-        stacks, per_seed, find, objects, owner, owner, settings,
+        stacks, per_seed, find, lambda: objects, owner, owner, settings,
         missing_method="'active_surfaces_empty'", found_method="active_surfaces",
     )
 
@@ -245,7 +256,7 @@ def analyze(
     def find() -> DataFrame:
         return unseeded_contours(objects, frames, keys, contour=settings.contour, band_rows=band_rows)
 
-    return Analysis(stacks, frames, find, objects, keys, keys, settings, frameless=stacks.where("nz <= 0").select(*keys))
+    return Analysis(stacks, frames, find, lambda: objects, keys, keys, settings, frameless=stacks.where("nz <= 0").select(*keys))
 
 
 def stack_failures(stacks: DataFrame, settings: Settings, excluded: DataFrame | None = None) -> DataFrame:
@@ -305,27 +316,36 @@ def analyze_seeded(
     keys, owner = ["stack_id"], ["stack_id", "seed_id"]
     frames = analysed_frames(stacks, settings, excluded)
     placed = materialize(tracking.place_seeds(checked_seeds(seeds, stacks, settings), frames))
-    objects = find_objects(pixels, frames, keys, settings, band_rows=band_rows)
-    start = tracking.seed_component(placed, objects.components, objects.runs)
-    pointers = tracking.successor_pointers(placed, objects.components, objects.runs)
-    chain = tracking.follow_chain(start, pointers, placed)
-    records = materialize(
-        tracking.tracking_records(chain, objects.components, frames, placed, merge_reference=settings.merge_reference)
-    )
+    labelled = labelled_mask(pixels, frames, keys, settings, band_rows=band_rows)
+    components = materialize(run_components(labelled, keys))
+    start = tracking.seed_component(placed, components, labelled)
+    pointers = tracking.successor_pointers(placed, components, labelled)
+    chain = materialize(tracking.follow_chain(start, pointers, placed))
+    records = materialize(tracking.tracking_records(chain, components, frames, placed, merge_reference=settings.merge_reference))
     per_seed = frames.join(placed.select(*owner), "stack_id")
 
+    @cache
+    def picked() -> DataFrame:
+        if not settings.reselect:
+            return chain
+        return materialize(component_at_seed(components, labelled, tracking.frame_seeds(records, frames), keys, owner))
+
+    @cache
+    def describe() -> Objects:
+        """Holes, outlines and hulls of the measured components only."""
+        shape = [*keys, "z", "label"]
+        objects = describe_objects(labelled.join(picked().select(*shape).distinct(), shape, "left_semi"), keys, band_rows=band_rows)
+        objects.components = materialize(objects.components)
+        return objects
+
     def find() -> DataFrame:
-        picked = chain
-        if settings.reselect:
-            seeds_now = tracking.frame_seeds(records, frames)
-            picked = component_at_seed(objects.components, objects.runs, seeds_now, keys, owner)
-        return seeded_contours(picked, objects, per_seed, keys, owner)
+        return seeded_contours(picked(), describe(), per_seed, keys, owner)
 
     seeded_frames = per_seed.join(
         records.select(*owner, F.col("frame_index").alias("z"), "tracked"), [*owner, "z"]
     )
     return Analysis(
-        stacks, seeded_frames, find, objects, keys, owner, settings, tracking=records,
+        stacks, seeded_frames, find, describe, keys, owner, settings, tracking=records,
         missing_method="if(tracked, 'fallback', 'seed_lost')",
     )
 
@@ -363,7 +383,7 @@ def sweep(
         return unseeded_contours(objects, frames, keys, contour=settings.contour, band_rows=band_rows)
 
     frameless = stacks.where("nz <= 0").select("stack_id", each)
-    return Analysis(stacks, frames, find, objects, keys, keys, settings, frameless=frameless)
+    return Analysis(stacks, frames, find, lambda: objects, keys, keys, settings, frameless=frameless)
 
 
 def best_threshold(sweep_summary: DataFrame) -> DataFrame:
