@@ -1,10 +1,15 @@
-"""Queries on packed arrays of several shapes."""
+"""Queries on packed arrays of several shapes, and on the contrast of signed slices."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import sql
+from voxelgrain.functions.intensity import stretch_slices
+from voxelgrain.operators import masks
+from voxelgrain.operators.contrast import stretched_background
 from voxelgrain.sources.packed_arrays import array_stacks, color_pixels, gray_pixels
+from voxelgrain.sources.table_stacks import ADAPTERS
 
 # a vector of 64 entries read as seven kinds of arrays, by its number
 SHAPES = ((8, 8), (2, 4, 8), (4, 4, 4), (2, 2, 4, 4), (2, 4, 4, 2), (1, 8, 1, 8), (1, 4, 1, 4, 4))
@@ -30,7 +35,15 @@ def shapes(spark, folder):
     return array_stacks(_arrays(spark, folder))
 
 
-QUERIES = {"array_gray_pixels": gray, "array_color_channels": color, "array_shapes": shapes}
+def signed_contrast(spark, folder):
+    """Slices with negative values and absent pixels; absent ones come as runs, present ones as runs of one."""
+    s = ADAPTERS["profiles"](spark, folder)
+    pixels, frames = s.pixels.withColumn("v", F.col("v") - 40), masks.stack_frames(s.stacks)
+    present = stretch_slices(pixels, frames).select("stack_id", "z", "y", F.col("x").alias("x0"), F.col("x").alias("x1"), "stretched", F.lit(True).alias("present"))
+    return present.unionByName(stretched_background(pixels, frames, band_rows=7).withColumn("present", F.lit(False)))
+
+
+QUERIES = {"slice_contrast_signed": signed_contrast, "array_gray_pixels": gray, "array_color_channels": color, "array_shapes": shapes}
 
 # every kind spelt out: z, y, x, c of entry i, which counts from zero
 _CASES = (
@@ -55,6 +68,15 @@ _LIGHT = (
 )
 
 ORACLES = {
+    "slice_contrast_signed": (
+        f"WITH {sql.dense('profiles')}, sg AS (SELECT d.stack_id, d.z, d.y, d.x, p.v IS NOT NULL AS present, coalesce(p.v - 40, 0) AS v FROM dn d LEFT JOIN px p USING (stack_id, z, y, x)), "
+        "ok AS (SELECT * FROM sg SEMI JOIN px USING (stack_id, z)), "
+        "r AS (SELECT *, min(v) OVER (PARTITION BY stack_id, z) AS lo, max(v) OVER (PARTITION BY stack_id, z) AS hi FROM ok), "
+        "t AS (SELECT stack_id, z, y, x, present, CASE WHEN hi > lo THEN CAST(floor((v - lo) / (hi - lo) * 255) AS INTEGER) ELSE 0 END AS stretched FROM r), "
+        "g AS (SELECT *, x - row_number() OVER (PARTITION BY stack_id, z, y, present ORDER BY x) AS island FROM t) "
+        "SELECT stack_id, z, y, x AS x0, x AS x1, stretched, present FROM g WHERE present UNION ALL "
+        "SELECT stack_id, z, y, min(x), max(x), stretched, present FROM g WHERE NOT present AND stretched <> 0 GROUP BY stack_id, z, y, island, stretched, present"
+    ),
     "array_gray_pixels": (
         f"WITH {_ENTRIES}, g AS (SELECT stack_id, z, y, x, CASE WHEN stack_id % 7 IN {_COLORED} THEN {_LIGHT} ELSE max(v) END AS v FROM p GROUP BY stack_id, z, y, x) "
         "SELECT * FROM g WHERE v <> 0"

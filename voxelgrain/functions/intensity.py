@@ -28,26 +28,24 @@ def gray_to_color(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(2))))
 
 
-def stretch_slices(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """Min-max stretch of every slice to 0..255, truncated; constant slices become zero.
-
-    Absent pixels are zero and count for the range; they are returned only where they would not
-    become zero, which happens when a slice has negative values.
-    """
+def slice_ranges(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """(stack_id, z, ny, nx, lo, hi) of slices with pixels; absent pixels are zero and count for the range."""
     key = ["stack_id", "z"]
     found = pixels.groupBy(*key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    ranged = frames.select(*key, "ny", "nx").join(found, key).select(
+    return frames.select(*key, "ny", "nx").join(found, key).select(
         *key, "ny", "nx",
         F.expr("if(n < cast(ny as bigint) * nx, least(lo, 0D), lo)").alias("lo"),
         F.expr("if(n < cast(ny as bigint) * nx, greatest(hi, 0D), hi)").alias("hi"),
     )
-    scaled = "if(hi > lo, cast(floor(({0} - lo) / (hi - lo) * 255) as int), 0)"
-    present = pixels.join(ranged.select(*key, "lo", "hi"), key).select(*key, "y", "x", F.expr(scaled.format("v")).alias("stretched"))
-    negative = ranged.where("lo < 0")
-    rest = (
-        negative.withColumn("y", F.explode(F.expr("sequence(0, ny - 1)")))
-        .withColumn("x", F.explode(F.expr("sequence(0, nx - 1)")))
-        .join(pixels.select(*key, "y", "x"), [*key, "y", "x"], "left_anti")
-        .select(*key, "y", "x", F.expr(scaled.format("0D")).alias("stretched"))
-    )
-    return present.unionByName(rest)
+
+
+def stretched(value: str) -> str:
+    """SQL for a value stretched from (lo, hi) to 0..255, truncated; zero where nothing varies."""
+    return f"if(hi > lo, cast(floor(({value} - lo) / (hi - lo) * 255) as int), 0)"
+
+
+def stretch_slices(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """Min-max stretch of the present pixels of every slice; ``operators.contrast`` gives what becomes of absent ones."""
+    key = ["stack_id", "z"]
+    ranged = slice_ranges(pixels, frames)
+    return pixels.join(ranged.select(*key, "lo", "hi"), key).select(*key, "y", "x", F.expr(stretched("v")).alias("stretched"))
