@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.near_copies import numbered
+from voxelgrain.llm.near_copies import only_marked, text_names
 from voxelgrain.llm.records import REPORT, STACK, lower_ascii
 from voxelgrain.session import materialize
 
@@ -67,10 +67,14 @@ def drop_copies(
 ) -> DataFrame:
     """The reports that stay, with all their columns: one row for each group of ``copy_groups``.
 
-    Rows are numbered and written first, so the choice among rows that share text and key does not change if a task runs again.
-    Only keys, digests and numbers are shuffled; the numbers of rows that go meet the texts. Other columns may have any names.
+    Of rows that share text and key the first by their other columns stays, whatever runs again. Only keys, digests and names of
+    texts are shuffled; those of rows that go meet the texts. Other columns may have any names; no rows in, no rows out.
     """
-    rows = numbered(reports)
-    named = rows.select(F.col(f"_row.`{key}`").alias("id"), text_digest(F.col(f"_row.`{text}`")).alias("digest"), F.col("_n").alias("row"))
-    gone = _decided(materialize(named), heavy, tracked).where(F.col("row") != F.col("stays.row"))
-    return rows.join(materialize(gone.select(F.col("row").alias("_n"))), "_n", "left_anti").select("_row.*")
+    name, more = text_names(F.col(f"`{text}`"))
+    identity = F.struct(F.col(f"`{key}`").alias("_key"), name, more)
+    rows = materialize(
+        reports.select(F.col(f"`{key}`").alias("id"), text_digest(F.col(f"`{text}`")).alias("digest"), identity.alias("row"))
+    )
+    decided = _decided(rows, heavy, tracked)
+    marked = decided.groupBy("row").agg(F.count("*").alias("rows"), F.first(F.expr("row <=> stays.row")).alias("stays")).select("row.*", "rows", "stays")
+    return only_marked(reports, marked, key=key, text=text)

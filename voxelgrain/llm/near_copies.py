@@ -156,29 +156,46 @@ def near_groups(reports: DataFrame, *, key: str = STACK, text: str = REPORT) ->
     return prints.join(components, "fp").select(key, "fp", "component_id")
 
 
-def numbered(reports: DataFrame) -> DataFrame:
-    """The written (_row, _n): every report as one struct, so that names of other columns cannot clash, and its row number."""
-    packed = reports.select(F.struct(*[F.col(f"`{n}`") for n in reports.columns]).alias("_row"))
-    return materialize(packed.withColumn("_n", F.monotonically_increasing_id()))
+def text_names(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit numbers that name a whole text."""
+    return F.xxhash64(text).alias("name"), F.xxhash64(F.lit(SEED), text).alias("more")
 
 
-def first_of_groups(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Of the numbered ``rows`` one for each group of ``members`` (_n, _key, root): the smallest key, a null key last, then
-    the smallest row number. Only the numbers of rows that go meet the texts."""
-    first = members.groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key"), F.col("_n"))).alias("s"))
-    gone = materialize(members.join(first.select(F.col("s._n").alias("_n")), "_n", "left_anti").select("_n"))
-    return rows.join(gone, "_n", "left_anti").select("_row.*")
+def only_marked(reports: DataFrame, marked: DataFrame, *, key: str, text: str) -> DataFrame:
+    """The ``reports`` that ``marked`` (_key, name, more, rows, stays) lets stay, with all their columns.
+
+    Reports are known by key and text, ``rows`` of them by the same. Only names of reports that go meet the texts; of several that
+    share key and text the first by their other columns stays, and only those are shuffled whole.
+    """
+    known = ["_key", "name", "more"]
+    named = reports.select(F.struct(*[F.col(f"`{n}`") for n in reports.columns]).alias("_row"), F.col(f"`{key}`").alias("_key"), *text_names(F.col(f"`{text}`")))
+    same = F.expr(" and ".join(f"l.{c} <=> r.{c}" for c in known))
+    marked = materialize(marked.where("not stays or rows > 1").select(*known, "stays"))
+    kept = named.alias("l").join(marked.select(*known).alias("r"), same, "left_anti").select("_row")
+    again = named.alias("l").join(marked.where("stays").select(*known).alias("r"), same, "left_semi")
+    single = again.groupBy(*known).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
+    return kept.unionByName(single).select("_row.*")
+
+
+def first_of_groups(reports: DataFrame, members: DataFrame, *, key: str, text: str) -> DataFrame:
+    """Of ``reports`` one for each group of ``members`` (_key, name, more, root), which has a row for each report: the smallest key, a
+    null key last, then the smallest name of its text."""
+    known = ["_key", "name", "more"]
+    order = F.struct(F.col("_key").isNull().alias("none"), *known)
+    counted = members.groupBy("root", *known).agg(F.count("*").alias("rows")).withColumn("order", order)
+    first = counted.groupBy("root").agg(F.min("order").alias("first"))
+    marked = counted.join(first, "root").select(*known, "rows", (F.col("order") == F.col("first")).alias("stays"))
+    return only_marked(reports, marked, key=key, text=text)
 
 
 def drop_near_copies(reports: DataFrame, *, key: str = STACK, text: str = REPORT) -> DataFrame:
     """One report for each group of linked ones, the one with the smallest key, with all its columns.
 
-    A null key is never smallest unless all are null; of rows that share the smallest key any one stays. Groups are known
-    by their fingerprints and rows by their number, so reports that share a key or have none stay if nothing links them.
+    A null key is never smallest unless all are null; of rows that share the smallest key the smallest name of a text stays. Groups
+    are known by their fingerprints and rows by key and text, so reports that share a key or have none stay if nothing links them.
     """
-    rows = numbered(reports)
-    named = rows.select("_n", F.col(f"_row.{key}").alias("_key"), F.col(f"_row.{text}").alias("_text"))
-    prints = report_fingerprints(named.select(F.struct("_n", "_key").alias("_id"), "_text"), key="_id", text="_text")
-    prints = materialize(prints.select("_id._n", "_id._key", "fp"))
-    members = prints.join(_rooted(prints, "_key").select("fp", "root"), "fp").select("_n", "_key", "root")
-    return first_of_groups(rows, members)
+    named = reports.select(F.struct(F.col(f"`{key}`").alias("_key"), *text_names(F.col(f"`{text}`"))).alias("_id"), F.col(f"`{text}`").alias("_text"))
+    prints = report_fingerprints(named, key="_id", text="_text")
+    prints = materialize(prints.select("_id.*", "fp"))
+    members = prints.join(_rooted(prints, "_key").select("fp", "root"), "fp").select("_key", "name", "more", "root")
+    return first_of_groups(reports, members, key=key, text=text)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelgrain.llm.near_copies import text_names
 from voxelgrain.llm.records import REPORT, STACK, Shared, text_slices
 from voxelgrain.operators.runs import connect
 from voxelgrain.session import materialize
@@ -216,9 +217,9 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _surveyed(texts: DataFrame, rule: JoinRule) -> DataFrame:
-    """The written (_n, _key, size, name, more, digest, prefix, parity) of every text."""
+    """The written (_n, _key, size, name, more, digest, other, prefix, parity) of every text; digest and other name the text itself."""
     shared = Shared(texts.sparkSession, rule)
-    names = ["_n", "_key", "size", "name", "more", "digest", "prefix", "parity"]
+    names = ["_n", "_key", "size", "name", "more", "digest", "other", "prefix", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -235,13 +236,15 @@ def _surveyed(texts: DataFrame, rule: JoinRule) -> DataFrame:
                     lists.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))))
                 columns = [
                     part.column("_n"), part.column("_key"), pa.array([len(c) for c in sets], pa.int64()), pa.array([n for n, _ in called], pa.int64()),
-                    pa.array([m for _, m in called], pa.int64()), part.column("digest"), *lists,
+                    pa.array([m for _, m in called], pa.int64()), part.column("digest"), part.column("other"), *lists,
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     key = texts.schema["_key"].dataType.simpleString()
-    schema = f"_n bigint, _key {key}, size bigint, name bigint, more bigint, digest bigint, prefix array<bigint>, parity array<bigint>"
-    return materialize(texts.withColumn("digest", F.xxhash64("_text")).mapInArrow(run, schema))
+    schema = f"_n bigint, _key {key}, size bigint, name bigint, more bigint, digest bigint, other bigint, prefix array<bigint>, parity array<bigint>"
+    digest, other = text_names(F.col("_text"))
+    numbered = texts.withColumn("_n", F.monotonically_increasing_id())
+    return materialize(numbered.withColumns({"digest": digest, "other": other}).mapInArrow(run, schema))
 
 
 def _sets(texts: DataFrame, pairs: DataFrame, survey: DataFrame, shingle: int) -> DataFrame:
@@ -339,7 +342,8 @@ def similar_links(texts: DataFrame, survey: DataFrame, different: DataFrame, rul
 
 
 def similar_classes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The written (_n, _key, size, root) of texts (_n, _key, _text): size of the shingle set and the class, null for an empty set."""
+    """The written (_key, name, more, size, root) of texts (_key, _text): two numbers that name the text, the size of its shingle set
+    and the class, which is null for an empty set."""
     with small_batches(texts.sparkSession):
         rule = JoinRule(shingle, percent, *_common(texts, shingle))
         survey = _surveyed(texts, rule)
@@ -348,9 +352,11 @@ def similar_classes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
         different = survey.join(same.select(F.col("id").alias("_n")), "_n", "left_semi").where(F.size("prefix") > 0)
         roots = connect(similar_links(texts, survey, different, rule), []).withColumnRenamed("node", "id")
         classes = same.join(roots, "id", "left").select("name", "more", F.coalesce("root", "id").alias("root"))
-        filled = survey.where("size > 0").join(classes, ["name", "more"]).select("_n", "_key", "size", "root")
+        filled = survey.where("size > 0").join(classes, ["name", "more"])
         # empty sets meet nothing, so they stay out of the joins
-        return materialize(filled.unionByName(survey.where("size = 0").select("_n", "_key", "size", F.lit(None).cast("bigint").alias("root"))))
+        empty = survey.where("size = 0").withColumn("root", F.lit(None).cast("bigint"))
+        own = ["_key", F.col("digest").alias("name"), F.col("other").alias("more"), "size", "root"]
+        return materialize(filled.select(*own).unionByName(empty.select(*own)))
 
 
 def shingle_groups(reports: DataFrame, *, key: str = STACK, text: str = REPORT, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -363,7 +369,7 @@ def shingle_groups(reports: DataFrame, *, key: str = STACK, text: str = REPORT,
     A null key is never smallest unless all are null; repeated rows repeat. No rows in, no rows out. Other columns are not read.
     A text is taken whole in one task. Only shingle prefixes, names of sets and the sets of candidate pairs are shuffled.
     """
-    texts = reports.select(F.lit(0).alias("_n"), F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_n", F.monotonically_increasing_id())
+    texts = reports.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     members = similar_classes(texts, shingle, percent)
     filled = members.where("root is not null")
     least = filled.groupBy("root").agg(F.min("_key").alias("component_id"))
