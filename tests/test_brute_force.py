@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import seed
-from voxelgrain.operators import display_mesh, masks, runs, split, surface, tracking
+from voxelgrain.operators import display_mesh, masks, nearest, runs, split, surface, tracking
 from voxelgrain.operators.tracking import SEED_SCHEMA
 from voxelgrain.plans.analyze import Settings, analyze, split_analysis, sweep
 
@@ -90,6 +90,47 @@ def test_split_of_scattered_pixels_matches_direct_computation(spark, make):
     assert {(r.z, r.y, r.x) for r in split.split_mask(found, frames, placed).collect()} == want
 
 
+def test_nearest_of_many_against_all_pairs(spark):
+    rng = np.random.default_rng(17)
+    points = [(g, i, float(x), float(y), 64.0, float(r)) for g in range(3) for i, (x, y, r) in enumerate(zip(*rng.integers(0, 64, (2, 60)), rng.integers(1, 65, 60)))]
+    # dense on one side only, with places that repeat
+    targets = [(g, i, float(x) / 2, float(y) / 2, 64.0) for g in range(2) for i, (x, y) in enumerate(zip(rng.integers(0, 40, 150), rng.integers(0, 128, 150)))]
+    p = spark.createDataFrame(points, "g int, i int, px double, py double, width double, reach double")
+    t = spark.createDataFrame(targets, "g int, to_label int, tx double, ty double, width double")
+    got = {(r.g, r.i): (r.to_label, r.d) for r in nearest.nearest_targets(p, t, ["g"], ["i"]).collect()}
+    want = {}
+    for g, i, px, py, _, reach in points:
+        near = min(((tx - px) ** 2 + (ty - py) ** 2, label) for h, label, tx, ty, _ in targets if h == g) if g < 2 else (1e9, 0)
+        if near[0] <= reach**2:
+            want[g, i] = (near[1], near[0])
+    assert got == want and 20 < len(want) < 120
+
+
+def test_nearest_joins_few_rows_with_a_wide_reach(spark):
+    """A reach as wide as the image: a point still meets only the targets in the cells around it."""
+    targets = [(1, 100 * y + x, x * 10.0, y * 10.0, 1000.0) for y in range(100) for x in range(100)]
+    points = [(1, i, 37.0 * i + 3, 991.0 - 29 * i, 1000.0, 1000.0) for i in range(25)]
+    t = spark.createDataFrame(targets, "g int, to_label int, tx double, ty double, width double")
+    p = spark.createDataFrame(points, "g int, i int, px double, py double, width double, reach double")
+    met = []
+    around = nearest._around
+
+    def counted(table):
+        found = around(table)
+        met.append(found)
+        return found
+
+    nearest._around = counted
+    try:
+        assert nearest.nearest_targets(p, t, ["g"], ["i"]).count() == 25
+    finally:
+        nearest._around = around
+    cells = t.selectExpr("g", "tx", "ty", "width", f"explode(sequence(0, {nearest.LEVELS})) as level").selectExpr(
+        "g", "level", f"{nearest._cell('tx')} as gx", f"{nearest._cell('ty')} as gy"
+    )
+    assert met[1].join(cells, ["g", "level", "gx", "gy"]).count() <= 25 * 36
+
+
 def test_labels_with_small_bands_match_flood_fill(spark, make):
     rng = np.random.default_rng(11)
     stack = (rng.random((3, 70, 60)) < 0.45).astype(float)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgrain.functions.geometry import hull_area as hull_area_of_ends
+from voxelgrain.operators.nearest import nearest_targets
 from voxelgrain.operators.outline import block_counts, outline_measures
 from voxelgrain.operators.runs import BAND_ROWS, filled_runs, hole_runs, label_runs, run_components
 
@@ -134,7 +135,8 @@ def component_at_seed(
     keys, seed_keys = list(keys), list(seed_keys)
     probe = [*seed_keys, "z"]
     placed = seeds.select(
-        *probe, F.expr("greatest(0, least(nx - 1, sx))").alias("sx"), F.expr("greatest(0, least(ny - 1, sy))").alias("sy")
+        *probe, F.expr("greatest(0, least(nx - 1, sx))").alias("sx"), F.expr("greatest(0, least(ny - 1, sy))").alias("sy"),
+        F.expr("cast(nx + ny as double)").alias("width"),
     )
     large = components.where(f"area >= {min_area}").select(*keys, "z", "label", "cx", "cy")
     touched = (
@@ -143,9 +145,11 @@ def component_at_seed(
         .join(large.select(*keys, "z", "label"), [*keys, "z", "label"], "left_semi")
         .select(*probe, "label")
     )
-    distance = F.expr("(cx - sx) * (cx - sx) + (cy - sy) * (cy - sy)")
-    nearest = (
-        placed.join(touched, probe, "left_anti").join(large, [*keys, "z"])
-        .groupBy(*probe).agg(F.min_by("label", F.struct(distance, "label")).alias("label"))
+    frame = [*keys, "z"]
+    points = placed.join(touched, probe, "left_anti").select(
+        *probe, F.col("sx").alias("px"), F.col("sy").alias("py"), "width", F.col("width").alias("reach")
     )
+    widths = placed.select(*frame, "width").distinct()
+    targets = large.join(widths, frame).select(*frame, F.col("label").alias("to_label"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), "width")
+    nearest = nearest_targets(points, targets, frame, probe).select(*probe, F.col("to_label").alias("label"))
     return touched.unionByName(nearest)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgrain.operators.contours import MIN_SEED_AREA
+from voxelgrain.operators.nearest import nearest_targets
 from voxelgrain.session import materialize
 
 # fixed values: default search distance
@@ -154,13 +155,13 @@ def seed_component(placed: DataFrame, components: DataFrame, runs: DataFrame) ->
         .groupBy(*key, "label").agg(F.count("*").alias("shared"))
         .groupBy(*key).agg(F.max_by("label", F.struct("shared", -F.col("label"))).alias("label"))
     )
-    distance = F.expr("(cx - sx) * (cx - sx) + (cy - sy) * (cy - sy)")
     found = hit.unionByName(overlap)
-    nearest = (
-        placed.join(found, key, "left_anti").join(large, ["stack_id", "z"])
-        .withColumn("d", distance).where("d <= reach_px * reach_px")
-        .groupBy(*key).agg(F.min_by("label", F.struct("d", "label")).alias("label"))
-    )
+    frame = ["stack_id", "z"]
+    widths = placed.groupBy(*frame).agg(F.max("reach_px").alias("width"))
+    lost = placed.join(found, key, "left_anti").join(widths, frame)
+    points = lost.select(*key, F.col("sx").alias("px"), F.col("sy").alias("py"), "width", F.col("reach_px").alias("reach"))
+    targets = large.join(widths, frame).select(*frame, F.col("label").alias("to_label"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), "width")
+    nearest = nearest_targets(points, targets, frame, key).select(*key, F.col("to_label").alias("label"))
     return found.unionByName(nearest)
 
 
@@ -201,8 +202,8 @@ def successor_pointers(placed: DataFrame, components: DataFrame, runs: DataFrame
     """(stack_id, dir, z, label, to_z, to_label, need) for components of seeded stacks, whatever the number of seeds.
 
     The successor shares most pixels; without any overlap it is the nearest centroid. ``need`` is the squared distance
-    that a seed has to reach for the step, zero where pixels are shared. Nearest ones are found among neighbouring cells
-    of a grid as wide as the longest reach of the stack's seeds.
+    that a seed has to reach for the step, zero where pixels are shared. Nearest ones are found on grids
+    of cells that halve from the longest reach of the stack's seeds.
     """
     large = components.where(f"area >= {MIN_SEED_AREA}").select("stack_id", "z", "label", "cx", "cy")
     seeded = placed.groupBy("stack_id").agg(F.max("reach_px").alias("reach_px"))
@@ -222,24 +223,14 @@ def successor_pointers(placed: DataFrame, components: DataFrame, runs: DataFrame
     step = ["stack_id", "dir", "z", "label"]
     by_overlap = both.groupBy(*step).agg(F.max_by("to_label", F.struct("shared", -F.col("to_label"))).alias("to_label"))
     directed = large.join(seeded, "stack_id").select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir"))
-    cell = "cast(floor({0} / greatest(reach_px, 1D)) as bigint)"
     lonely = directed.join(by_overlap, step, "left_anti").select(
-        *step, "cx", "cy", "reach_px", F.expr("z + dir").alias("to_z"),
-        F.explode(F.expr("sequence({0} - 1, {0} + 1)".format(cell.format("cx")))).alias("gx"),
-        F.expr(cell.format("cy")).alias("_gy"),
-    ).withColumn("gy", F.explode(F.expr("sequence(_gy - 1, _gy + 1)")))
+        *step, F.expr("z + dir").alias("to_z"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("reach_px").alias("width"), F.col("reach_px").alias("reach")
+    )
     targets = large.join(seeded, "stack_id").select(
         "stack_id", F.col("z").alias("to_z"), F.col("label").alias("to_label"),
-        F.col("cx").alias("tx"), F.col("cy").alias("ty"),
-        F.expr(cell.format("cx")).alias("gx"), F.expr(cell.format("cy")).alias("gy"),
-    )
-    near = (
-        lonely.join(targets, ["stack_id", "to_z", "gx", "gy"])
-        .withColumn("d", F.expr("pow(tx - cx, 2) + pow(ty - cy, 2)"))
-        .where("d <= reach_px * reach_px")
-        .groupBy(*step).agg(F.min(F.struct("d", "to_label")).alias("best"))
-        .select(*step, F.col("best.to_label").alias("to_label"), F.col("best.d").alias("need"))
+        F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("reach_px").alias("width"),
     )
+    near = nearest_targets(lonely, targets, ["stack_id", "to_z"], step).select(*step, "to_label", F.col("d").alias("need"))
     return by_overlap.withColumn("need", F.lit(0.0)).unionByName(near).withColumn("to_z", F.expr("z + dir"))
 
 
