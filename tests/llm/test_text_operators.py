@@ -131,12 +131,19 @@ def test_token_store(spark, reports, nothing, library, tmp_path):
         ids = library.encode(text or "", add_special_tokens=False).ids + [0]
         assert tuple(row) == (key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    every = [i for _, t in order for i in library.encode(t or "", add_special_tokens=False).ids + [0]]
+    asked = [*range(0, len(every), 7), 0, 0, len(every) - 1, len(every), -1, None, 1 << 40]
+    got = token_store.tokens_at(spark, folder, spark.createDataFrame([(p,) for p in asked], "position long")).collect()
+    assert sorted(map(tuple, got)) == sorted({(p, every[p]) for p in asked if p is not None and 0 <= p < len(every)})
     token_store.write_token_store(nothing, tokenizer_path(), folder + "-empty")
+    assert token_store.tokens_at(spark, folder + "-empty", spark.range(3).toDF("position")).count() == 0
     assert token_store.read_token_store(spark, folder + "-empty").count() == 0
     values = np.random.default_rng(1).integers(0, 1 << 20, 3000)
     packed = token_store.PackedIds(token_store.pack_ids(values))
     assert len(packed) == 3000 and (packed.all() == values).all()
     assert all(packed[i] == values[i] for i in range(0, 3000, 11))
+    places = np.random.default_rng(2).integers(0, 3000, 500)
+    assert (packed.at(places) == values[places]).all()
 
 
 def test_exact_copies(spark, reports, nothing):

@@ -21,6 +21,7 @@ CHUNK_BITS = 8
 RANK_BITS = 512
 END_ID = 0
 MEMO_WORDS = 300_000
+POSITION_BLOCK = 1 << 18
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -73,6 +74,23 @@ class PackedIds:
             place = int(ranks[block]) + int(np.bitwise_count(before).sum()) + int(bits[place >> 3] & ((1 << (place & 7)) - 1)).bit_count()
         raise ValueError("codes end too early")
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The ids of any places, each by the same few look-ups whatever the length of the segment."""
+        value, open_, places = np.zeros(len(places), np.uint32), np.arange(len(places)), places.astype(np.int64)
+        for level, (chunks, bits, ranks) in enumerate(self.levels):
+            value[open_] |= chunks[places].astype(np.uint32) << np.uint32(CHUNK_BITS * level)
+            goes_on = (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+            open_, places = open_[goes_on], places[goes_on]
+            if not len(open_):
+                return value
+            block = places // RANK_BITS
+            step = np.arange(RANK_BITS // 8)
+            byte = block[:, None] * (RANK_BITS // 8) + step
+            whole = np.where(byte < (places >> 3)[:, None], bits[np.minimum(byte, len(bits) - 1)], 0)
+            rest = bits[places >> 3] & ((1 << (places & 7)) - 1).astype(np.uint8)
+            places = ranks[block].astype(np.int64) + np.bitwise_count(whole).sum(axis=1, dtype=np.int64) + np.bitwise_count(rest)
+        raise ValueError("codes end too early")
+
     def all(self) -> np.ndarray:
         """All ids at once."""
         value = np.zeros(0, np.uint32)
@@ -181,11 +199,41 @@ def read_token_store(spark: SparkSession, folder: str, *, key: str = STACK) -> D
                 )
 
     texts = segments.select("part", "place", "keys", "lengths", "codes").mapInArrow(run, schema)
+    placed = texts.join(_offsets(segments).select("part", "place", "offset"), ["part", "place"])
+    return placed.select(key, (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _offsets(segments: DataFrame) -> DataFrame:
+    """(part, place, offset, n_ids): how many ids all segments before one hold."""
     sizes = segments.select("part", "place", "n_ids")
     # one row per file part: their number is the number of partitions, not of reports
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("inner", within).join(parts.select("part", before.alias("outer")), "part")
-    placed = texts.join(offsets.select("part", "place", (F.col("inner") + F.col("outer")).alias("offset")), ["part", "place"])
-    return placed.select(key, (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return offsets.select("part", "place", (F.col("inner") + F.col("outer")).alias("offset"), "n_ids")
+
+
+def tokens_at(spark: SparkSession, folder: str, positions: DataFrame, *, position: str = "position") -> DataFrame:
+    """(position, token_id) of every different position that the folder holds, counted over all ids of the store from 0.
+
+    Positions meet the segments that hold them by blocks of POSITION_BLOCK ids. A segment is read where some of its positions are
+    asked for, and each id by rank look-ups in its codes; nothing else is decoded. Null and outside positions have no row.
+    """
+    segments = spark.read.parquet(folder)
+    asked = positions.select(F.col(position).cast("bigint").alias("p")).where("p is not null").distinct()
+    block = f"{{0}} div {POSITION_BLOCK}L"
+    held = _offsets(segments).withColumn("block", F.explode(F.expr(f"sequence({block.format('offset')}, {block.format('(offset + n_ids - 1)')})")))
+    found = asked.withColumn("block", F.expr(block.format("p"))).join(held, "block").where("p >= offset and p < offset + n_ids")
+    # different positions of one segment are no more than its ids
+    wanted = found.groupBy("part", "place", "offset").agg(F.collect_list(F.expr("p - offset")).alias("places"))
+    schema = T.StructType([T.StructField(position, T.LongType()), T.StructField("token_id", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for offset, places, codes in zip(*(batch.column(c) for c in ("offset", "places", "codes")), strict=True):
+                inside = places.values.to_numpy()
+                ids = PackedIds(codes.as_py()).at(inside).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(inside + offset.as_py()), pa.array(ids)], names=schema.names)
+
+    return segments.select("part", "place", "codes").join(wanted, ["part", "place"]).select("offset", "places", "codes").mapInArrow(run, schema)
