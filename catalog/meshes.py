@@ -77,7 +77,24 @@ def _swept(limit: float) -> str:
     )
 
 
+_SHIFT = "floor((round_even((c.{0} - f.{0}) * 1024, 0) + 16) / 32) / 32"
+_DISPLAYED = (
+    f"{_profile_contours(True)}, md AS (SELECT stack_id, median(area_px2) AS m FROM con GROUP BY 1), "
+    "keep AS (SELECT stack_id, z FROM con JOIN md USING (stack_id) WHERE m <= 0 OR area_px2 >= m * 0.1), "
+    f"al AS (SELECT DISTINCT f.stack_id, f.z, f.y, f.x FROM fill f SEMI JOIN pick USING (stack_id, z, label) UNION {_BOX_MASK.format(anti=' ANTI JOIN pick USING (stack_id, z)')}), "
+    "mk0 AS (SELECT a.* FROM al a SEMI JOIN keep USING (stack_id, z)), cen AS (SELECT stack_id, z, avg(x) AS cx, avg(y) AS cy FROM mk0 GROUP BY ALL), "
+    f"sh AS (SELECT c.stack_id, c.z, {_SHIFT.format('cx')} AS sx, {_SHIFT.format('cy')} AS sy FROM cen c JOIN (SELECT stack_id, arg_min(cx, z) AS cx, arg_min(cy, z) AS cy FROM cen GROUP BY 1) f USING (stack_id)), "
+    "dg AS (SELECT s.*, a.y, b.x FROM sh s, range(0, 24) AS a(y), range(0, 32) AS b(x)), "
+    "al2 AS (SELECT g.stack_id, g.z, g.y, g.x, sum((1 - abs(p.x - (g.x + g.sx))) * (1 - abs(p.y - (g.y + g.sy)))) AS w FROM dg g JOIN mk0 p ON p.stack_id = g.stack_id AND p.z = g.z "
+    "AND p.x BETWEEN floor(g.x + g.sx) AND floor(g.x + g.sx) + 1 AND p.y BETWEEN floor(g.y + g.sy) AND floor(g.y + g.sy) + 1 GROUP BY ALL), "
+    "o AS (SELECT t.stack_id, a.z, b.y, c.x, a.z * 4.0 AS fz, b.y * 23.0 / 11 AS fy, c.x * 31.0 / 15 AS fx FROM (SELECT DISTINCT stack_id FROM px) t, range(0, 2) AS a(z), range(0, 12) AS b(y), range(0, 16) AS c(x)), "
+    "dn2 AS (SELECT o.stack_id, o.z, o.y, o.x, sum((1 - abs(p.x - fx)) * (1 - abs(p.y - fy)) * (1 - abs(p.z - fz))) AS w FROM o JOIN al2 p ON p.w >= 0.5 AND p.stack_id = o.stack_id "
+    "AND abs(p.x - fx) < 1 AND abs(p.y - fy) < 1 AND abs(p.z - fz) < 1 GROUP BY ALL), mk AS (SELECT stack_id, z, y, x FROM dn2 WHERE w > 0.5 + 1e-9), "
+    f"{_triangles('mk', shape=(2, 12, 16), voxels=(1.0, 1.0, 3.0))}, fc AS (SELECT stack_id, count(*) AS n FROM tri GROUP BY 1)"
+)
+
 ORACLES = {
+    "displayed_mesh": f"WITH RECURSIVE {_DISPLAYED} SELECT m.*, CAST(ceil(n / ceil(n / 100)) AS BIGINT) AS faces FROM ({_MEASURE}) m JOIN fc USING (stack_id)",
     "mesh_frame_rows": (
         f"SELECT r.*, {_MESH_OR_ZERO} FROM (WITH RECURSIVE {rows_sql('profiles', excluded=OUT)} SELECT {ROW_COLUMNS} FROM rw) r "
         f"LEFT JOIN ({_outline_mesh(f'NOT {OUT}')}) m USING (stack_id)"
