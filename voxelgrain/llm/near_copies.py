@@ -23,6 +23,7 @@ BLOCKS = 4
 BASES = 8
 DIRECT = 32
 HASHES = 1 << 16
+MARK_BITS = (16, 24)
 
 
 def _signed(value: int) -> int:
@@ -164,17 +165,25 @@ def text_names(text: Column) -> tuple[Column, Column]:
 def only_marked(reports: DataFrame, marked: DataFrame, *, key: str, text: str) -> DataFrame:
     """The ``reports`` that ``marked`` (_key, name, more, rows, stays) lets stay, with all their columns.
 
-    Reports are known by key and text, ``rows`` of them by the same. Only names of reports that go meet the texts; of several that
-    share key and text the first by their other columns stays, and only those are shuffled whole.
+    Reports are known by key and text, ``rows`` of them by the same. A bit filter of bounded size lets most of those that stay pass
+    where they are read; only what it holds back is compared with the names of reports that go. Of several that share key and text
+    the first by their other columns stays.
     """
     known = ["_key", "name", "more"]
+    marked = materialize(marked.where("not stays or rows > 1").select(*known, "stays"))
+    bits = min(max((16 * marked.count()).bit_length(), MARK_BITS[0]), MARK_BITS[1])
+    place = F.pmod(F.col("name"), F.lit(1 << bits))
+    at, bit = (place / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(name, 64) as int))")
+    # one row for each 64 bits, so no more than 2^(MARK_BITS - 6) rows are broadcast
+    words = F.broadcast(marked.groupBy(at).agg(F.bit_or(bit).alias("word")))
     named = reports.select(F.struct(*[F.col(f"`{n}`") for n in reports.columns]).alias("_row"), F.col(f"`{key}`").alias("_key"), *text_names(F.col(f"`{text}`")))
+    tested = named.withColumn("at", at).join(words, "at", "left").withColumn("hit", F.coalesce(F.col("word").bitwiseAND(bit) != 0, F.lit(False)))
+    hits = materialize(tested.where("hit").select("_row", *known))
     same = F.expr(" and ".join(f"l.{c} <=> r.{c}" for c in known))
-    marked = materialize(marked.where("not stays or rows > 1").select(*known, "stays"))
-    kept = named.alias("l").join(marked.select(*known).alias("r"), same, "left_anti").select("_row")
-    again = named.alias("l").join(marked.where("stays").select(*known).alias("r"), same, "left_semi")
+    passed = hits.alias("l").join(marked.select(*known).alias("r"), same, "left_anti").select("_row")
+    again = hits.alias("l").join(marked.where("stays").select(*known).alias("r"), same, "left_semi")
     single = again.groupBy(*known).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
-    return kept.unionByName(single).select("_row.*")
+    return tested.where("not hit").select("_row").unionByName(passed).unionByName(single).select("_row.*")
 
 
 def first_of_groups(reports: DataFrame, members: DataFrame, *, key: str, text: str) -> DataFrame:
